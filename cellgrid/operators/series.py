@@ -11,6 +11,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 Shifts = Mapping[str, tuple[str, int]]
 
 
+def _join_same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys where NULL equals NULL, keeping the left key columns."""
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(right, same).drop(*[f"_r_{k}" for k in keys])
+
+
 def ordered_index(
     df: DataFrame,
     order: Sequence[str],
@@ -22,7 +29,7 @@ def ordered_index(
     """0-based position of each row in ``order`` (within ``partition``), without sorting everything in one task.
 
     ``buckets`` are expressions, coarse to fine, each non-decreasing in the order: for example
-    month, then day. Rows are sorted inside the finest bucket only; the bucket offsets are
+    month, then hour. Rows are sorted inside the finest bucket only; the bucket offsets are
     running sums over the bucket counts, level by level.
     """
     marks = [f"_b{i}" for i in range(len(buckets))]
@@ -41,13 +48,13 @@ def ordered_index(
         if depth == len(marks):
             offsets = running
         else:
-            offsets = offsets.join(running.drop("_n"), [*parent, marks[depth - 1]])
+            offsets = _join_same_key(offsets, running.drop("_n"), [*parent, marks[depth - 1]])
         level = level.groupBy(*parent).agg(F.sum("_n").alias("_n"))
     total = reduce(lambda a, b: a + b, [F.col(f"_o{d}") for d in range(1, len(marks) + 1)])
     offsets = offsets.select(*keys, total.alias("_offset"))
 
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    placed = marked.withColumn("_rn", inside).join(offsets, keys)
+    placed = _join_same_key(marked.withColumn("_rn", inside), offsets, keys)
     return placed.select(*df.columns, (F.col("_offset") + F.col("_rn")).alias(name))
 
 
@@ -85,15 +92,15 @@ def shift_rows_blocked(
 
     Rows are numbered by :func:`ordered_index`, cut into blocks of ``block_rows`` consecutive
     rows, and the few rows next to a block border are copied to the neighbouring block, so
-    every shift finds its value inside one block. ``buckets`` default to month and day of
-    the first order column.
+    every shift finds its value inside one block. ``buckets`` default to month and hour of
+    the first order column; add a finer one where a single hour may be very large.
     """
     back = max([k for _, k in shifts.values() if k > 0], default=0)
     ahead = max([-k for _, k in shifts.values() if k < 0], default=0)
     if max(back, ahead) > block_rows:
         raise ValueError("block_rows must be at least the largest shift")
     if buckets is None:
-        buckets = [F.date_trunc("month", order[0]), F.date_trunc("day", order[0])]
+        buckets = [F.date_trunc("month", order[0]), F.date_trunc("hour", order[0])]
     indexed = ordered_index(df, order, buckets, partition=partition, name="_idx")
 
     def block(i: Column) -> Column:
