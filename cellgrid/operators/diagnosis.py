@@ -100,7 +100,7 @@ def classify(
     """
     keyed = with_holiday_flags(flagged, target, holidays, "date").withColumn("target_hour_key", hour_key(target))
     counted = with_neighbor_hits(
-        keyed, keyed, name="_hits", cell_col=cell_col, time_col="target_hour_key", grid_size=grid_size
+        keyed, name="_hits", cell_col=cell_col, time_col="target_hour_key", grid_size=grid_size
     ).withColumn("_total", neighbor_total(cell_col, grid_size))
     share = F.coalesce(F.try_divide(F.col("_hits"), F.col("_total")), F.lit(0.0))
     parts = {"hits": F.col("_hits"), "total": F.col("_total")}

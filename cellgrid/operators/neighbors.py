@@ -9,7 +9,7 @@ neighbours and its aggregation then happen inside the task, without another exch
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.fixed import GRID_SIZE
 from ..functions.grid import cell_x, cell_y, neighbor_structs, on_grid, tile_of, tiles_touched
@@ -87,20 +87,32 @@ def with_neighbor_average(
 
 def with_neighbor_hits(
     df: DataFrame,
-    members: DataFrame,
     *,
     name: str = "neighbors_at_risk",
     cell_col: str = "CellID",
     time_col: str = "target_hour_key",
     grid_size: int = GRID_SIZE,
+    tile: int = TILE,
 ) -> DataFrame:
-    """Attach how many neighbours of the row's cell are in ``members`` (cell, time) at the row's time."""
-    points = members.select(cell_col, time_col).distinct().withColumn("_one", F.lit(1))
-    hits = neighbor_totals(
-        points, value="_one", cell_col=cell_col, time_col=time_col, grid_size=grid_size
-    ).select(cell_col, time_col, F.col("nb_count").alias(name))
-    joined = df.join(hits, [cell_col, time_col], "left")
-    return joined.withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    """Attach to every row how many of its neighbours also have a row in ``df`` at the same time.
+
+    One exchange: each row meets the cells of its tile and time in a window, whose set of
+    cells holds at most 18 x 18 numbers. Nothing is joined, so ``df`` is computed once.
+    """
+    x, y = cell_x(cell_col, grid_size), cell_y(cell_col, grid_size)
+    home = F.when(on_grid(cell_col, grid_size), tile_of(x, y, tile, grid_size))
+    touched = F.when(on_grid(cell_col, grid_size), tiles_touched(cell_col, tile, grid_size))
+    # A cell off the grid has no neighbours and is nobody's neighbour; its row is kept.
+    copies = df.select("*", home.alias("_home"), F.explode_outer(touched).alias("_tile"))
+    together = Window.partitionBy("_tile", time_col, F.when(F.col("_tile").isNull(), F.col(cell_col)))
+    present = copies.withColumn("_cells", F.collect_set(cell_col).over(together))
+    around = F.transform(neighbor_structs(cell_col, grid_size), lambda s: s["neighbor"])
+    hits = F.when(F.col("_home").isNull(), F.lit(0)).otherwise(F.size(F.array_intersect(around, "_cells")))
+    return (
+        present.filter(F.col("_home").eqNullSafe(F.col("_tile")))
+        .withColumn(name, hits.cast("long"))
+        .drop("_home", "_tile", "_cells")
+    )
 
 
 def neighbor_rows(
