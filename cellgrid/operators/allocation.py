@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.fixed import AMOUNT_TOLERANCE, GRID_SIZE, ROUTINE
 from ..functions.scalars import excess
+from . import hour_solver
 from .neighbors import neighbor_rows
 
+# The tasks receive the solver itself, so workers need no copy of this package.
+cloudpickle.register_pickle_by_value(hour_solver)
+
 # One hour's candidate edges are solved in one task. The grid bounds them (8 per cell), so
 # this limits the grid size for the in-task method: 2 million edges is a 500 x 500 grid.
 MAX_EDGES_PER_HOUR = 2_000_000
@@ -79,140 +83,6 @@ def candidate_edges(
     )
 
 
-class _Hour:
-    """Maximum transport from sources to cases over one hour's edges, by level-wise augmentation."""
-
-    def __init__(self, edges: pd.DataFrame) -> None:
-        self.cases, case_of = self._index(edges["congested_cell"])
-        self.sources, source_of = self._index(edges["source_cell"])
-        self.case_of, self.source_of = case_of.tolist(), source_of.tolist()
-        self.need = [0.0] * len(self.cases)
-        self.left = [0.0] * len(self.sources)
-        self.out: list[list[int]] = [[] for _ in self.cases]
-        self.into: list[list[int]] = [[] for _ in self.sources]
-        for e, (c, s, d, p) in enumerate(zip(self.case_of, self.source_of, edges["deficit"], edges["spare"])):
-            self.need[c], self.left[s] = float(d), float(p)
-            self.out[c].append(e)
-            self.into[s].append(e)
-        self.full_need, self.full_left = list(self.need), list(self.left)
-        self.flow = [0.0] * len(self.case_of)
-        self.eps = 1e-12 * max([1.0, *self.need, *self.left])
-
-    @staticmethod
-    def _index(cells: pd.Series):
-        codes, values = pd.factorize(cells, sort=True)
-        return values, codes
-
-    def _levels(self) -> tuple[list[int], list[int], bool]:
-        """Distance of every case and source from the cases that still need capacity."""
-        case_level = [0 if n > self.eps else -1 for n in self.need]
-        source_level = [-1] * len(self.left)
-        layer = [c for c, level in enumerate(case_level) if level == 0]
-        depth, found = 0, False
-        while layer and not found:
-            reached = []
-            for c in layer:
-                for e in self.out[c]:
-                    s = self.source_of[e]
-                    if source_level[s] < 0:
-                        source_level[s] = depth + 1
-                        found = found or self.left[s] > self.eps
-                        reached.append(s)
-            layer = []
-            for s in reached:
-                for e in self.into[s]:
-                    c = self.case_of[e]
-                    if self.flow[e] > self.eps and case_level[c] < 0:
-                        case_level[c] = depth + 2
-                        layer.append(c)
-            depth += 2
-        return case_level, source_level, found
-
-    def _augment(self, start: int, case_level, source_level, next_out, next_into) -> bool:
-        """Push along one shortest path from ``start``; False when none is left in this phase."""
-        path: list[tuple[int, int | None]] = []  # (edge taken, edge given back)
-        c = start
-        while True:
-            if next_out[c] < len(self.out[c]):
-                e = self.out[c][next_out[c]]
-                s = self.source_of[e]
-                if source_level[s] == case_level[c] + 1:
-                    if self.left[s] > self.eps:
-                        path.append((e, None))
-                        break
-                    back = self._give_back(s, case_level, source_level, next_into)
-                    if back is not None:
-                        path.append((e, back))
-                        c = self.case_of[back]
-                        continue
-                next_out[c] += 1
-            elif path:
-                _, back = path.pop()
-                next_into[self.source_of[back]] += 1
-                c = self.case_of[path[-1][1]] if path else start
-            else:
-                return False
-        amount = min([self.need[start], self.left[s]] + [self.flow[b] for _, b in path if b is not None])
-        self.need[start] -= amount
-        self.left[s] -= amount
-        for taken, back in path:
-            self.flow[taken] += amount
-            if back is not None:
-                self.flow[back] -= amount
-        return True
-
-    def _give_back(self, s: int, case_level, source_level, next_into) -> int | None:
-        while next_into[s] < len(self.into[s]):
-            e = self.into[s][next_into[s]]
-            if self.flow[e] > self.eps and case_level[self.case_of[e]] == source_level[s] + 1:
-                return e
-            next_into[s] += 1
-        return None
-
-    def solve(self) -> None:
-        while True:
-            case_level, source_level, found = self._levels()
-            if not found:
-                self.reached_cases = [level >= 0 for level in case_level]
-                self.reached_sources = [level >= 0 for level in source_level]
-                return
-            next_out, next_into = [0] * len(self.out), [0] * len(self.into)
-            for start in [c for c, level in enumerate(case_level) if level == 0]:
-                while self.need[start] > self.eps and self._augment(
-                    start, case_level, source_level, next_out, next_into
-                ):
-                    pass
-
-
-def _solve_hour(edges: pd.DataFrame) -> pd.DataFrame:
-    edges = edges.sort_values(["congested_cell", "pos"], ignore_index=True)
-    hour = _Hour(edges)
-    hour.solve()
-    moves = pd.DataFrame(
-        {
-            "kind": "move",
-            "congested_cell": edges["congested_cell"].astype("Int64"),
-            "source_cell": edges["source_cell"].astype("Int64"),
-            "amount": hour.flow,
-        }
-    )
-    moves = moves[moves["amount"] > AMOUNT_TOLERANCE]
-    # The cut that proves the plan is the best possible: its capacity equals the amount moved.
-    cut_cases = [i for i, r in enumerate(hour.reached_cases) if not r]
-    cut_sources = [i for i, r in enumerate(hour.reached_sources) if r]
-    cuts = pd.DataFrame(
-        {
-            "kind": "cut",
-            "congested_cell": pd.array([*hour.cases[cut_cases], *[None] * len(cut_sources)], dtype="Int64"),
-            "source_cell": pd.array([*[None] * len(cut_cases), *hour.sources[cut_sources]], dtype="Int64"),
-            "amount": [hour.full_need[i] for i in cut_cases] + [hour.full_left[i] for i in cut_sources],
-        }
-    )
-    result = pd.concat([moves, cuts], ignore_index=True)
-    result.insert(1, "target_datetime", edges["target_datetime"].iloc[0])
-    return result
-
-
 def solve_hours(edges: DataFrame, *, grid_size: int = GRID_SIZE) -> DataFrame:
     """Best plan for every hour, hours in parallel: rows of kind ``move``, and of kind ``cut`` as proof.
 
@@ -221,7 +91,7 @@ def solve_hours(edges: DataFrame, *, grid_size: int = GRID_SIZE) -> DataFrame:
     """
     if 8 * grid_size * grid_size > MAX_EDGES_PER_HOUR:
         raise ValueError(f"grid of {grid_size} x {grid_size}: an hour may exceed {MAX_EDGES_PER_HOUR} edges")
-    return edges.groupBy("target_datetime").applyInPandas(_solve_hour, PLAN_SCHEMA)
+    return edges.groupBy("target_datetime").applyInPandas(hour_solver.solve_hour, PLAN_SCHEMA)
 
 
 def moves_of(plan: DataFrame) -> DataFrame:

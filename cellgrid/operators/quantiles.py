@@ -24,23 +24,40 @@ def interpolate(low: Column, high: Column, part: Column) -> Column:
     return F.when(part >= 0.5, high - width * (1 - part)).otherwise(low + width * part)
 
 
+def _rank_slack(n: Column, accuracy: int) -> Column:
+    """How far, as a fraction, a sketched value may be from the wanted order statistics:
+    the sketch's rank error plus two ranks for rounding and for the upper neighbour."""
+    return F.lit(1.0 / accuracy) + F.lit(2.0) / n
+
+
 def _literal_bracket(value: str, fraction: float, accuracy: int) -> tuple[Column, Column]:
-    """Sketch aggregates just below and above ``fraction``; NULL leaves that side open."""
-    margin = 2.0 / accuracy
-    null = F.lit(None).cast("double")
+    """Arrays of sketched values below and above ``fraction`` at the margins of :func:`_margins`."""
+
+    def pivots(sign: int) -> Column:
+        wanted = [min(max(fraction + sign * m, 0.0), 1.0) for m in _margins(accuracy)]
+        return F.percentile_approx(value, F.array(*[F.lit(w) for w in wanted]), F.lit(accuracy))
+
+    return pivots(-1), pivots(1)
+
+
+def _margins(accuracy: int) -> list[float]:
+    return [4.0 * 10**k / accuracy for k in range(6) if 4.0 * 10**k / accuracy < 0.5]
 
-    def pivot(p: float) -> Column:
-        return F.percentile_approx(value, F.lit(p), F.lit(accuracy)) if 0 < p < 1 else null
 
-    return pivot(fraction - margin), pivot(fraction + margin)
+def _choose_margin(pivots: Column, n: Column, fraction: float, sign: int, accuracy: int) -> Column:
+    """The value at the narrowest sufficient margin; NULL (open side) when the group is too small for one."""
+    chosen = F.lit(None).cast("double")
+    for i, margin in reversed(list(enumerate(_margins(accuracy)))):
+        if 0.0 < fraction + sign * margin < 1.0:
+            chosen = F.when(_rank_slack(n, accuracy) <= margin, F.get(pivots, F.lit(i))).otherwise(chosen)
+    return chosen
 
 
-def _grid_bracket(grid: Column, fraction: Column) -> tuple[Column, Column]:
-    below = F.floor(fraction * _STEPS).cast("int")
-    above = F.ceil(fraction * _STEPS).cast("int") + 1
-    low = F.when(below >= 1, F.get(grid, below - 1))
-    high = F.when(above <= _STEPS, F.get(grid, above))
-    return low, high
+def _grid_bracket(grid: Column, fraction: Column, n: Column, accuracy: int) -> tuple[Column, Column]:
+    slack = _rank_slack(n, accuracy)
+    below = F.floor((fraction - slack) * _STEPS).cast("int")
+    above = F.ceil((fraction + slack) * _STEPS).cast("int")
+    return F.when(below >= 1, F.get(grid, below)), F.when(above < _STEPS, F.get(grid, above))
 
 
 def _pick_ranks(df: DataFrame, stats: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -69,7 +86,10 @@ def _pick_ranks(df: DataFrame, stats: DataFrame, keys: Sequence[str], value: str
         at(F.ceil("position")).alias("v_high"),
         F.first(F.col("position") - F.floor("position")).alias("part"),
     )
-    return picked.select(*keys, interpolate(F.col("v_low"), F.col("v_high"), F.col("part")).alias("quantile"))
+    missed = F.col("v_low").isNull() | F.col("v_high").isNull()
+    quantile = interpolate(F.col("v_low"), F.col("v_high"), F.col("part"))
+    checked = F.when(missed, F.raise_error(F.lit("rank outside the sketched bracket")).cast("double")).otherwise(quantile)
+    return picked.select(*keys, checked.alias("quantile"))
 
 
 def group_quantile(
@@ -89,9 +109,11 @@ def group_quantile(
     present = df.filter(F.col(value).isNotNull())
     if not sketch:
         return present.groupBy(*keys).agg(F.percentile(value, F.lit(fraction)).alias("quantile"))
-    low, high = _literal_bracket(value, fraction, accuracy)
-    stats = present.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.lit(float(fraction)).alias("fraction"), low.alias("low"), high.alias("high")
+    below, above = _literal_bracket(value, fraction, accuracy)
+    stats = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), below.alias("below"), above.alias("above")).select(
+        *keys, "n", F.lit(float(fraction)).alias("fraction"),
+        _choose_margin(F.col("below"), F.col("n"), fraction, -1, accuracy).alias("low"),
+        _choose_margin(F.col("above"), F.col("n"), fraction, 1, accuracy).alias("high"),
     )
     return _pick_ranks(present, stats, keys, value)
 
@@ -114,7 +136,7 @@ def mean_to_max_quantile(
     share = F.lit(1.0) - F.try_divide(F.col("mean_v"), F.col("max_v"))
     f_star = F.when(flat, F.lit(1.0)).otherwise(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))
     base = base.withColumn("f_star", f_star)
-    low, high = _grid_bracket(F.col("grid"), F.col("f_star"))
+    low, high = _grid_bracket(F.col("grid"), F.col("f_star"), F.col("n"), accuracy)
     # The grid stays in this stage: only two values per group travel on. A flat group's
     # quantile at 1 is its maximum, which is the wanted value.
     stats = base.select(
