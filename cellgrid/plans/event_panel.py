@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import hour_key, with_total_activity
 from ..operators.collapse import collapse_country_codes
+from ..operators.diagnosis import diagnose, predicted_risk
 from ..operators.thresholds import flag_congestion
+from ..session import materialise
 
 # The five event types in the place of the five activities.
 ACTIVITY_OF_EVENT = {
@@ -45,5 +47,36 @@ def panel(spark: SparkSession, folder: str) -> DataFrame:
     return with_total_activity(collapsed(spark, folder))
 
 
+def staged_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """The panel as a stage table: the events are read once, however many consumers it has."""
+    return materialise(panel(spark, folder), "panel")
+
+
 def flagged_panel(spark: SparkSession, folder: str) -> DataFrame:
-    return flag_congestion(panel(spark, folder))
+    return flag_congestion(staged_panel(spark, folder))
+
+
+def risk_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """Flags with forecasts and risk for all horizons."""
+    return predicted_risk(flagged_panel(spark, folder), order=UNIQUE_ORDER)
+
+
+def staged_risk_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """Stage table for consumers that need both the diagnosis and the capacities."""
+    return materialise(risk_panel(spark, folder), "risk")
+
+
+def diagnosis(risk: DataFrame, horizon: int = 1) -> DataFrame:
+    return diagnose(risk, horizon, holidays=HOLIDAYS, grid_size=GRID)
+
+
+def even_moves(edges: DataFrame) -> DataFrame:
+    """A feasible plan with closed-form amounts: every edge moves a tenth of what it could at most
+    (a case or source has at most eight edges).
+
+    The best plan's amounts are not unique, so queries that show single amounts use this one.
+    """
+    return edges.select(
+        "target_datetime", "congested_cell", "source_cell",
+        F.least(F.col("deficit") / 10, F.col("spare") / 10).alias("amount_moved"),
+    )

@@ -1,8 +1,9 @@
-"""Session settings the library relies on, and lineage cuts that survive executor loss."""
+"""Session settings the library relies on, and stage tables that survive executor loss."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,7 @@ def local_session(cores: int | str = "*", app_name: str = "cellgrid", **conf: st
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app_name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", n_shuffle)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
@@ -38,15 +40,23 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder and drop its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
+
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-    none is set (a bare local session) is a temporary folder used.
+def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and continue from the files.
+
+    For tables with several consumers: they are computed once, later scans prune columns,
+    joins see real sizes, and a lost executor costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/cellgrid-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
