@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -92,15 +91,17 @@ def classify(
     cell_col: str = "CellID",
     grid_size: int = GRID_SIZE,
     fraction: float = NEIGHBOR_FRACTION,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``target_hour_key``, ``classification`` and ``reason`` to rows that are predicted at risk.
 
     In order: target on a holiday; enough neighbours at risk in the same hour; forecast copied
-    from a holiday; isolated. The neighbour share is over the neighbours on the grid.
+    from a holiday; isolated. The neighbour share is over the neighbours on the grid. Rows with
+    different ``keys`` (such as the horizon) do not count for each other.
     """
     keyed = with_holiday_flags(flagged, target, holidays, "date").withColumn("target_hour_key", hour_key(target))
     counted = with_neighbor_hits(
-        keyed, name="_hits", cell_col=cell_col, time_col="target_hour_key", grid_size=grid_size
+        keyed, name="_hits", cell_col=cell_col, time_col="target_hour_key", grid_size=grid_size, keys=keys
     ).withColumn("_total", neighbor_total(cell_col, grid_size))
     share = F.coalesce(F.try_divide(F.col("_hits"), F.col("_total")), F.lit(0.0))
     parts = {"hits": F.col("_hits"), "total": F.col("_total")}
@@ -137,20 +138,22 @@ def diagnose(
 
 
 def diagnose_all(
-    panel: DataFrame, horizons: Sequence[int] = HORIZONS, *, cell_col: str = "CellID", **options
+    panel: DataFrame,
+    horizons: Sequence[int] = HORIZONS,
+    *,
+    holidays: Holidays = KNOWN_HOLIDAYS,
+    cell_col: str = "CellID",
+    grid_size: int = GRID_SIZE,
+    fraction: float = NEIGHBOR_FRACTION,
 ) -> DataFrame:
-    """All horizons in one long frame: cell, horizon, target, forecast, threshold, class, reason."""
-    frames = []
-    for h in horizons:
-        found = diagnose(panel, h, cell_col=cell_col, **options)
-        frames.append(
-            found.select(
-                cell_col, F.lit(h).alias("horizon"), F.col(f"target_datetime_{h}h").alias("target_datetime"),
-                F.col(f"naive_forecast_{h}h").alias("naive_forecast"), "congestion_threshold",
-                "classification", "reason",
-            )
-        )
-    return reduce(DataFrame.unionByName, frames)
+    """All horizons as one long frame, classified in one pass: cell, horizon, target, forecast, threshold, class, reason."""
+    flagged = risk_long(panel, horizons, cell_col=cell_col).filter("predicted_risk").select(
+        cell_col, "horizon", "target_datetime", F.col("forecast").alias("naive_forecast"), "congestion_threshold"
+    )
+    return classify(
+        flagged, target="target_datetime", holidays=holidays, cell_col=cell_col, grid_size=grid_size,
+        fraction=fraction, keys=["horizon"],
+    ).drop("target_hour_key")
 
 
 def class_shares(diagnosed: DataFrame, n_rows: DataFrame | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ neighbours and its aggregation then happen inside the task, without another exch
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.fixed import GRID_SIZE
@@ -93,8 +95,10 @@ def with_neighbor_hits(
     time_col: str = "target_hour_key",
     grid_size: int = GRID_SIZE,
     tile: int = TILE,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Attach to every row how many of its neighbours also have a row in ``df`` at the same time.
+    """Attach to every row how many of its neighbours also have a row in ``df`` at the same time
+    (and with the same ``keys``).
 
     One exchange: each row meets the cells of its tile and time in a window, whose set of
     cells holds at most 18 x 18 numbers. Nothing is joined, so ``df`` is computed once.
@@ -104,7 +108,7 @@ def with_neighbor_hits(
     touched = F.when(on_grid(cell_col, grid_size), tiles_touched(cell_col, tile, grid_size))
     # A cell off the grid has no neighbours and is nobody's neighbour; its row is kept.
     copies = df.select("*", home.alias("_home"), F.explode_outer(touched).alias("_tile"))
-    together = Window.partitionBy("_tile", time_col, F.when(F.col("_tile").isNull(), F.col(cell_col)))
+    together = Window.partitionBy("_tile", time_col, *keys, F.when(F.col("_tile").isNull(), F.col(cell_col)))
     present = copies.withColumn("_cells", F.collect_set(cell_col).over(together))
     around = F.transform(neighbor_structs(cell_col, grid_size), lambda s: s["neighbor"])
     hits = F.when(F.col("_home").isNull(), F.lit(0)).otherwise(F.size(F.array_intersect(around, "_cells")))

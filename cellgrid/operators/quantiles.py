@@ -6,6 +6,10 @@ wanted rank. The second counts the values below the bracket (also map-side) and
 distinct values inside it with their counts; only those are sorted, so a group that holds a
 large share of all rows sends a small fraction of itself to one task. The result is exact:
 ranks are counted, never estimated.
+
+The per-group table between the passes is written out as a small stage table: the planner then
+knows its real size and, as long as that is below the broadcast limit, sends it to the rows
+instead of shuffling the rows to it. Above the limit it is an ordinary join.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialise
+
 # Fractions known only at run time are bracketed on a grid of this many steps.
 _STEPS = 1000
 
@@ -61,15 +67,17 @@ def _grid_bracket(grid: Column, fraction: Column, n: Column, accuracy: int) -> t
 
 
 def _pick_ranks(df: DataFrame, stats: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Second pass. ``stats`` holds keys, n, fraction, low, high; one row per group."""
+    """Second pass. ``stats`` holds keys, n, fraction, low, high, and columns to carry along; one row per group."""
+    carried = [c for c in stats.columns if c not in {*keys, "n", "fraction", "low", "high"}]
+    stats = materialise(stats, "group-stats")
     joined = df.select(*keys, F.col(value).alias("v")).filter("v is not null").join(stats, list(keys))
     low, high = F.col("low"), F.col("high")
     inside_or_below = joined.filter(high.isNull() | (F.col("v") <= high))
     # NULL stands for "below the bracket": one row per group and task after map-side counting.
     binned = inside_or_below.select(
-        *keys, F.when(low.isNull() | (F.col("v") >= low), F.col("v")).alias("v"), "n", "fraction"
+        *keys, F.when(low.isNull() | (F.col("v") >= low), F.col("v")).alias("v"), "n", "fraction", *carried
     )
-    counts = binned.groupBy(*keys, "n", "fraction", "v").agg(F.count(F.lit(1)).alias("c"))
+    counts = binned.groupBy(*keys, "n", "fraction", *carried, "v").agg(F.count(F.lit(1)).alias("c"))
     running = (
         Window.partitionBy(*keys).orderBy(F.col("v").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -84,12 +92,13 @@ def _pick_ranks(df: DataFrame, stats: DataFrame, keys: Sequence[str], value: str
     picked = ranked.groupBy(*keys).agg(
         at(F.floor("position")).alias("v_low"),
         at(F.ceil("position")).alias("v_high"),
-        F.first(F.col("position") - F.floor("position")).alias("part"),
+        F.max(F.col("position") - F.floor("position")).alias("part"),
+        *[F.max(c).alias(c) for c in carried],
     )
     missed = F.col("v_low").isNull() | F.col("v_high").isNull()
     quantile = interpolate(F.col("v_low"), F.col("v_high"), F.col("part"))
     checked = F.when(missed, F.raise_error(F.lit("rank outside the sketched bracket")).cast("double")).otherwise(quantile)
-    return picked.select(*keys, checked.alias("quantile"))
+    return picked.select(*keys, checked.alias("quantile"), *carried)
 
 
 def group_quantile(
@@ -142,5 +151,4 @@ def mean_to_max_quantile(
     stats = base.select(
         *keys, "n", "f_star", ((F.col("f_star") * 100) / 100).alias("fraction"), low.alias("low"), high.alias("high")
     )
-    quantile = _pick_ranks(present, stats.drop("f_star"), keys, value)
-    return stats.select(*keys, "f_star").join(quantile, list(keys)).withColumnRenamed("quantile", "threshold")
+    return _pick_ranks(present, stats, keys, value).withColumnRenamed("quantile", "threshold")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.fixed import CONGESTION_PERCENTILE
 from ..functions.scalars import exceeds
+from ..session import materialise
 from .quantiles import group_quantile, mean_to_max_quantile
 
 
@@ -37,10 +38,11 @@ def flag_congestion(
     **options,
 ) -> DataFrame:
     """Attach the threshold and the strict flag. One threshold row per group, so the join never
-    multiplies rows; Spark broadcasts the thresholds if their measured size allows, and splits
-    skewed groups otherwise."""
+    multiplies rows. The thresholds are staged, so that the planner sees their size: it broadcasts
+    them below its limit, and otherwise joins by shuffle with skewed groups split."""
     if thresholds is None:
-        thresholds = percentile_thresholds(df, keys=keys, value=value, percentile=percentile, **options)
+        found = percentile_thresholds(df, keys=keys, value=value, percentile=percentile, **options)
+        thresholds = materialise(found, "thresholds")
     return df.join(thresholds, list(keys), "left").withColumn(
         "is_congestion_risk", exceeds(value, "congestion_threshold")
     )
@@ -63,7 +65,7 @@ def mean_to_max_thresholds(
 def flag_mean_to_max(
     df: DataFrame, *, keys: Sequence[str] = ("CellID",), value: str = "total_activity"
 ) -> DataFrame:
-    thresholds = mean_to_max_thresholds(df, keys=keys, value=value)
+    thresholds = materialise(mean_to_max_thresholds(df, keys=keys, value=value), "thresholds")
     return df.join(thresholds, list(keys), "left").withColumn(
         "is_congestion_risk", exceeds(value, "loubar_threshold")
     )

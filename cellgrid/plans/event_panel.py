@@ -27,7 +27,7 @@ def raw_activity(spark: SparkSession, folder: str) -> DataFrame:
     keyed = events.select(
         hour_key("ts").alias("datetime"),
         (F.col("user_id") % (GRID * GRID) + 1).alias("CellID"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("countrycode"),
+        F.regexp_extract("props", r'"k": (\d+)', 1).cast("bigint").alias("countrycode"),
         "event_type",
         cents.alias("cents"),
     )

@@ -488,3 +488,4 @@ ORACLES["calendar_table_diagnosis"] = _with(f"""
                 ELSE 'isolated — only ' || hits || '/' || total || ' neighbors at risk' END AS reason
     FROM (SELECT *, CAST(target_datetime_2h AS DATE) IN {_BUSY} AS on_t,
                  CAST(target_datetime_2h - INTERVAL 24 HOUR AS DATE) IN {_BUSY} AS on_s FROM counted2)""", "counted2")
+ORACLES["coverage_per_hour_in_rounds"] = ORACLES["coverage_per_hour"]

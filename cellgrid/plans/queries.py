@@ -396,7 +396,7 @@ def chronological_split(spark, folder):
 @query
 def baseline_error_metrics(spark, folder):
     _, test = _split(spark, folder)
-    found = forecast.evaluate(materialise(test, "test"), with_model=False)
+    found = forecast.evaluate(test, with_model=False)
     return found.withColumns({c: _rounded(c) for c in ("mae_base", "mape_base")})
 
 
@@ -472,8 +472,7 @@ def diagnosis(spark, folder):
 
 @query
 def diagnosis_all_horizons(spark, folder):
-    risk = ep.staged_risk_panel(spark, folder)
-    return diag.diagnose_all(risk, holidays=ep.HOLIDAYS, grid_size=ep.GRID)
+    return diag.diagnose_all(ep.risk_panel(spark, folder), holidays=ep.HOLIDAYS, grid_size=ep.GRID)
 
 
 @query
@@ -543,10 +542,21 @@ def coverage_per_hour(spark, folder):
     )
 
 
+@query
+def coverage_per_hour_in_rounds(spark, folder):
+    """The same totals from the method for very large grids."""
+    _, cases, edges = _edges(spark, folder)
+    covered = allocation.coverage(cases, allocation.allocate(edges, grid_size=ep.GRID, method="rounds"))
+    return covered.groupBy("target_datetime").agg(
+        F.count(F.lit(1)).alias("n_cases"), _rounded(F.sum("deficit"), 3).alias("deficit"),
+        _rounded(F.sum("covered"), 3).alias("covered"),
+    )
+
+
 @query
 def coverage_totals(spark, folder):
     _, cases, edges = _edges(spark, folder)
-    covered = materialise(allocation.coverage(cases, allocation.allocate(edges, grid_size=ep.GRID)), "coverage")
+    covered = allocation.coverage(cases, allocation.allocate(edges, grid_size=ep.GRID))
     totals = allocation.coverage_totals(covered)
     return totals.select(
         "n_cases", "n_hours", _rounded("total_deficit", 3).alias("total_deficit"),
@@ -583,15 +593,23 @@ def hours_with_routine_cases(spark, folder):
 # ---- reports and serving ----------------------------------------------------------------
 
 
-def _serving(spark, folder):
-    """Serving tables with the even plan; reports for all routine cases."""
+def _moves(spark, folder):
     diagnosed, cases, edges = _edges(spark, folder)
-    moves = materialise(ep.even_moves(edges), "moves")
-    covered = allocation.coverage(cases, moves)
-    tables = serving.build_serving_tables(diagnosed, covered, moves, grid_size=ep.GRID)
-    tables["cases"] = materialise(tables["cases"], "cases")
-    tables["sources"] = materialise(serving.build_sources(tables["cases"], moves, grid_size=ep.GRID), "sources")
-    return tables
+    return diagnosed, cases, materialise(ep.even_moves(edges), "moves")
+
+
+def _case_table(spark, folder):
+    """Case table with the even plan, and the plan."""
+    diagnosed, cases, moves = _moves(spark, folder)
+    return serving.build_cases(diagnosed, allocation.coverage(cases, moves)), moves
+
+
+def _serving(spark, folder):
+    """Serving tables with the even plan; reports start empty."""
+    cases, moves = _case_table(spark, folder)
+    cases = materialise(cases, "cases")
+    sources = materialise(serving.build_sources(cases, moves, grid_size=ep.GRID), "sources")
+    return {"cases": cases, "sources": sources, "reports": serving.empty_reports(spark)}
 
 
 def _reported(tables):
@@ -605,8 +623,7 @@ def _reported(tables):
 @query
 def assembled_cases(spark, folder):
     """Diagnosed rows with coverage and their nested sources, as text."""
-    diagnosed, cases, edges = _edges(spark, folder)
-    moves = materialise(ep.even_moves(edges), "moves")
+    diagnosed, cases, moves = _moves(spark, folder)
     built = reports.assemble_cases(diagnosed, allocation.coverage(cases, moves), moves, grid_size=ep.GRID)
     listed = F.array_join(
         F.transform("sources", lambda s: F.concat(s["source"].cast("string"), F.lit(":"), scalars.fixed_decimals(s["amount"], 1))),
@@ -621,8 +638,7 @@ def assembled_cases(spark, folder):
 @query
 def case_reports(spark, folder):
     """Report text of every diagnosed case."""
-    diagnosed, cases, edges = _edges(spark, folder)
-    moves = materialise(ep.even_moves(edges), "moves")
+    diagnosed, cases, moves = _moves(spark, folder)
     built = reports.assemble_cases(diagnosed, allocation.coverage(cases, moves), moves, grid_size=ep.GRID)
     return reports.with_reports(built).select("CellID", "target_datetime", "classification", "report")
 
@@ -635,13 +651,14 @@ def first_cases_per_class(spark, folder):
 
 @query
 def case_table(spark, folder):
-    cases = _serving(spark, folder)["cases"]
+    cases, _ = _case_table(spark, folder)
     return cases.withColumns({c: _rounded(c, 3) for c in ("deficit", "covered")})
 
 
 @query
 def source_table(spark, folder):
-    sources = _serving(spark, folder)["sources"]
+    cases, moves = _case_table(spark, folder)
+    sources = serving.build_sources(cases, moves, grid_size=ep.GRID)
     return sources.withColumn("amount_moved", _rounded("amount_moved", 3))
 
 

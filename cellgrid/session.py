@@ -50,13 +50,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path for a stage table in the shared folder."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/cellgrid-{application}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str = "stage", *, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and continue from the files.
 
     For tables with several consumers: they are computed once, later scans prune columns,
     joins see real sizes, and a lost executor costs a re-read, not a recomputation.
+    ``path`` reuses a path whose former content is no longer needed.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cellgrid-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = path or stage_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
