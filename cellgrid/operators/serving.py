@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.fixed import CASE_LABEL, DEFAULT_CASE_LIMIT, GRID_SIZE
 from ..functions.grid import cell_x, cell_y
 from ..functions.scalars import fill_template, round_binary
+from ..session import materialise
 from .reports import report_text, time_text
 from .series import ordered_index
 
@@ -97,7 +98,7 @@ def build_serving_tables(
 ) -> dict[str, DataFrame]:
     """The three tables of a full reload; reports start empty."""
     spark = diagnosed.sparkSession
-    cases = build_cases(diagnosed, covered, horizon=horizon, cell_col=cell_col)
+    cases = materialise(build_cases(diagnosed, covered, horizon=horizon, cell_col=cell_col), "cases")
     if moves is None:
         sources = spark.createDataFrame([], "id long, case_id long, source_cell_id long, amount_moved double")
     else:

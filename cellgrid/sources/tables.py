@@ -26,7 +26,7 @@ def load_table(spark: SparkSession, base: str, *, required: bool = True, schema=
 
     def read_csv(path: str) -> DataFrame:
         reader = spark.read.schema(schema) if schema is not None else spark.read.option("inferSchema", True)
-        return reader.csv(path, header=True, timestampNTZFormat="yyyy-MM-dd[ ]['T']HH:mm:ss[.SSSSSS]")
+        return reader.csv(path, header=True)
 
     found = _read_or_none(read_csv, base + ".csv")
     if found is None and required:
