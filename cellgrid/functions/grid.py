@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .fixed import GRID_SIZE
 
@@ -36,26 +36,40 @@ def neighbor_total(cell: Column | str, grid_size: int = GRID_SIZE) -> Column:
     return span(cell_x(cell, grid_size)) * span(cell_y(cell, grid_size)) - 1
 
 
-def neighbor_structs(cell: Column | str, grid_size: int = GRID_SIZE) -> Column:
-    """Array of ``struct(pos, neighbor)`` for the surrounding cells that lie on the grid.
+# Offsets of the surrounding positions, column by column; their rank is the order of neighbours.
+OFFSETS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) != (0, 0)]
 
-    ``pos`` numbers the positions column by column, so it gives a stable order.
-    """
+
+def neighbor_ids(cell: Column | str, grid_size: int = GRID_SIZE) -> Column:
+    """Array of the eight surrounding cells in order; NULL stands for a position off the grid."""
     x, y = cell_x(cell, grid_size), cell_y(cell, grid_size)
-    around = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) != (0, 0)]
-    candidates = F.array(
+    return F.array(
         *[
             F.when(
                 (x + dx).between(1, grid_size) & (y + dy).between(1, grid_size),
-                F.struct(
-                    F.lit(pos).alias("pos"),
-                    (_col(cell) + dy * grid_size + dx).cast("long").alias("neighbor"),
-                ),
+                (_col(cell) + dy * grid_size + dx).cast("long"),
             )
-            for pos, (dx, dy) in enumerate(around)
+            for dx, dy in OFFSETS
         ]
     )
-    return F.filter(candidates, lambda s: s.isNotNull())
+
+
+def spread_to_neighbors(df: DataFrame, cell: str, grid_size: int = GRID_SIZE) -> DataFrame:
+    """One row per row and neighbour on the grid, with ``pos`` and ``neighbor`` added.
+
+    The offsets are a constant array and the rest is arithmetic, so it all stays in generated code.
+    """
+    offsets = F.array(
+        *[F.struct(F.lit(p).alias("pos"), F.lit(dx).alias("_dx"), F.lit(dy).alias("_dy")) for p, (dx, dy) in enumerate(OFFSETS)]
+    )
+    placed = df.filter(on_grid(cell, grid_size)).withColumns(
+        {"_x": cell_x(cell, grid_size), "_y": cell_y(cell, grid_size)}
+    )
+    spread = placed.select("*", F.inline(offsets)).filter(
+        (F.col("_x") + F.col("_dx")).between(1, grid_size) & (F.col("_y") + F.col("_dy")).between(1, grid_size)
+    )
+    neighbor = (F.col(cell) + F.col("_dy") * grid_size + F.col("_dx")).cast("long")
+    return spread.select(*df.columns, "pos", neighbor.alias("neighbor"))
 
 
 def tile_of(x: Column, y: Column, tile: int, grid_size: int) -> Column:

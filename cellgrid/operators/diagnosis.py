@@ -21,6 +21,7 @@ from ..functions.fixed import (
 )
 from ..functions.grid import neighbor_total
 from ..functions.scalars import date_key, exceeds, fill_template, hour_key, shift_hours, source_date
+from ..session import materialise
 from .neighbors import with_neighbor_hits
 from .series import shift_rows, shift_rows_blocked
 
@@ -72,8 +73,9 @@ def with_holiday_flags(df: DataFrame, target: str, holidays: Holidays = KNOWN_HO
     """Add ``_target_holiday`` and ``_source_holiday``."""
     dates = {"_target_holiday": date_key(target), "_source_holiday": source_date(target)}
     if isinstance(holidays, DataFrame):
-        # A calendar has one row per date at most; Spark decides on broadcasting by its size.
+        # One row per date, staged so that the planner sees its size and can broadcast it.
         days = holidays.select(F.col(date_column).cast("date").alias("_day")).filter("_day is not null").distinct()
+        days = materialise(days, "calendar")
         for name, day in dates.items():
             mark = days.select(F.col("_day").alias(f"{name}_day"), F.lit(True).alias(name))
             df = df.join(mark, day == F.col(f"{name}_day"), "left").drop(f"{name}_day")

@@ -14,9 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.fixed import GRID_SIZE
-from ..functions.grid import cell_x, cell_y, neighbor_structs, on_grid, tile_of, tiles_touched
+from ..functions.grid import cell_x, cell_y, neighbor_ids, on_grid, spread_to_neighbors, tile_of, tiles_touched
 
 TILE = 16
+# Smaller tiles where a window hands the cells of its tile to every row.
+HIT_TILE = 8
 
 
 def neighbor_totals(
@@ -38,9 +40,7 @@ def neighbor_totals(
         .withColumn("_tile", F.explode(tiles_touched(cell_col, tile, grid_size)))
         .repartition("_tile", time_col)
     )
-    spread = placed.select(
-        "_tile", time_col, "_v", F.explode(F.transform(neighbor_structs(cell_col, grid_size), lambda s: s["neighbor"])).alias("_to")
-    )
+    spread = spread_to_neighbors(placed, cell_col, grid_size).withColumnRenamed("neighbor", "_to")
     # A contribution counts only in the tile that owns its target, so border copies count once.
     owner = tile_of(cell_x("_to", grid_size), cell_y("_to", grid_size), tile, grid_size)
     return (
@@ -94,14 +94,14 @@ def with_neighbor_hits(
     cell_col: str = "CellID",
     time_col: str = "target_hour_key",
     grid_size: int = GRID_SIZE,
-    tile: int = TILE,
+    tile: int = HIT_TILE,
     keys: Sequence[str] = (),
 ) -> DataFrame:
     """Attach to every row how many of its neighbours also have a row in ``df`` at the same time
     (and with the same ``keys``).
 
     One exchange: each row meets the cells of its tile and time in a window, whose set of
-    cells holds at most 18 x 18 numbers. Nothing is joined, so ``df`` is computed once.
+    cells holds at most 10 x 10 numbers. Nothing is joined, so ``df`` is computed once.
     """
     x, y = cell_x(cell_col, grid_size), cell_y(cell_col, grid_size)
     home = F.when(on_grid(cell_col, grid_size), tile_of(x, y, tile, grid_size))
@@ -110,8 +110,9 @@ def with_neighbor_hits(
     copies = df.select("*", home.alias("_home"), F.explode_outer(touched).alias("_tile"))
     together = Window.partitionBy("_tile", time_col, *keys, F.when(F.col("_tile").isNull(), F.col(cell_col)))
     present = copies.withColumn("_cells", F.collect_set(cell_col).over(together))
-    around = F.transform(neighbor_structs(cell_col, grid_size), lambda s: s["neighbor"])
-    hits = F.when(F.col("_home").isNull(), F.lit(0)).otherwise(F.size(F.array_intersect(around, "_cells")))
+    hits = F.when(F.col("_home").isNull(), F.lit(0)).otherwise(
+        F.size(F.array_intersect(neighbor_ids(cell_col, grid_size), "_cells"))
+    )
     return (
         present.filter(F.col("_home").eqNullSafe(F.col("_tile")))
         .withColumn(name, hits.cast("long"))
@@ -123,5 +124,4 @@ def neighbor_rows(
     df: DataFrame, *, cell_col: str = "CellID", grid_size: int = GRID_SIZE
 ) -> DataFrame:
     """One row per row of ``df`` and neighbour on the grid, with ``pos`` and ``neighbor``."""
-    on = df.filter(on_grid(cell_col, grid_size))
-    return on.select("*", F.inline(neighbor_structs(cell_col, grid_size)))
+    return spread_to_neighbors(df, cell_col, grid_size)

@@ -36,26 +36,24 @@ def _rank_slack(n: Column, accuracy: int) -> Column:
     return F.lit(1.0 / accuracy) + F.lit(2.0) / n
 
 
-def _literal_bracket(value: str, fraction: float, accuracy: int) -> tuple[Column, Column]:
-    """Arrays of sketched values below and above ``fraction`` at the margins of :func:`_margins`."""
-
-    def pivots(sign: int) -> Column:
-        wanted = [min(max(fraction + sign * m, 0.0), 1.0) for m in _margins(accuracy)]
-        return F.percentile_approx(value, F.array(*[F.lit(w) for w in wanted]), F.lit(accuracy))
-
-    return pivots(-1), pivots(1)
-
-
 def _margins(accuracy: int) -> list[float]:
     return [4.0 * 10**k / accuracy for k in range(6) if 4.0 * 10**k / accuracy < 0.5]
 
 
+def _pivots(value: str, fraction: float, accuracy: int) -> Column:
+    """Sketched values at every margin below and above ``fraction``, from one sketch."""
+    wanted = [min(max(fraction + sign * m, 0.0), 1.0) for sign in (-1, 1) for m in _margins(accuracy)]
+    return F.percentile_approx(value, F.array(*[F.lit(w) for w in wanted]), F.lit(accuracy))
+
+
 def _choose_margin(pivots: Column, n: Column, fraction: float, sign: int, accuracy: int) -> Column:
     """The value at the narrowest sufficient margin; NULL (open side) when the group is too small for one."""
+    margins = _margins(accuracy)
+    first = 0 if sign < 0 else len(margins)
     chosen = F.lit(None).cast("double")
-    for i, margin in reversed(list(enumerate(_margins(accuracy)))):
+    for i, margin in reversed(list(enumerate(margins))):
         if 0.0 < fraction + sign * margin < 1.0:
-            chosen = F.when(_rank_slack(n, accuracy) <= margin, F.get(pivots, F.lit(i))).otherwise(chosen)
+            chosen = F.when(_rank_slack(n, accuracy) <= margin, F.get(pivots, F.lit(first + i))).otherwise(chosen)
     return chosen
 
 
@@ -118,11 +116,11 @@ def group_quantile(
     present = df.filter(F.col(value).isNotNull())
     if not sketch:
         return present.groupBy(*keys).agg(F.percentile(value, F.lit(fraction)).alias("quantile"))
-    below, above = _literal_bracket(value, fraction, accuracy)
-    stats = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), below.alias("below"), above.alias("above")).select(
+    pivots = _pivots(value, fraction, accuracy)
+    stats = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pivots.alias("pivots")).select(
         *keys, "n", F.lit(float(fraction)).alias("fraction"),
-        _choose_margin(F.col("below"), F.col("n"), fraction, -1, accuracy).alias("low"),
-        _choose_margin(F.col("above"), F.col("n"), fraction, 1, accuracy).alias("high"),
+        _choose_margin(F.col("pivots"), F.col("n"), fraction, -1, accuracy).alias("low"),
+        _choose_margin(F.col("pivots"), F.col("n"), fraction, 1, accuracy).alias("high"),
     )
     return _pick_ranks(present, stats, keys, value)
 

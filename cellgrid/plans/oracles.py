@@ -275,13 +275,12 @@ ORACLES: dict[str, str] = {
                CAST(isodow(datetime) - 1 AS INTEGER) AS day_of_week, CAST(isodow(datetime) >= 6 AS INTEGER) AS is_weekend
         FROM collapsed""", "collapsed"),
     "grid_positions": """
-        SELECT cell, x, y, (y - 1) * 100 + x AS again,
+        SELECT p_partkey, x, y, (y - 1) * 100 + x AS again,
                (CASE WHEN x IN (1, 100) THEN 2 ELSE 3 END) * (CASE WHEN y IN (1, 100) THEN 2 ELSE 3 END) - 1::BIGINT AS n_neighbors
-        FROM (SELECT p_partkey AS cell, (p_partkey - 1) % 100 + 1 AS x, (p_partkey - 1) // 100 + 1 AS y
-              FROM part WHERE p_partkey BETWEEN 1 AND 10000)""",
+        FROM (SELECT p_partkey, p_partkey % 100 + 1 AS x, p_partkey // 100 % 100 + 1 AS y FROM part)""",
     "grid_neighbors": _with("""
-        SELECT cell, CAST(pos AS INTEGER) AS pos, CAST(cell + dx + 100 * dy AS BIGINT) AS neighbor
-        FROM (SELECT p_partkey AS cell FROM part WHERE p_partkey BETWEEN 1 AND 10000), offsets
+        SELECT p_partkey, cell, CAST(pos AS INTEGER) AS pos, CAST(cell + dx + 100 * dy AS BIGINT) AS neighbor
+        FROM (SELECT p_partkey, p_partkey % 10000 + 1 AS cell FROM part), offsets
         WHERE (cell - 1) % 100 + dx BETWEEN 0 AND 99 AND (cell - 1) // 100 + dy BETWEEN 0 AND 99""", "offsets"),
     "target_times": _with("""
         SELECT "CellID", datetime, datetime + INTERVAL 3 HOUR AS target, datetime + INTERVAL 3 HOUR AS target_hour,
@@ -367,11 +366,11 @@ ORACLES: dict[str, str] = {
                lag(total_activity, 1) OVER w AS total_activity_lag_1, lag(total_activity, 24) OVER w AS total_activity_lag_24,
                lag(total_activity, 168) OVER w AS total_activity_lag_168
         FROM panel WINDOW w AS (ORDER BY datetime, "CellID", _source_file)""", "panel"),
-    "per_order_line_lags": """
+    "supplier_line_lags": """
         SELECT l_suppkey, l_shipdate, l_orderkey, l_linenumber, l_extendedprice,
                CAST(isodow(l_shipdate) - 1 AS INTEGER) AS day_of_week, CAST(isodow(l_shipdate) >= 6 AS INTEGER) AS is_weekend,
                lag(l_extendedprice, 1) OVER w AS l_extendedprice_lag_1, lag(l_extendedprice, 7) OVER w AS l_extendedprice_lag_7
-        FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber)""",
+        FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice)""",
     "one_value_per_cell_time": _with("""
         SELECT "CellID", datetime, arg_min(total_activity, _source_file) AS total_activity FROM panel GROUP BY 1, 2""", "panel"),
     "neighbor_average": _with("""

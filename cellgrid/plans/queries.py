@@ -134,20 +134,24 @@ def calendar_parts(spark, folder):
     )
 
 
+def _part_cells(spark, folder):
+    """Part keys laid out row by row on the 100 x 100 grid, again and again."""
+    key = F.col("p_partkey")
+    return _table(spark, folder, "part").select("p_partkey", (F.pmod(key, F.lit(10_000)) + 1).alias("cell"))
+
+
 @query
 def grid_positions(spark, folder):
-    """Part keys as cells of the 100 x 100 grid: position, neighbour count and the way back."""
-    cells = _table(spark, folder, "part").select(F.col("p_partkey").alias("cell"))
-    placed = cells.filter(grid.on_grid("cell")).withColumns({"x": grid.cell_x("cell"), "y": grid.cell_y("cell")})
+    """Position, neighbour count and the way back."""
+    placed = _part_cells(spark, folder).withColumns({"x": grid.cell_x("cell"), "y": grid.cell_y("cell")})
     return placed.select(
-        "cell", "x", "y", grid.cell_at("x", "y").alias("again"), grid.neighbor_total("cell").alias("n_neighbors")
+        "p_partkey", "x", "y", grid.cell_at("x", "y").alias("again"), grid.neighbor_total("cell").alias("n_neighbors")
     )
 
 
 @query
 def grid_neighbors(spark, folder):
-    cells = _table(spark, folder, "part").select(F.col("p_partkey").alias("cell"))
-    return neighbors.neighbor_rows(cells, cell_col="cell")
+    return neighbors.neighbor_rows(_part_cells(spark, folder), cell_col="cell")
 
 
 @query
@@ -327,14 +331,14 @@ def whole_frame_lags(spark, folder):
 
 
 @query
-def per_order_line_lags(spark, folder):
+def supplier_line_lags(spark, folder):
     """Generic lags within a partition, on the sales tables: earlier prices of the same supplier."""
     lines = _table(spark, folder, "lineitem").select(
         "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"
     )
     built = features.add_lag_and_seasonal_features(
         lines, "l_extendedprice", time_col="l_shipdate", lags=(1, 7), partition=["l_suppkey"],
-        order=["l_shipdate", "l_orderkey", "l_linenumber"],
+        order=["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"],
     )
     return built.drop("hour")
 
