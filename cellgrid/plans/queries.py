@@ -408,14 +408,14 @@ def baseline_error_metrics(spark, folder):
 def boosted_tree_metrics(spark, folder):
     """Trains one model per horizon; figures depend on the trees, so only the rows are comparable."""
     train, test = (materialise(p, n) for n, p in zip(("train", "test"), _split(spark, folder)))
-    models = forecast.fit_horizons(train, grid_size=ep.GRID, trees=10)
+    models = forecast.fit_horizons(train, grid_size=ep.GRID)
     return forecast.evaluate(forecast.predict_horizons(test, models, grid_size=ep.GRID))
 
 
 @query
 def boosted_tree_importances(spark, folder):
     train, _ = _split(spark, folder)
-    models = forecast.fit_horizons(materialise(train, "train"), (1,), grid_size=ep.GRID, trees=10)
+    models = forecast.fit_horizons(materialise(train, "train"), (1,), grid_size=ep.GRID)
     return forecast.top_importances(models, spark)
 
 
