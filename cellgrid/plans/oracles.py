@@ -337,7 +337,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT count(*) AS n, avg(internet) FILTER (hour(datetime) BETWEEN 6 AND 17) AS a,
                      avg(internet) FILTER (hour(datetime) BETWEEN 18 AND 23) AS b FROM panel WHERE "CellID" = 13)
         UNION ALL
-        SELECT 'centre_high', 23, round(a, 6), round(b, 6),
+        SELECT 'centre_high', 23, round(a, 6), CASE WHEN a IS NOT NULL THEN round(b, 6) END,
                CASE WHEN a IS NULL THEN 'NO ROWS' WHEN b >= 90 THEN 'PASS' ELSE 'WEAKER THAN EXPECTED' END
         FROM (SELECT max(CASE WHEN "CellID" = 23 THEN m END) AS a,
                      avg(CASE WHEN m < (SELECT avg(total_activity) FROM panel WHERE "CellID" = 23) THEN 1 ELSE 0 END) * 100 AS b
@@ -419,8 +419,9 @@ ORACLES: dict[str, str] = {
     "coverage_per_hour": _with("""
         SELECT target_datetime, n_cases, round(deficit, 3) AS deficit, round(covered, 3) AS covered FROM hourly""", "hourly"),
     "coverage_totals": _with("""
-        SELECT CAST(sum(n_cases) AS BIGINT) AS n_cases, count(*) AS n_hours, round(sum(deficit), 3) AS total_deficit,
-               round(sum(covered), 3) AS total_covered, round(sum(covered) / sum(deficit), 6) AS coverage_rate FROM hourly""", "hourly"),
+        SELECT CAST(coalesce(sum(n_cases), 0) AS BIGINT) AS n_cases, count(*) AS n_hours,
+               round(coalesce(sum(deficit), 0), 3) AS total_deficit, round(coalesce(sum(covered), 0), 3) AS total_covered,
+               round(sum(covered) / sum(deficit), 6) AS coverage_rate FROM hourly""", "hourly"),
     "plan_violations": _with("""
         SELECT DISTINCT target_datetime, CAST(0 AS BIGINT) AS cases_overdrawn, CAST(0 AS BIGINT) AS sources_overdrawn,
                CAST(0 AS DOUBLE) AS gap FROM edges""", "edges"),
