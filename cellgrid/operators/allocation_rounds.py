@@ -67,15 +67,19 @@ def _round(state: DataFrame) -> DataFrame:
     return settled
 
 
-def _close_gaps(state: DataFrame) -> DataFrame:
-    """Close the sources above the lowest label that no source of the hour has."""
+def _close_gaps(state: DataFrame, path: str) -> DataFrame:
+    """Close the sources above the lowest label that no source of the hour has.
+
+    The table of gaps has one row per hour; it is staged at ``path``, so that the planner can
+    broadcast it by its real size instead of shuffling the edges by hour.
+    """
     labels = state.filter(F.col("label") < CLOSED).select("target_datetime", "label").distinct()
     # As many labels as rounds at most; the first missing one ends the run 0, 1, 2, ...
     rank = F.row_number().over(Window.partitionBy("target_datetime").orderBy("label")) - 1
     runs = labels.withColumn("rank", rank).filter("label = rank").groupBy("target_datetime").agg(
         (F.max("label") + 1).alias("gap")
     )
-    joined = state.join(runs, "target_datetime", "left")
+    joined = state.join(materialise(runs, path=path), "target_datetime", "left")
     above = F.col("label") > F.coalesce("gap", F.lit(0))
     no_zero = F.col("gap").isNull()
     return joined.withColumn("label", F.when(above | no_zero, F.lit(CLOSED)).otherwise(F.col("label"))).drop("gap")
@@ -85,14 +89,14 @@ def solve_in_rounds(edges: DataFrame, *, max_rounds: int = 10_000) -> DataFrame:
     """Moves of a best plan: target_datetime, congested_cell, source_cell, amount_moved.
 
     Each round ends in a stage table, so that plans stay short and a lost executor costs one
-    round at most; two paths take turns, so that old rounds do not pile up. ``max_rounds`` is
+    round at most; the paths are used again, so that old rounds do not pile up. ``max_rounds`` is
     a guard: reaching it is an error, never a partial plan.
     """
-    at_rest, under_way = (stage_path(edges.sparkSession, "round") for _ in range(2))
+    at_rest, under_way, gaps = (stage_path(edges.sparkSession, "round") for _ in range(3))
     state = materialise(_start(edges), path=at_rest)
     for _ in range(max_rounds):
         placed = materialise(_round(state), path=under_way)
-        state = materialise(_close_gaps(placed), path=at_rest)
+        state = materialise(_close_gaps(placed, gaps), path=at_rest)
         if state.filter("returned > 0").isEmpty():
             return state.filter(F.col("flow") > AMOUNT_TOLERANCE).select(
                 "target_datetime", "congested_cell", "source_cell", F.col("flow").alias("amount_moved")
