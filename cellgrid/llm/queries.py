@@ -5,10 +5,27 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, orc_tokens, packing, prefix_bpe, secret_ledger
+from . import co_training, conv_toxicity, exact_dedup, html_density, orc_tokens, packing, prefix_bpe, secret_ledger
 from .common import stage_path, table
 
 
+def op1_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = co_training.fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = co_training.score_quality(docs, model, carry=["doc_id"])
+    return scored.withColumn("held_out", conv_toxicity.held_out("doc_id"))
+
+
+def op2_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op3_conv_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = conv_toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return conv_toxicity.score_toxicity(docs, model)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
@@ -43,7 +60,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_exact_dedup, op5_orc_tokens, op6_prefix_bpe, op8_secret_ledger, op9_packing,
+    op1_co_training, op2_text_density, op3_conv_toxicity, op4_exact_dedup, op5_orc_tokens, op6_prefix_bpe, op8_secret_ledger, op9_packing,
 )}
 
 # Characters of one class, so that RE2's case folding adds none outside ASCII.
