@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import co_training, conv_toxicity, exact_dedup, html_density, orc_tokens, packing, prefix_bpe, secret_ledger
+from . import co_training, conv_toxicity, exact_dedup, html_density, orc_tokens, order_minhash, packing, prefix_bpe, secret_ledger
 from .common import stage_path, table
 
 
@@ -42,6 +42,11 @@ def op6_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.round_trip_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = order_minhash.near_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", "class_size", "kept")
+
+
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_ledger.new_ledger(spark).scan(table(spark, sf_dir, "documents"), path_cols=["doc_id"])
     joined = F.array_join(F.transform("found", lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
@@ -60,7 +65,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_co_training, op2_text_density, op3_conv_toxicity, op4_exact_dedup, op5_orc_tokens, op6_prefix_bpe, op8_secret_ledger, op9_packing,
+    op1_co_training, op2_text_density, op3_conv_toxicity, op4_exact_dedup, op5_orc_tokens, op6_prefix_bpe, op7_order_minhash, op8_secret_ledger, op9_packing,
 )}
 
 # Characters of one class, so that RE2's case folding adds none outside ASCII.
