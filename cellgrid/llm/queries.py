@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import co_training, conv_toxicity, exact_dedup, html_density, orc_tokens, order_minhash, packing, prefix_bpe, secret_ledger
+from . import co_training, conv_toxicity, exact_dedup, html_density, orc_tokens, order_minhash, packing, prefix_bpe, projection_passes, secret_ledger
 from .common import stage_path, table
 
 
@@ -64,8 +64,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer, end_id=1, with_ids=False)
 
 
+def op10_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_passes.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_co_training, op2_text_density, op3_conv_toxicity, op4_exact_dedup, op5_orc_tokens, op6_prefix_bpe, op7_order_minhash, op8_secret_ledger, op9_packing,
+    op10_projection_passes,
 )}
 
 # Characters of one class, so that RE2's case folding adds none outside ASCII.
