@@ -294,7 +294,8 @@ def score_quality(
     fields = [docs.schema[c] for c in carry]
     schema = T.StructType(fields + ([] if only_kept else [T.StructField(n, T._parse_datatype_string(t)) for n, t in SCORE_FIELDS]))
     # Inputs go first under positions, so that names may clash.
-    ordered = docs.select(F.col(text_col), F.col(lang_col).cast("string"), F.col(source_col).cast("string"), *[F.col(c) for c in carry])
+    inputs = [F.col(text_col), F.col(lang_col).cast("string"), F.col(source_col).cast("string"), *[F.col(c) for c in carry]]
+    ordered = docs.select(*[c.alias(f"_{i}") for i, c in enumerate(inputs)])
 
     def run(batches):
         m = shared.value

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import materialise, stage_path, text_or_empty
+from .common import fresh_column, materialise, stage_path, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -101,22 +101,26 @@ class SecretLedger:
     def scan(self, df: DataFrame, *, path_cols: list[str], text_col: str = "text") -> DataFrame:
         """Scan what is unseen of ``df`` and return every row's findings.
 
-        Each row is one version of a path. Columns: ``path_cols``, ``blob``, ``row`` and
-        ``found``, an array of (start, kind_no, kind, end) ordered by start, then rule; empty
+        Each row is one version of a path. Columns: ``path_cols``, ``blob`` and ``found``, an array of (start, kind_no, kind, end) ordered by start, then rule; empty
         where nothing is found. A null text counts as empty. Repeated rows and equal texts are
         one blob and all get its findings. An empty table gives no rows.
         """
         text = text_or_empty(text_col)
         staged = materialise(
             df.select(
-                *[F.col(c).alias(f"path_{i}") for i, c in enumerate(path_cols)], F.sha2(text, 256).alias("blob"),
-                F.monotonically_increasing_id().alias("row"), text.alias("content"),
+                *[F.col(c).alias(f"path_{i}") for i, c in enumerate(path_cols)], F.sha2(text, 256).alias("blob"), text.alias("content"),
             ),
             "versions",
         )
-        blobs = staged.groupBy("blob").agg(F.min("row").alias("row"))  # the row to read a blob's text from
-        todo = blobs.join(self.unseen(blobs), "blob").select("row", "todo")
-        texts = staged.select("row", "blob", "content").join(todo.hint("shuffle_hash"), "row")
+        self._scan_new(staged)
+        return self.joined_back(staged.drop("content"), path_cols)
+
+    def _scan_new(self, contents: DataFrame) -> None:
+        """Scan the unseen pairs of a stage table of ``blob, content`` and record them."""
+        rows = contents.select("blob", "content", F.monotonically_increasing_id().alias("row"))
+        blobs = rows.groupBy("blob").agg(F.min("row").alias("row"))  # the row to read a blob's text from
+        todo = materialise(blobs.join(self.unseen(blobs), "blob").select("row", "todo"), "todo")
+        texts = rows.join(todo.hint("shuffle_hash"), "row")
 
         def of(rule: Rule) -> Column:
             named = F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version")
@@ -133,7 +137,19 @@ class SecretLedger:
         versions = F.create_map(*[x for r in self.rules for x in (F.lit(r.kind), F.lit(r.version))])
         seen_rows = scanned.select("blob", F.explode("todo").alias("kind"))
         seen_rows.withColumn("version", versions[F.col("kind")]).write.mode("append").parquet(f"{self.path}/seen")
-        return self.joined_back(staged.drop("content"), path_cols)
+
+    def mask(self, df: DataFrame, *, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
+        """``df`` with its secrets replaced by ``mask``: only texts of blobs with findings are changed.
+
+        Null texts stay null. A row in, a row out, with the columns of ``df``.
+        """
+        blob, found = fresh_column(df.columns, "blob"), fresh_column(df.columns, "found")
+        staged = materialise(df.withColumn(blob, F.sha2(text_or_empty(text_col), 256)), "addressed")
+        self._scan_new(staged.select(F.col(blob).alias("blob"), text_or_empty(text_col).alias("content")))
+        spans_of = self._by_blob().select(F.col("blob").alias(blob), F.col("found").alias(found))
+        text = F.col(text_col)
+        clean = F.when(text.isNotNull() & F.col(found).isNotNull(), redacted(text, F.col(found), mask)).otherwise(text)
+        return staged.join(spans_of, blob, "left").withColumn(text_col, clean).select(*df.columns)
 
     def findings(self) -> DataFrame:
         """Findings of the current rule versions, each once."""
@@ -144,14 +160,15 @@ class SecretLedger:
             order = F.when(F.col("kind") == r.kind, F.lit(i)).otherwise(order)
         return self._read("findings", self.FINDINGS).where(current).distinct().withColumn("kind_no", order)
 
-    def joined_back(self, versions: DataFrame, path_cols: list[str]) -> DataFrame:
-        by_blob = self.findings().groupBy("blob").agg(
+    def _by_blob(self) -> DataFrame:
+        return self.findings().groupBy("blob").agg(
             F.sort_array(F.collect_list(F.struct("start", "kind_no", "kind", "end"))).alias("found")  # one text's findings
         )
+
+    def joined_back(self, versions: DataFrame, path_cols: list[str]) -> DataFrame:
         none = F.array().cast("array<struct<start:int,kind_no:int,kind:string,end:int>>")
-        return versions.join(by_blob, "blob", "left").select(
-            *[F.col(f"path_{i}").alias(c) for i, c in enumerate(path_cols)], "blob", "row",
-            F.coalesce("found", none).alias("found"),
+        return versions.join(self._by_blob(), "blob", "left").select(
+            *[F.col(f"path_{i}").alias(c) for i, c in enumerate(path_cols)], "blob", F.coalesce("found", none).alias("found")
         )
 
 
