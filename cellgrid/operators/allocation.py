@@ -2,26 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.fixed import AMOUNT_TOLERANCE, GRID_SIZE, ROUTINE
 from ..functions.scalars import excess
-from . import hour_solver
-from .allocation_rounds import solve_in_rounds
+from .allocation_rounds import solve
 from .neighbors import neighbor_rows
 
-# The tasks receive the solver itself, so workers need no copy of this package.
-cloudpickle.register_pickle_by_value(hour_solver)
-
-# One hour's candidate edges are solved in one task. The grid bounds them (8 per cell), so
-# this limits the grid size for the in-task method: 2 million edges is a 500 x 500 grid.
-MAX_EDGES_PER_HOUR = 2_000_000
-
-PLAN_SCHEMA = (
-    "kind string, target_datetime timestamp_ntz, congested_cell long, source_cell long, amount double"
-)
-
 
 def capacity(
     panel: DataFrame, horizon: int = 1, *, cell_col: str = "CellID", tie_break: str | None = "_source_file"
@@ -84,21 +71,6 @@ def candidate_edges(
     )
 
 
-def fits_one_task(grid_size: int) -> bool:
-    return 8 * grid_size * grid_size <= MAX_EDGES_PER_HOUR
-
-
-def solve_hours(edges: DataFrame, *, grid_size: int = GRID_SIZE) -> DataFrame:
-    """Best plan for every hour, hours in parallel: rows of kind ``move``, and of kind ``cut`` as proof.
-
-    All cases of an hour are solved together, so no neighbour is promised twice. The rows of
-    an hour are bounded by the grid, not by the data.
-    """
-    if not fits_one_task(grid_size):
-        raise ValueError(f"grid of {grid_size} x {grid_size}: an hour may exceed {MAX_EDGES_PER_HOUR} edges")
-    return edges.groupBy("target_datetime").applyInPandas(hour_solver.solve_hour, PLAN_SCHEMA)
-
-
 def moves_of(plan: DataFrame) -> DataFrame:
     """Reallocation table: one row per (hour, case, source) with the amount moved."""
     return plan.filter("kind = 'move'").select(
@@ -106,17 +78,9 @@ def moves_of(plan: DataFrame) -> DataFrame:
     )
 
 
-def allocate(edges: DataFrame, *, grid_size: int = GRID_SIZE, method: str = "auto") -> DataFrame:
-    """Reallocation table of a best plan.
-
-    ``method="hours"`` solves each hour in one task, ``"rounds"`` works over the whole edge
-    table; both are exact. ``"auto"`` takes hours while the grid bounds them to one task.
-    """
-    if method not in ("auto", "hours", "rounds"):
-        raise ValueError(f"unknown method {method!r}")
-    if method == "rounds" or (method == "auto" and not fits_one_task(grid_size)):
-        return solve_in_rounds(edges)
-    return moves_of(solve_hours(edges, grid_size=grid_size))
+def allocate(edges: DataFrame) -> DataFrame:
+    """Reallocation table of a best plan, the same method at every size of the grid or of an hour."""
+    return moves_of(solve(edges))
 
 
 def coverage(cases: DataFrame, moves: DataFrame, *, cell_col: str = "CellID") -> DataFrame:

@@ -67,7 +67,7 @@ class DailyRun:
         horizon = self.horizons[0]
         cases = allocation.routine_cases(diagnosed, horizon)
         edges = allocation.candidate_edges(cases, allocation.capacity(risk, horizon), grid_size=self.grid_size)
-        moves = self._stage(allocation.allocate(edges, grid_size=self.grid_size), MOVES)
+        moves = self._stage(allocation.allocate(edges), MOVES)
         return moves, self._stage(allocation.coverage(cases, moves), COVERAGE)
 
     def publish(self, diagnosed: DataFrame, covered: DataFrame, moves: DataFrame) -> ServingStore:

@@ -532,14 +532,14 @@ def candidate_edges(spark, folder):
 def reallocation_plan(spark, folder):
     """The best plan itself; its total is unique, its single amounts are not."""
     _, _, edges = _edges(spark, folder)
-    return allocation.allocate(edges, grid_size=ep.GRID)
+    return allocation.allocate(edges)
 
 
 @query
 def coverage_per_hour(spark, folder):
     """Needed and covered amount of every hour with routine cases. The covered total of the best plan is unique."""
     _, cases, edges = _edges(spark, folder)
-    covered = allocation.coverage(cases, allocation.allocate(edges, grid_size=ep.GRID))
+    covered = allocation.coverage(cases, allocation.allocate(edges))
     return covered.groupBy("target_datetime").agg(
         F.count(F.lit(1)).alias("n_cases"), _rounded(F.sum("deficit"), 3).alias("deficit"),
         _rounded(F.sum("covered"), 3).alias("covered"),
@@ -550,7 +550,7 @@ def coverage_per_hour(spark, folder):
 def coverage_per_hour_in_rounds(spark, folder):
     """The same totals from the method for very large grids."""
     _, cases, edges = _edges(spark, folder)
-    covered = allocation.coverage(cases, allocation.allocate(edges, grid_size=ep.GRID, method="rounds"))
+    covered = allocation.coverage(cases, allocation.allocate(edges))
     return covered.groupBy("target_datetime").agg(
         F.count(F.lit(1)).alias("n_cases"), _rounded(F.sum("deficit"), 3).alias("deficit"),
         _rounded(F.sum("covered"), 3).alias("covered"),
@@ -560,7 +560,7 @@ def coverage_per_hour_in_rounds(spark, folder):
 @query
 def coverage_totals(spark, folder):
     _, cases, edges = _edges(spark, folder)
-    covered = allocation.coverage(cases, allocation.allocate(edges, grid_size=ep.GRID))
+    covered = allocation.coverage(cases, allocation.allocate(edges))
     totals = allocation.coverage_totals(covered)
     return totals.select(
         "n_cases", "n_hours", _rounded("total_deficit", 3).alias("total_deficit"),
@@ -573,7 +573,7 @@ def plan_violations(spark, folder):
     """Per hour with candidate edges: overdrawn cases and sources, and the gap to the proving cut (all zero)."""
     _, _, edges = _edges(spark, folder)
     edges = materialise(edges, "edges")
-    plan = materialise(allocation.solve_hours(edges, grid_size=ep.GRID), "plan")
+    plan = materialise(allocation.solve(edges), "plan")
     checked = allocation.plan_check(edges, plan)
     return checked.select(
         "target_datetime", "cases_overdrawn", "sources_overdrawn",

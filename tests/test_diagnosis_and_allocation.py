@@ -2,12 +2,10 @@ import datetime as dt
 import itertools
 import random
 
-import pandas as pd
 import pytest
-from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from cellgrid.operators import allocation, diagnosis, hour_solver
+from cellgrid.operators import allocation, diagnosis
 from cellgrid.plans import event_panel as ep
 from cellgrid.session import materialise
 
@@ -92,9 +90,7 @@ def test_known_figures_of_the_event_panel(spark, sf, expected):
 # ---- allocation -------------------------------------------------------------------------
 
 
-def edges_frame(deficits, spares, pairs):
-    rows = [("t", c, deficits[c], i, s, spares[s]) for i, (c, s) in enumerate(pairs)]
-    return pd.DataFrame(rows, columns=["target_datetime", "congested_cell", "deficit", "pos", "source_cell", "spare"])
+EDGES = "target_datetime timestamp_ntz, congested_cell long, deficit double, pos int, source_cell long, spare double"
 
 
 def best_total(deficits, spares, pairs):
@@ -108,45 +104,38 @@ def best_total(deficits, spares, pairs):
     return min(totals)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.data())
-def test_hour_solver_is_optimal_and_feasible(data):
-    n, m = data.draw(st.integers(1, 6)), data.draw(st.integers(1, 6))
-    amounts = st.one_of(st.integers(1, 20).map(float), st.floats(0.01, 50))
-    deficits = {c: data.draw(amounts) for c in range(n)}
-    spares = {100 + s: data.draw(amounts) for s in range(m)}
-    pairs = data.draw(st.lists(st.sampled_from([(c, s) for c in deficits for s in spares]), min_size=1, unique=True))
-    result = hour_solver.solve_hour(edges_frame(deficits, spares, pairs))
-    moves, cut = result[result.kind == "move"], result[result.kind == "cut"]
-    assert abs(moves.amount.sum() - best_total(deficits, spares, pairs)) < 1e-5
-    assert abs(cut.amount.sum() - moves.amount.sum()) < 1e-5
-    assert set(zip(moves.congested_cell, moves.source_cell)) <= set(pairs)
-    for key, bound in (("congested_cell", deficits), ("source_cell", spares)):
-        for cell, used in moves.groupby(key).amount.sum().items():
-            assert used <= bound[cell] + 1e-6
-
-
-@pytest.mark.parametrize("share", [0.15, 0.5, 0.8])
-def test_both_methods_reach_the_same_total(spark, share):
-    g, rng = 9, random.Random(int(share * 100))
+def test_plans_are_optimal_and_feasible(spark):
+    """Many small random hours in one edge table, each against the least cut over all sets of cases."""
+    rng, rows, want, bounds = random.Random(4), [], {}, {}
+    for h in range(150):
+        n, m = rng.randint(1, 6), rng.randint(1, 6)
+        amount = lambda: float(rng.randint(1, 20)) if rng.random() < 0.5 else rng.uniform(0.01, 50)
+        deficits, spares = {c: amount() for c in range(n)}, {100 + s: amount() for s in range(m)}
+        pairs = [(c, s) for c in deficits for s in spares if rng.random() < 0.5] or [(0, 100)]
+        hour = T0 + dt.timedelta(hours=h)
+        rows += [(hour, c, deficits[c], i, s, spares[s]) for i, (c, s) in enumerate(pairs)]
+        want[hour], bounds[hour] = best_total(deficits, spares, pairs), set(pairs)
+    edges = materialise(spark.createDataFrame(rows, EDGES))
+    plan = materialise(allocation.solve(edges))
+    for r in allocation.plan_check(edges, plan).collect():
+        assert abs(r.moved - want[r.target_datetime]) < 1e-5 and abs(r.cut_capacity - r.moved) < 1e-5
+        assert r.cases_overdrawn == r.sources_overdrawn == 0
+    assert all((r.congested_cell, r.source_cell) in bounds[r.target_datetime] for r in plan.filter("kind = 'move'").collect())
+
+
+@pytest.mark.parametrize("g, share", [(9, 0.15), (9, 0.8), (60, 0.5)])
+def test_cut_proves_the_plan(spark, g, share):
+    rng = random.Random(int(share * 100))
     rows = []
-    for h in range(6):
+    for h in range(2 if g > 9 else 6):
         for c in range(1, g * g + 1):
             case = rng.random() < share
             rows.append((c, T0 + dt.timedelta(hours=h), rng.randint(1, 90) / 4 if case else 0.0, 0.0 if case else rng.randint(0, 90) / 4))
     cells = spark.createDataFrame(rows, "CellID long, target_datetime timestamp_ntz, deficit double, spare double")
     cases = cells.filter("deficit > 0").select("CellID", "target_datetime", "deficit")
     edges = materialise(allocation.candidate_edges(cases, cells, grid_size=g))
-    plan = materialise(allocation.solve_hours(edges, grid_size=g))
-    check = {r.target_datetime: r for r in allocation.plan_check(edges, plan).collect()}
-    for r in check.values():
-        assert abs(r.moved - r.cut_capacity) < 1e-6 and r.cases_overdrawn == r.sources_overdrawn == 0
-    in_rounds = allocation.allocate(edges, grid_size=g, method="rounds")
-    as_plan = in_rounds.select(F.lit("move").alias("kind"), "target_datetime", "congested_cell", "source_cell",
-                               F.col("amount_moved").alias("amount"))
-    for r in allocation.plan_check(edges, as_plan).collect():
-        assert abs(r.moved - check[r.target_datetime].moved) < 1e-6
-        assert r.cases_overdrawn == r.sources_overdrawn == 0
+    for r in allocation.plan_check(edges, materialise(allocation.solve(edges))).collect():
+        assert abs(r.moved - r.cut_capacity) < 1e-6 and r.moved > 0 and r.cases_overdrawn == r.sources_overdrawn == 0
 
 
 def test_shared_source_is_not_promised_twice(spark):
@@ -155,7 +144,7 @@ def test_shared_source_is_not_promised_twice(spark):
         "CellID long, target_datetime timestamp_ntz, deficit double, spare double")
     cases = cells.filter("deficit > 0").select("CellID", "target_datetime", "deficit")
     edges = allocation.candidate_edges(cases, cells, grid_size=4)
-    covered = allocation.coverage(cases, allocation.allocate(edges, grid_size=4))
+    covered = allocation.coverage(cases, allocation.allocate(edges))
     rows = {r.CellID: r for r in covered.collect()}
     assert rows[1].covered + rows[3].covered == 6.0
     assert (rows[10].covered, rows[10].fully_resolved) == (0.0, False)  # no neighbour with a row
@@ -163,16 +152,11 @@ def test_shared_source_is_not_promised_twice(spark):
     assert (totals.n_cases, totals.total_deficit, totals.total_covered) == (3, 14.0, 6.0)
 
 
-def test_empty_plan_and_method_choice(spark):
-    none = spark.createDataFrame([], "target_datetime timestamp_ntz, congested_cell long, deficit double, pos int, source_cell long, spare double")
+def test_empty_plan(spark):
+    none = spark.createDataFrame([], EDGES)
     assert allocation.allocate(none).isEmpty()
-    assert allocation.allocate(none, method="rounds").isEmpty()
     assert allocation.coverage_totals(allocation.coverage(
         spark.createDataFrame([], "CellID long, target_datetime timestamp_ntz, deficit double"), allocation.allocate(none))).first().coverage_rate is None
-    with pytest.raises(ValueError):
-        allocation.solve_hours(none, grid_size=1000)
-    with pytest.raises(ValueError):
-        allocation.allocate(none, method="guess")
 
 
 def test_duplicate_cell_time_last_file_counts(spark):
