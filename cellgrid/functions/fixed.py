@@ -32,7 +32,7 @@ PASS, UNEXPECTED, WEAK = "PASS", "UNEXPECTED", "WEAKER THAN EXPECTED"
 LAGS = (1, 2, 3, 24)
 GENERIC_LAGS = (1, 24, 168)
 TRAIN_DAYS = 5
-TREES, LEARNING_RATE, TREE_LEAVES, MIN_LEAF_ROWS, SEED = 60, 0.05, 15, 50, 42
+TREES, LEARNING_RATE, MIN_LEAF_ROWS, SEED = 60, 0.05, 50, 42
 HOTSPOT_QUANTILE = 0.98
 TOP_FEATURES = 6
 LABEL_TYPICAL = "Typical cells"

@@ -19,6 +19,15 @@ def to_number(c: Column | str) -> Column:
     return F.nanvl(_col(c).try_cast("double"), F.lit(None).cast("double"))
 
 
+def to_cell(c: Column | str) -> Column:
+    """Text or number to a whole cell number; NULL where it is none (``nan``, ``1.7``, blank, out of range)."""
+    exact = _col(c).try_cast("bigint")
+    number = _col(c).try_cast("double")
+    whole = (F.abs(number) < float(1 << 53)) & (number == F.rint(number))
+    text = _col(c).cast("string")
+    return F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), exact).otherwise(F.when(whole, number).try_cast("bigint"))
+
+
 def present_activities(df: DataFrame, names: Sequence[str] = ACTIVITY_COLUMNS) -> list[str]:
     return [n for n in names if n in df.columns]
 

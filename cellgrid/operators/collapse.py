@@ -87,6 +87,13 @@ def sample_rows(df: DataFrame, order: Sequence[str], n: int = SAMPLE_ROWS) -> Da
     return df.orderBy(*order).limit(n)
 
 
+def rejected_rows(raw: DataFrame, *, cell_col: str = "CellID", time_col: str = "datetime") -> DataFrame:
+    """Per file, the raw rows left out because the cell is no whole number or the time is missing."""
+    return raw.groupBy(SOURCE).agg(
+        F.count_if(F.col(cell_col).isNull()).alias("without_cell"), F.count_if(F.col(time_col).isNull()).alias("without_time")
+    )
+
+
 def quality_report(
     raw: DataFrame, collapsed: DataFrame, *, cell_col: str = "CellID", time_col: str = "datetime"
 ) -> dict[str, DataFrame]:
@@ -94,6 +101,7 @@ def quality_report(
     keys = [cell_col, time_col, SOURCE]
     return {
         "files": collapse_counts(raw, cell_col=cell_col, time_col=time_col),
+        "rejected": rejected_rows(raw, cell_col=cell_col, time_col=time_col),
         "missing": missing_profile(collapsed),
         "overview": overview(collapsed, cell_col=cell_col, time_col=time_col),
         "sampling_step": sampling_step(collapsed, time_col=time_col),

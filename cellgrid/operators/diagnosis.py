@@ -65,7 +65,8 @@ def risk_long(panel: DataFrame, horizons: Sequence[int] = HORIZONS, *, cell_col:
         )
         for h in horizons
     ]
-    keep = [c for c in panel.columns if not any(c.endswith(f"_{h}h") for h in horizons)]
+    own = {f"{name}_{h}h" for name in ("naive_forecast", "predicted_risk", "target_datetime") for h in horizons}
+    keep = [c for c in panel.columns if c not in own]
     return panel.select(*keep, F.inline(F.array(*structs))).filter("forecast is not null")
 
 

@@ -114,25 +114,6 @@ def shift_rows_blocked(
     return shifted.filter("_block = _home").select(*df.columns, *shifts)
 
 
-def longest_series(df: DataFrame, partition: Sequence[str] = ("CellID",)) -> int:
-    """Rows of the longest series (one counting job that reads only the key columns)."""
-    row = df.groupBy(*partition).count().agg(F.max("count")).first()
-    return row[0] or 0
-
-
-def shift_rows_checked(
-    df: DataFrame, shifts: Shifts, *, max_series_rows: int = 5_000_000, **options
-) -> DataFrame:
-    """:func:`shift_rows` when the longest series is short enough for one task, else the blocked form.
-
-    Counts first, so call it on a stored stage table.
-    """
-    partition = options.get("partition", ("CellID",))
-    if longest_series(df, partition) <= max_series_rows:
-        return shift_rows(df, shifts, **{k: v for k, v in options.items() if k in ("partition", "order")})
-    return shift_rows_blocked(df, shifts, **options)
-
-
 def shift_hours_aligned(
     df: DataFrame,
     shifts: Shifts,
@@ -150,7 +131,8 @@ def shift_hours_aligned(
 
     def value(column: str, back: int) -> Column:
         frame = base.rangeBetween(-back * 3600, -back * 3600)
-        chosen = F.min_by(column, tie_break) if tie_break else F.first(column)
+        # Of rows with one time: by the tie break, else the greatest value, so that any order gives the same.
+        chosen = F.min_by(column, tie_break) if tie_break else F.max(column)
         return chosen.over(frame)
 
     return df.select("*", *[value(c, k).alias(n) for n, (c, k) in shifts.items()])

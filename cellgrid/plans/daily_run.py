@@ -15,15 +15,11 @@ from ..functions.fixed import GRID_SIZE, HORIZONS, KNOWN_HOLIDAYS
 from ..functions.scalars import with_total_activity
 from ..operators import allocation, collapse, diagnosis, serving, thresholds
 from ..operators.diagnosis import Holidays
-from ..operators.series import longest_series
 from ..session import configure
 from ..sources.cdr_files import read_daily_files
 from ..sources.serving_store import ServingStore
 from ..sources.tables import normalise_time, stage
 
-# Longest series that one task sorts; longer ones use the blocked shifts.
-MAX_SERIES_ROWS = 5_000_000
-
 # Names of the stage tables.
 AGGREGATED, FLAGS, MEAN_TO_MAX = "cdr_activity_aggregated", "cdr_with_congestion_flags", "cdr_with_loubar"
 RISK, DIAGNOSIS, MOVES, COVERAGE = (
@@ -39,6 +35,7 @@ class DailyRun:
     holidays: Holidays = KNOWN_HOLIDAYS
     horizons: Sequence[int] = HORIZONS
     tz: str | None = None
+    long_series: bool = False  # cut each cell's series into blocks of rows, where one is too long for a task
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
         return stage(df, f"{self.out}/{name}")
@@ -58,8 +55,7 @@ class DailyRun:
     def diagnose(self, flags: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Risk of all horizons and the diagnosis of the first one."""
         flags = with_total_activity(flags, only_if_absent=True)
-        long_series = longest_series(flags) > MAX_SERIES_ROWS
-        risk = self._stage(diagnosis.predicted_risk(flags, self.horizons, long_series=long_series), RISK)
+        risk = self._stage(diagnosis.predicted_risk(flags, self.horizons, long_series=self.long_series), RISK)
         found = diagnosis.diagnose(risk, self.horizons[0], holidays=self.holidays, grid_size=self.grid_size)
         return risk, self._stage(found, DIAGNOSIS)
 

@@ -9,7 +9,8 @@ def _cte(name: str, sql: str, *needs: str) -> None:
     CTE[name] = (sql, needs)
 
 
-def _with(body: str, *needs: str) -> str:
+def _with(body: str, *needs: str, **instead: str) -> str:
+    """``body`` after the tables it needs; ``instead`` gives other definitions of some of them."""
     ordered: list[str] = []
 
     def visit(name: str) -> None:
@@ -22,7 +23,7 @@ def _with(body: str, *needs: str) -> str:
         visit(name)
     if not ordered:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTE[n][0]})" for n in ordered) + "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS ({instead.get(n, CTE[n][0])})" for n in ordered) + "\n" + body
 
 
 ACTIVITIES = "smsin, smsout, callin, callout, internet"
@@ -489,3 +490,46 @@ ORACLES["calendar_table_diagnosis"] = _with(f"""
     FROM (SELECT *, CAST(target_datetime_2h AS DATE) IN {_BUSY} AS on_t,
                  CAST(target_datetime_2h - INTERVAL 24 HOUR AS DATE) IN {_BUSY} AS on_s FROM counted2)""", "counted2")
 ORACLES["coverage_per_hour_in_rounds"] = ORACLES["coverage_per_hour"]
+
+# Model errors have no twin in SQL; that they are usable numbers has.
+ORACLES["boosted_tree_checks"] = f"SELECT *, TRUE AS model_ok FROM ({ORACLES['baseline_error_metrics']})"
+ORACLES["copied_target_importance"] = "SELECT CAST(h AS INTEGER) AS horizon, 'lag_24h' AS feature FROM range(1, 5) t(h)"
+ORACLES["reallocation_per_hour"] = f"""
+    SELECT target_datetime, covered AS moved, CAST(0 AS BIGINT) AS n_out_of_bounds
+    FROM ({ORACLES['coverage_per_hour']}) WHERE covered > 0"""
+ORACLES["daily_files_read"] = _with(f"""
+    SELECT "CellID", datetime, 'sms-call-internet-mi-' || _source_file || '.csv' AS _source_file, {ACTIVITIES} FROM collapsed""", "collapsed")
+ORACLES["daily_files_rejected"] = _with("""
+    SELECT _source_file, count(*) AS raw_rows, count(*) FILTER (countrycode % 7 IN (0, 1)) AS without_cell,
+           CAST(0 AS BIGINT) AS without_time FROM raw GROUP BY 1""", "raw")
+ORACLES["stage_tables_read"] = """
+    WITH totals AS (SELECT user_id, count(*) AS n, sum(round(value * 100)) AS cents FROM events GROUP BY 1)
+    SELECT *, 'parquet' AS format FROM totals UNION ALL SELECT *, 'csv' FROM totals"""
+ORACLES["calendar_read"] = "SELECT strftime(CAST(ts AS DATE) + 1, '%Y-%m-%d') AS next_day, count(*) AS n FROM events GROUP BY 1"
+ORACLES["serving_store_read"] = ORACLES["case_table"]
+
+# The same queries over order lines on the full grid.
+_WIDE = {
+    "raw": """
+        SELECT TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) % 48) AS datetime,
+               (l_partkey - 1) % 10000 + 1 AS "CellID", CAST(l_linenumber AS BIGINT) AS countrycode,
+               sum(round(l_quantity)) AS smsin, sum(round(l_extendedprice)) AS smsout, sum(round(l_discount * 100)) AS callin,
+               sum(round(l_tax * 100)) AS callout, count(*)::DOUBLE AS internet, strftime(datetime, '%Y-%m-%d') AS _source_file
+        FROM lineitem GROUP BY 1, 2, 3""",
+    "nb": """
+        SELECT cell, pos, cell + dx + 100 * dy AS neighbor FROM (SELECT unnest(range(1, 10001)) AS cell) c, offsets
+        WHERE (cell - 1) % 100 + dx BETWEEN 0 AND 99 AND (cell - 1) // 100 + dy BETWEEN 0 AND 99""",
+}
+ORACLES["wide_congestion_flags"] = _with(
+    'SELECT "CellID", datetime, total_activity, congestion_threshold, is_congestion_risk FROM flags', "flags", **_WIDE)
+ORACLES["wide_neighbor_average"] = _with("""
+    SELECT "CellID", datetime, round(neighbor_avg_activity, 6) AS neighbor_avg_activity FROM averaged""", "averaged", **_WIDE)
+ORACLES["wide_diagnosis"] = _with("""
+    SELECT "CellID", datetime, naive_forecast_1h, congestion_threshold, target_datetime_1h, target_hour_key,
+           classification, reason FROM diag1""", "diag1", **_WIDE)
+ORACLES["wide_candidate_edges"] = _with("""
+    SELECT target_datetime, congested_cell, round(deficit, 6) AS deficit, CAST(pos AS INTEGER) AS pos, source_cell,
+           round(spare, 6) AS spare FROM edges""", "edges", **_WIDE)
+ORACLES["wide_plan_violations"] = _with("""
+    SELECT DISTINCT target_datetime, CAST(0 AS BIGINT) AS cases_overdrawn, CAST(0 AS BIGINT) AS sources_overdrawn,
+           0.0::DOUBLE AS gap FROM edges""", "edges", **_WIDE)

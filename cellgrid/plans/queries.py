@@ -419,6 +419,25 @@ def boosted_tree_importances(spark, folder):
     return forecast.top_importances(models, spark)
 
 
+@query
+def boosted_tree_checks(spark, folder):
+    """Rows and baseline errors of every horizon and stratum, and whether the model's errors are numbers of at least 0."""
+    train, test = (materialise(p, n) for n, p in zip(("train", "test"), _split(spark, folder)))
+    models = forecast.fit_horizons(train, grid_size=ep.GRID, trees=5)
+    found = forecast.evaluate(forecast.predict_horizons(test, models, grid_size=ep.GRID))
+    usable = F.coalesce((F.col("mae_model") >= 0) & (F.col("mae_model") < float("inf")), F.lit(False))
+    return found.select("horizon", "stratum", "n", *[_rounded(c).alias(c) for c in ("mae_base", "mape_base")], usable.alias("model_ok"))
+
+
+@query
+def copied_target_importance(spark, folder):
+    """The most important input of each horizon when every target is a copy of one input."""
+    train, _ = _split(spark, folder)
+    copied = materialise(train.withColumns({f"target_{h}h": F.col("lag_24h") for h in HORIZONS}), "train")
+    models = forecast.fit_horizons(copied, grid_size=ep.GRID, trees=3)
+    return forecast.top_importances(models, spark, 1).select("horizon", "feature")
+
+
 @query
 def external_model_scores(spark, folder):
     """Scores of a model from outside: the mean of the last and the day-old value."""
@@ -428,7 +447,7 @@ def external_model_scores(spark, folder):
             return (frame["lag_1h"] + frame["lag_24h"]) / 2
 
     rows = features.complete_rows(_matrix(spark, folder)).select(*KEY, "lag_1h", "lag_24h")
-    return forecast.ModelScorer().fit(BlendModel()).predict(rows, ["lag_1h", "lag_24h"])
+    return forecast.score_with(rows, BlendModel(), ["lag_1h", "lag_24h"])
 
 
 # ---- risk and diagnosis -----------------------------------------------------------------
@@ -535,6 +554,18 @@ def reallocation_plan(spark, folder):
     return allocation.allocate(edges)
 
 
+@query
+def reallocation_per_hour(spark, folder):
+    """Moved total of every hour of the best plan, and the moves that are not positive or above what either end allows."""
+    _, _, edges = _edges(spark, folder)
+    edges = materialise(edges, "edges")
+    moves = allocation.allocate(edges).join(edges, ["target_datetime", "congested_cell", "source_cell"], "left")
+    within = (F.col("amount_moved") > 0) & (F.col("amount_moved") <= F.least("deficit", "spare") + 1e-6)
+    return moves.groupBy("target_datetime").agg(
+        _rounded(F.sum("amount_moved"), 3).alias("moved"), F.count_if(~F.coalesce(within, F.lit(False))).alias("n_out_of_bounds")
+    )
+
+
 @query
 def coverage_per_hour(spark, folder):
     """Needed and covered amount of every hour with routine cases. The covered total of the best plan is unique."""

@@ -41,15 +41,27 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is set, a local session (one machine, as in tests) gets a temporary one; on a cluster
+    that is an error, since each executor would write to a disk of its own.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
+def drop_stages(spark: SparkSession) -> None:
+    """Remove this application's stage tables; frames that read them must not be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/cellgrid-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A new path for a stage table in the shared folder."""
     application = spark.sparkContext.applicationId

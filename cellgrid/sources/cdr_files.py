@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.fixed import ACTIVITY_COLUMNS, CELL_NAME_PART, DAILY_FILE_PATTERN, TIME_NAME_PARTS
-from ..functions.scalars import to_number
+from ..functions.scalars import to_cell, to_number
 
 DELIMITERS = (",", ";", "\t", "|")
 
@@ -101,7 +101,7 @@ def read_daily_files(
         raw = spark.read.schema(schema).csv(files, sep=delimiter, header=True)
         frames.append(
             raw.select(
-                F.col(roles.cell).try_cast("double").cast("long").alias(roles.cell),
+                to_cell(roles.cell).alias(roles.cell),
                 F.col(roles.time),
                 *[to_number(a).alias(a) for a in roles.activities],
                 F.col("_metadata.file_name").alias("_source_file"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.fixed import DAILY_FILE_PATTERN
-from ..functions.scalars import to_number
+from ..functions.scalars import to_cell, to_number
 from ..operators.collapse import SOURCE, collapse_country_codes
 from ..sources.cdr_files import Roles, detect_roles, find_daily_files, read_layouts, sniff_delimiter
 from ..sources.tables import normalise_time
@@ -30,7 +30,7 @@ def stream_daily_files(
         .csv(folder)
     )
     selected = raw.select(
-        F.col(roles.cell).try_cast("double").cast("long").alias("CellID"),
+        to_cell(roles.cell).alias("CellID"),
         F.col(roles.time).alias("datetime"),
         *[to_number(a).alias(a) for a in roles.activities],
         F.col("_metadata.file_name").alias(SOURCE),

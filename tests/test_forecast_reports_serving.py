@@ -53,16 +53,15 @@ def test_trees_are_deterministic_and_not_negative(spark, split):
 
 def test_scorer_rules(spark):
     df = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
-    with pytest.raises(RuntimeError):
-        forecast.ModelScorer().predict(df, ["a"])
-    with pytest.raises(NotImplementedError):
-        forecast.ModelScorer().fit(object()).predict(df, ["a"])
+    for model in (None, object()):
+        with pytest.raises(TypeError):
+            forecast.score_with(df, model, ["a"])
 
     class Plus:
         def predict(self, frame):
             return frame["a"] + frame["b"]
 
-    assert forecast.ModelScorer().fit(Plus()).predict(df, ["a", "b"]).first().prediction == 3.0
+    assert forecast.score_with(df, Plus(), ["a", "b"]).first().prediction == 3.0
 
 
 CASES = "CellID long, target_datetime_1h timestamp_ntz, naive_forecast_1h double, congestion_threshold double, classification string, reason string"

@@ -44,8 +44,6 @@ def test_row_shifts_plain_and_blocked(sparse, sparse_df, block_rows):
     want = expected(sparse, True)
     assert canonical(series.shift_rows(sparse_df, SHIFTS).toPandas()) == want
     assert canonical(series.shift_rows_blocked(sparse_df, SHIFTS, block_rows=block_rows).toPandas()) == want
-    for limit in (10, 10_000):
-        assert canonical(series.shift_rows_checked(sparse_df, SHIFTS, max_series_rows=limit).toPandas()) == want
 
 
 def test_whole_frame_shifts(sparse, sparse_df):

@@ -48,6 +48,36 @@ def test_dirty_files(spark, dirty):
     assert counts == {"01": (5, 2), "02": (2, 2)}
 
 
+def test_cell_keys_are_whole_numbers(spark, tmp_path):
+    cells = ["7", " 8 ", "9.0", "nan", "1.7", "", "abc", "1e3", "9223372036854775807", "1e300", "-inf", "+3"]
+    lines = "".join(f"{MS},{c},1\n" for c in cells)
+    write(tmp_path, "sms-call-internet-mi-2013-11-03.csv", "datetime,CellID,smsin\n" + lines)
+    raw, _ = cdr_files.read_daily_files(spark, str(tmp_path))
+    got = sorted(r.CellID for r in raw.filter("CellID IS NOT NULL").collect())
+    assert got == [3, 7, 8, 9, 1000, 9223372036854775807]
+    assert collapse.rejected_rows(raw).first().without_cell == 6
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from cellgrid import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        sparkContext, conf = Context(), Conf()  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Cluster())
+
+
 def test_local_clock(spark, dirty):
     _, out = collapsed(spark, dirty, tz="Europe/Rome")
     assert out.filter("CellID = 2").first().datetime == dt.datetime(2013, 11, 1, 0)
