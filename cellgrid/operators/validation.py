@@ -19,6 +19,7 @@ from ..functions.fixed import (
     WEAK,
 )
 from ..functions.scalars import hour_of, is_weekend
+from ..session import materialise
 
 NO_ROWS = "NO ROWS"
 NO_COLUMN = "NO COLUMN"
@@ -26,6 +27,11 @@ NO_COLUMN = "NO COLUMN"
 
 def _two_means(df: DataFrame, check: str, cell: int, first: Column, second: Column, passed) -> DataFrame:
     row = df.agg(F.count(F.lit(1)).alias("n"), F.avg(first).alias("a"), F.avg(second).alias("b"))
+    return _judged(row, check, cell, passed)
+
+
+def _judged(row: DataFrame, check: str, cell: int, passed) -> DataFrame:
+    """One row of a check from its number of rows ``n`` and its two means ``a`` and ``b``."""
     status = (
         F.when(F.col("n") == 0, NO_ROWS)
         .when(F.coalesce(passed(F.col("a"), F.col("b")), F.lit(False)), PASS)
@@ -123,12 +129,33 @@ def known_pattern_report(
     cell_col: str = "CellID",
     time_col: str = "datetime",
 ) -> DataFrame:
-    """The three checks as rows: check, cell, a, b, status."""
+    """The three checks as rows: check, cell, a, b, status.
+
+    The panel is read once, for a stage table with a row per cell; the checks read that.
+    """
+    weekend, hour = is_weekend(time_col), hour_of(time_col)
+    evening = "internet" in df.columns
+    parts = {"weekday": ("total_activity", ~weekend), "weekend": ("total_activity", weekend)}
+    if evening:
+        parts |= {"day": ("internet", hour.between(*DAYTIME_HOURS)), "evening": ("internet", hour.between(*EVENING_HOURS))}
+    facts = materialise(
+        df.groupBy(cell_col).agg(
+            F.count(F.lit(1)).alias("n"), F.avg("total_activity").alias("mean_value"),
+            *[F.avg(F.when(condition, F.col(c))).alias(name) for name, (c, condition) in parts.items()],
+        ),
+        "cell-facts",
+    )
+
+    def means_of(cell: int, a: str, b: str) -> DataFrame:
+        own = facts.filter(F.col(cell_col) == cell)
+        return own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max(a).alias("a"), F.max(b).alias("b"))
+
     return reduce(
         DataFrame.unionByName,
         [
-            weekday_weekend_check(df, university, cell_col=cell_col, time_col=time_col),
-            evening_daytime_check(df, nightlife, cell_col=cell_col, time_col=time_col),
-            centre_rank_check(df, centre, cell_col=cell_col),
+            _judged(means_of(university, "weekday", "weekend"), "weekend_lower", university, lambda a, b: b < a),
+            _judged(means_of(nightlife, "day", "evening"), "evening_higher", nightlife, lambda a, b: b > a)
+            if evening else evening_daytime_check(df, nightlife, cell_col=cell_col, time_col=time_col),
+            centre_rank_check(facts, centre, cell_col=cell_col, value="mean_value"),
         ],
     )

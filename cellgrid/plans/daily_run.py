@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.fixed import GRID_SIZE, HORIZONS, KNOWN_HOLIDAYS
 from ..functions.scalars import with_total_activity
-from ..operators import allocation, collapse, diagnosis, serving, thresholds
+from ..operators import (
+    allocation, collapse, diagnosis, features, forecast, reports, serving, thresholds, validation,
+)
 from ..operators.diagnosis import Holidays
-from ..session import configure
+from ..session import configure, materialise
 from ..sources.cdr_files import read_daily_files
 from ..sources.serving_store import ServingStore
 from ..sources.tables import normalise_time, stage
@@ -25,6 +27,8 @@ AGGREGATED, FLAGS, MEAN_TO_MAX = "cdr_activity_aggregated", "cdr_with_congestion
 RISK, DIAGNOSIS, MOVES, COVERAGE = (
     "predicted_risk", "diagnosis_results_1h", "reallocation_results", "reallocation_coverage",
 )
+# Names chosen here.
+ALL_HORIZONS, PATTERNS, ERRORS, QUALITY = "diagnosis_all_horizons", "known_patterns", "forecast_errors", "quality"
 
 
 @dataclass
@@ -44,7 +48,13 @@ class DailyRun:
         raw, roles = read_daily_files(self.spark, raw_folder)
         raw = raw.withColumnsRenamed({roles.cell: "CellID", roles.time: "datetime"})
         collapsed = collapse.collapse_country_codes(raw, activities=roles.activities)
-        return self._stage(normalise_time(collapsed, "datetime", tz=self.tz), AGGREGATED)
+        aggregated = self._stage(normalise_time(collapsed, "datetime", tz=self.tz), AGGREGATED)
+        for name, report in collapse.quality_report(raw, aggregated).items():
+            self._stage(report, f"{QUALITY}_{name}")
+        return aggregated
+
+    def check_patterns(self, aggregated: DataFrame) -> DataFrame:
+        return self._stage(validation.known_pattern_report(with_total_activity(aggregated)), PATTERNS)
 
     def flag(self, aggregated: DataFrame) -> DataFrame:
         return self._stage(thresholds.flag_congestion(with_total_activity(aggregated)), FLAGS)
@@ -53,9 +63,11 @@ class DailyRun:
         return self._stage(thresholds.flag_mean_to_max(with_total_activity(aggregated)), MEAN_TO_MAX)
 
     def diagnose(self, flags: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Risk of all horizons and the diagnosis of the first one."""
+        """Risk of all horizons and the diagnosis of the first one; that of all is left as a stage table."""
         flags = with_total_activity(flags, only_if_absent=True)
         risk = self._stage(diagnosis.predicted_risk(flags, self.horizons, long_series=self.long_series), RISK)
+        every = diagnosis.diagnose_all(risk, self.horizons, holidays=self.holidays, grid_size=self.grid_size)
+        self._stage(every, ALL_HORIZONS)
         found = diagnosis.diagnose(risk, self.horizons[0], holidays=self.holidays, grid_size=self.grid_size)
         return risk, self._stage(found, DIAGNOSIS)
 
@@ -73,13 +85,29 @@ class DailyRun:
                 diagnosed, covered, moves, horizon=self.horizons[0], grid_size=self.grid_size
             )
         )
+        texts = serving.generate_reports(store.read("cases"), store.read("sources"))
+        store.replace("reports", reports.upsert_reports(store.read("reports"), texts))
         return store
 
-    def run(self, raw_folder: str) -> ServingStore:
-        flags = self.flag(self.ingest(raw_folder))
-        risk, diagnosed = self.diagnose(flags)
+    def forecast_errors(self, aggregated: DataFrame) -> DataFrame:
+        """Train a model per horizon and stage its errors beside those of the seasonal-naive forecast."""
+        matrix = features.forecast_features(with_total_activity(aggregated), grid_size=self.grid_size)
+        parts = forecast.chronological_split(features.complete_rows(materialise(matrix, "matrix")))
+        train, test = (materialise(p, "split") for p in parts)
+        models = forecast.fit_horizons(train, self.horizons, grid_size=self.grid_size)
+        predicted = forecast.predict_horizons(test, models, grid_size=self.grid_size)
+        return self._stage(forecast.evaluate(predicted, self.horizons), ERRORS)
+
+    def run(self, raw_folder: str, *, train: bool = False) -> ServingStore:
+        """Files to serving tables with report texts; ``train`` also fits and measures the forecasting models."""
+        aggregated = self.ingest(raw_folder)
+        self.check_patterns(aggregated)
+        risk, diagnosed = self.diagnose(self.flag(aggregated))
         moves, covered = self.reallocate(risk, diagnosed)
-        return self.publish(diagnosed, covered, moves)
+        store = self.publish(diagnosed, covered, moves)
+        if train:
+            self.forecast_errors(aggregated)
+        return store
 
 
 def main() -> None:

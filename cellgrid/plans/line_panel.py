@@ -21,7 +21,7 @@ def raw_activity(spark: SparkSession, folder: str) -> DataFrame:
     """One row per (cell, hour, line number); ship days are folded to ``HOURS`` hours so that neighbours meet. Whole numbers only."""
     lines = spark.read.parquet(f"{folder}/lineitem.parquet")
     hour = F.pmod(F.date_diff(F.to_date("l_shipdate"), F.lit("1995-01-01").cast("date")), F.lit(HOURS))
-    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    start = F.lit("2024-01-05 00:00:00").cast("timestamp_ntz")
     keyed = lines.select(
         (start + F.make_dt_interval(hours=hour)).alias("datetime"),
         ((F.col("l_partkey") - 1) % (GRID * GRID) + 1).alias("CellID"),

@@ -511,7 +511,7 @@ ORACLES["serving_store_read"] = ORACLES["case_table"]
 # The same queries over order lines on the full grid.
 _WIDE = {
     "raw": """
-        SELECT TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) % 48) AS datetime,
+        SELECT TIMESTAMP '2024-01-05' + INTERVAL 1 HOUR * (date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) % 48) AS datetime,
                (l_partkey - 1) % 10000 + 1 AS "CellID", CAST(l_linenumber AS BIGINT) AS countrycode,
                sum(round(l_quantity)) AS smsin, sum(round(l_extendedprice)) AS smsout, sum(round(l_discount * 100)) AS callin,
                sum(round(l_tax * 100)) AS callout, count(*)::DOUBLE AS internet, strftime(datetime, '%Y-%m-%d') AS _source_file

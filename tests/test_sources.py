@@ -204,6 +204,9 @@ def test_daily_run_and_reload(spark, tmp_path):
     assert {c for c, k, _ in classes if k == "ROUTINE"} == {7, 8, 12, 13}
     ids = sorted(r[0] for r in first["cases"])
     assert ids == list(range(1, len(ids) + 1)) and first["sources"]
+    assert store.read("reports").count() == len(ids)
+    for name in ("quality_files", "quality_rejected", "known_patterns", "diagnosis_all_horizons"):
+        assert not spark.read.parquet(f"{tmp_path}/out/{name}.parquet").isEmpty()
     over = store.read("cases").filter("covered > deficit + 1e-6")
     assert over.isEmpty()
     again = run.run(str(raw))
