@@ -24,7 +24,7 @@ class ServingStore:
 
     def _log(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema("seq long, version string").parquet(f"{self.base}/_log")
+            return self.spark.read.schema("version string, seq long").parquet(f"{self.base}/_log")
         except AnalysisException as err:
             if "PATH_NOT_FOUND" in str(err):
                 return None
@@ -47,10 +47,22 @@ class ServingStore:
         for name in self.TABLES:
             tables[name].write.mode("error").parquet(f"{self.base}/{version}/{name}")
         seq = latest[0] + 1 if latest else 1
-        entry = self.spark.createDataFrame([(seq, version)], "seq long, version string")
-        entry.coalesce(1).write.mode("append").parquet(f"{self.base}/_log")
+        entry = self.spark.createDataFrame([(version,)], "version string")
+        # A number already taken by another reload is an error here, not a matter of chance for readers.
+        entry.coalesce(1).write.mode("error").parquet(f"{self.base}/_log/seq={seq}")
         return version
 
+    def remove_old(self) -> list[str]:
+        """Delete the tables of all versions but the current one, which readers must have left. Returns the deleted versions."""
+        latest, log = self._latest(), self._log()
+        if latest is None or log is None:
+            return []
+        gone = [r["version"] for r in log.filter(F.col("version") != latest[1]).collect()]  # one row a reload
+        for version in gone:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{version}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return gone
+
     def read(self, name: str) -> DataFrame:
         latest = self._latest()
         if latest is None:

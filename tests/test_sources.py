@@ -180,6 +180,12 @@ def test_serving_store_is_all_or_nothing(spark, tmp_path):
     assert (store.read("cases").count(), store.read("reports").count()) == (3, 2)
     store.create_views()
     assert spark.sql("SELECT count(*) FROM reports").first()[0] == 2
+    assert len(store.remove_old()) == 1 and store.read("cases").count() == 3
+    rival = ServingStore(spark, store.base)
+    rival._latest = lambda: (1, "earlier")  # started before the last reload
+    with pytest.raises(Exception, match="exists"):
+        rival.reload({"cases": one, "sources": one, "reports": one})
+    assert store.read("reports").count() == 2
 
 
 def test_daily_run_and_reload(spark, tmp_path):
