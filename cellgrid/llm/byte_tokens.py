@@ -15,6 +15,9 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, _MORE_WHITE))
 _ADJACENT = re.compile(f"[{WHITE}][{WHITE}]")
 _SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
+# Signs that are neither letters, numbers nor white space, without the apostrophe, which can begin a match.
+SIGNS = ".,;:!?*&%$#|)]}\""
+
 MEMORY_SEGMENTS = 600_000
 
 
@@ -35,7 +38,7 @@ class SegmentEncoder:
     a non-space run follows. So each segment (white space, then other characters) has ids of its
     own, whatever surrounds it; frequent segments are looked up and new ones encoded together.
     Texts that hold a special token's string go to the tokenizer whole.
-    The memory is emptied when it holds ``memory`` segments; results do not depend on it.
+    Segments not met again while ``memory`` others were are forgotten; results do not depend on it.
     """
 
     def __init__(self, path: str, memory: int = MEMORY_SEGMENTS):
@@ -47,15 +50,26 @@ class SegmentEncoder:
         # In a byte-level vocabulary each character of a token stands for one byte.
         self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
         self.memory = memory
-        self._reset()
-
-    def _reset(self) -> None:
-        self.after_space = {"": self._whole(" ")}
+        self._space = self._whole(" ")
+        self.signs: dict[str, bytes] = {}
+        self.after_space: dict[str, bytes] = {}  # by the segment without its one leading space
         self.others: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _recalled(self, wanted: set[str], which: int, into: dict[str, bytes]) -> list[str]:
+        """What must be encoded: neither in ``into`` nor, from where it is copied, in the older memory."""
+        new = wanted.difference(into)
+        older, unknown = self.older[which], []
+        for s in new:  # not a set operation with the dict, which would walk all of it
+            if s in older:
+                into[s] = older[s]
+            else:
+                unknown.append(s)
+        return unknown
+
     def _learn(self, segments: list[str], keys: list[str], into: dict[str, bytes]) -> None:
         """Encode segments that begin with white space in one call and cut the ids at their ends."""
         for at in range(0, len(segments), 20_000):
@@ -68,10 +82,31 @@ class SegmentEncoder:
                 into[key] = raw[begin:cut]
                 begin = cut
 
+    def _learn_spaced(self, new: list[str]) -> None:
+        """Segments after one space. Closing signs are a match of their own, so words are learnt without them."""
+        known, signed, plain = self.after_space, [], set()
+        for s in new:
+            core = s.rstrip(SIGNS)
+            if core and core != s and core[-1].isalnum():
+                signed.append((s, core))
+                plain.add(core)
+            else:
+                plain.add(s)
+        words = self._recalled(plain, 0, known)
+        self._learn([" " + s for s in words], words, known)
+        for s, core in signed:
+            signs = s[len(core) :]
+            if signs not in self.signs:
+                self.signs[signs] = self._whole(signs)
+            known[s] = known[core] + self.signs[signs]
+        if len(self.signs) > 10_000:
+            self.signs = {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         if len(self.after_space) + len(self.others) > self.memory:
-            self._reset()
+            self.older = self.after_space, self.others
+            self.after_space, self.others = {}, {}
         plain: list[list[str] | None] = []
         split: list[list[str] | None] = []
         spaced: set[str] = set()
@@ -88,10 +123,10 @@ class SegmentEncoder:
                 plain[-1] = text.split(" ")
                 spaced.update(plain[-1][1:])
                 other.add(plain[-1][0])
-        new = list(spaced.difference(self.after_space))
-        self._learn([" " + s for s in new], new, self.after_space)
-        new = [s for s in other.difference(self.others) if s]
-        leading = [s for s in new if re.match(f"[{WHITE}]", s) and not re.fullmatch(f"[{WHITE}]+", s)]
+        self.after_space[""] = self._space
+        self._learn_spaced(self._recalled(spaced, 0, self.after_space))
+        new = [s for s in self._recalled(other, 1, self.others) if s]
+        leading = [s for s in new if s[0] in WHITE and s[-1] not in WHITE]  # these can stand one after the other
         self._learn(leading, leading, self.others)
         rest = list(set(new).difference(leading))
         for s, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):

@@ -27,7 +27,7 @@ def write_orc_tokens(
     """Encode every whole text, append ``end_id`` and write ORC files in ascending id order.
 
     A null text counts as empty and gives the end id alone. Null ids come first; rows that share
-    an id each keep a row, shorter texts first, then by text. Other columns are left out. An
+    an id each keep a row, in the order of a hash of the text. Other columns are left out. An
     empty table gives files without rows. ``files`` is the number of id ranges (the session's
     shuffle partitions by default); a retried task writes the same file again.
     """
@@ -51,9 +51,9 @@ def write_orc_tokens(
             start += int(ends[-1]) if len(ends) else 0
 
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    order = ["doc_id", F.length("text"), "text"]
-    # Rows that share an id may meet a range border; the file order then still is the row order.
-    ranged = texts.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    # The keys that Spark samples are short; rows that share an id may meet a range border.
+    order = ["doc_id", F.xxhash64("text")]
+    ranged = texts.repartitionByRange(files, *order).sortWithinPartitions(*order, "text")
     (
         ranged.mapInArrow(encode, FILE_SCHEMA)
         .write.mode("overwrite")
