@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from .byte_tokens import segments
 from .common import record_batch, row_batches, text_or_empty
 
-MEMORY_PIECES = 400_000
+MEMORY_PIECES = 300_000
 MEMORY_PAIRS = 1_000_000
 
 
@@ -180,26 +180,38 @@ class EditableEncoding:
 
 
 class TextCoder:
-    """Encodes texts with a bounded memory of segments and pieces; results do not depend on the memory."""
+    """Encodes texts with a bounded memory of segments and pieces; results do not depend on the memory.
+
+    What was not met again while ``memory`` others were is forgotten.
+    """
 
     def __init__(self, bpe: PrefixBpe, pattern: str, memory: int = MEMORY_PIECES):
         self.bpe, self.find, self.memory = bpe, regex.compile(pattern).findall, memory
         self.pieces: dict[str, list[int]] = {}
         self.segments: dict[str, list[int]] = {}
+        self.older_pieces: dict[str, list[int]] = {}
+        self.older_segments: dict[str, list[int]] = {}
+
+    def _piece(self, piece: str) -> list[int]:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self.older_pieces.get(piece) or self.bpe.encode_piece(piece.encode())
+            self.pieces[piece] = ids
+        return ids
+
+    def _segment(self, segment: str) -> list[int]:
+        found = self.find(segment)
+        return self._piece(found[0]) if len(found) == 1 else list(chain.from_iterable(map(self._piece, found)))
 
     def encode(self, text: str) -> list[int]:
         if len(self.pieces) > self.memory:
-            self.pieces = {}
+            self.older_pieces, self.pieces = self.pieces, {}
         if len(self.segments) > self.memory:
-            self.segments = {}
-        parts, known, pieces = segments(text), self.segments, self.pieces
+            self.older_segments, self.segments = self.segments, {}
+        parts, known, older = segments(text), self.segments, self.older_segments
         for part in set(parts).difference(known):
-            ids: list[int] = []
-            for piece in self.find(part):
-                if piece not in pieces:
-                    pieces[piece] = self.bpe.encode_piece(piece.encode())
-                ids += pieces[piece]
-            known[part] = ids
+            ids = older.get(part)
+            known[part] = self._segment(part) if ids is None else ids
         return list(chain.from_iterable(map(known.__getitem__, parts)))
 
 
