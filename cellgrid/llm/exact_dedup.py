@@ -106,8 +106,9 @@ def mark_copies(
     single = result(flagged.where(~F.col(flag)), F.col(key), F.lit(1), F.lit(True))
     others = flagged.where(flag)
     best = F.struct((-F.col(size)).alias("s"), F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col(row).alias("r"))
-    groups = others.groupBy(digest).agg(F.count(F.lit(1)).alias("_group"), F.min(best).alias("_best"))
-    # One row a group on the right; Spark splits a group of many copies on the left.
+    # Counts combine before the shuffle, so a group of many copies is a row a task there. The groups
+    # are staged: then Spark can split such a group in the join, which it cannot below an aggregate.
+    groups = materialise(others.groupBy(digest).agg(F.count(F.lit(1)).alias("_group"), F.min(best).alias("_best")), "groups")
     joined = others.join(groups, digest)
     return single.unionByName(result(joined, F.col("_best.k"), F.col("_group"), F.col("_best.r") == F.col(row)))
 
