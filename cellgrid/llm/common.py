@@ -5,13 +5,36 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cellgrid.session import configure, materialise, stage_path
+from cellgrid.session import configure, stage_path
 
-__all__ = ["configure", "fresh_column", "materialise", "row_batches", "stage_path", "table", "text_or_empty"]
+__all__ = ["Scratch", "configure", "fresh_column", "materialise", "row_batches", "stage_path", "table", "text_or_empty"]
 
 BATCH_ROWS = 512
 
 
+def materialise(df: DataFrame, name: str = "stage", *, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and go on from the files; texts and ids are worth zstd."""
+    spark = df.sparkSession
+    path = path or stage_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Stage tables of one operator call that its result does not read; ``clear`` removes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.number = spark, stage_path(spark, "scratch"), 0
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        self.number += 1
+        return materialise(df, path=f"{self.folder}/{self.number:03d}-{name}")
+
+    def clear(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

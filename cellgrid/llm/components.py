@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from .common import materialise
@@ -26,20 +28,20 @@ def _unfinished(links: DataFrame) -> bool:
     return not odd.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, stage: Callable[[DataFrame, str], DataFrame] = materialise) -> DataFrame:
     """``node, component`` for the nodes of ``links`` (columns ``a``, ``b``, longs), component being its least node.
 
     Alternates two steps until only stars are left: link each node's greater neighbours, then its
-    smaller ones, to its least neighbour. Each round is written to the shared folder. Null
+    smaller ones, to its least neighbour. Each round is written to the shared folder by ``stage``. Null
     ends and loops are ignored; repeated links count once; no links give no rows.
     """
     now = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = materialise(now, "links")
+    now = stage(now, "links")
     while _unfinished(now):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select("b", "a"))
         large = _with_least(both, "u", "v").where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct()
         small = _with_least(large, "a", "b")
         step = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b")))
-        now = materialise(step.distinct(), "links")
+        now = stage(step.distinct(), "links")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)

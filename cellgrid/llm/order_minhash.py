@@ -7,7 +7,7 @@ A pair's similarity is that of the best order-preserving match of labelled shing
 matched / (all of both - matched). Links need 0.8; classes are the components of the links.
 
 Equal word sequences are one node from the start. In a bucket all members are compared with a leader;
-only members of different components go on, with twice the leaders each round, until every bucket
+only members of different components go on, with more leaders each round, until every bucket
 is settled. So large groups cost a comparison or two a member, and no link that a
 bucket holds between components is left out.
 """
@@ -22,13 +22,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import fresh_column, materialise, record_batch, row_batches, text_or_empty
+from .common import Scratch, fresh_column, materialise, record_batch, row_batches, text_or_empty
 from .components import connected_components
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-SAMPLED = 5
-SKETCHES = 40
+SAMPLED = 4
+SKETCHES = 30
 MEMORY_WORDS = 500_000
 
 _WORDS = re.compile(r"\w+").findall
@@ -73,41 +73,65 @@ def labelled_shingles(words: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray:
         return np.where(label > 0, _mixed(h + label * np.uint64(0xD1B54A32D192ED03)), h)
 
 
-def sketches(shingles: np.ndarray, sampled: int = SAMPLED, number: int = SKETCHES) -> list[int]:
-    """``number`` hashes, each of the ``sampled`` shingles least under its own hash, in text order."""
-    n, out = len(shingles), []
+_MULTIPLIERS = np.random.default_rng(21).integers(1 << 62, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_EXPECTED = 24  # places below the threshold tried first
+
+
+def _least_places(h: np.ndarray, sampled: int) -> np.ndarray:
+    """Per row the places of its ``sampled`` least values, ascending places."""
+    n = h.shape[1]
+    if n > 4 * _EXPECTED:
+        row, place = np.nonzero(h < np.uint64(int(_EXPECTED / n * (1 << 64))))
+        begin = np.searchsorted(row, np.arange(len(h) + 1))
+        if np.diff(begin).min() >= sampled:
+            order = np.lexsort((h[row, place], row))
+            return np.sort(place[order[begin[:-1, None] + np.arange(sampled)]], axis=1)
+    return np.sort(np.argpartition(h, sampled - 1, axis=1)[:, :sampled], axis=1)
+
+
+def sketches(shingles: np.ndarray, sampled: int = SAMPLED, number: int = SKETCHES) -> np.ndarray:
+    """``number`` hashes, each of the ``sampled`` shingles least under its own hash, in text order.
+
+    Shingle hashes are well mixed, so odd multiples of them order the shingles at random.
+    """
+    n = len(shingles)
     if n == 0:
-        return out
+        return np.zeros(0, dtype=np.int64)
     with np.errstate(over="ignore"):
-        for i in range(number):
-            if n > sampled:
-                least = np.argpartition(_mixed(shingles + np.uint64(2 * i + 1) * np.uint64(0xA0761D6478BD642F)), sampled - 1)[:sampled]
-                least.sort()
-                chosen = shingles[least]
-            else:
-                chosen = shingles
-            out.append(xxhash.xxh64_intdigest(chosen.tobytes(), seed=i) - (1 << 63))
-    return out
+        if n > sampled:
+            step = max(1, (1 << 21) // n)  # rows at a time, so that long texts stay small in memory
+            places = [_least_places(shingles[None, :] * _MULTIPLIERS[i : i + step, None], sampled) for i in range(0, number, step)]
+            chosen = shingles[np.concatenate(places)]
+        else:
+            chosen = np.broadcast_to(shingles, (number, n))
+        h = _MULTIPLIERS[:number].copy()
+        for k in range(chosen.shape[1]):
+            h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + chosen[:, k])
+    return h.view(np.int64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Similarity of two labelled sequences if it reaches ``least``, else 0.
+    """Similarity of two labelled sequences if it reaches ``least``, else 0."""
+    return compare(a, b, least)[0]
+
+
+def compare(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> tuple[float, float]:
+    """Similarity of two labelled sequences if it reaches ``least``, else 0; and the Jaccard distance of their sets.
 
-    A match that reaches it leaves at most (1 - least) / (1 + least) of all shingles out, and so
+    A match that reaches ``least`` leaves at most (1 - least) / (1 + least) of all shingles out, and so
     never pairs places further apart than that number: the band. In the band, each shingle
     pairs with one other, so the best match is the longest rising run of places.
     """
     total = len(a) + len(b)
     if total == 0:
-        return 1.0
-    needed = least / (1 + least) * total - 1e-9
-    if min(len(a), len(b)) < needed:
-        return 0.0
+        return 1.0, 0.0
     _, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    distance = 1 - len(at_a) / (total - len(at_a))
+    needed = least / (1 + least) * total - 1e-9
     band = (1 - least) / (1 + least) * total + 1e-9
     near = np.abs(at_a - at_b) <= band
     if near.sum() < needed:
-        return 0.0
+        return 0.0, distance
     places = at_a[near][np.argsort(at_b[near], kind="stable")]
     if (places[1:] > places[:-1]).all():
         matched = len(places)
@@ -120,14 +144,14 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
             else:
                 tails[i] = p
         matched = len(tails)
-    return matched / (total - matched) if matched >= needed else 0.0
+    return (matched / (total - matched) if matched >= needed else 0.0), distance
 
 
 STAGE = "digest string, size int, words binary, sketches array<long>"
 
 
 def _sketched(df: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
-    """Stage table: one row a document with its word hashes and sketches."""
+    """One row a document with its sketches, and half of each word's hash, enough to verify candidates."""
     rows = df.select(
         (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")
     )
@@ -140,19 +164,20 @@ def _sketched(df: DataFrame, id_col: str, text_col: str, row_col: str | None) ->
                 shingles = labelled_shingles(words)
                 digest.append(xxhash.xxh128_hexdigest(words.tobytes()))
                 size.append(len(shingles))
-                raw.append(words.tobytes())
+                raw.append((words >> np.uint64(32)).astype("<u4").tobytes())
                 found.append(sketches(shingles))
             yield record_batch({
                 "row": (batch.column(0), None), "doc_id": (batch.column(1), None), "digest": (digest, pa.string()),
                 "size": (size, pa.int32()), "words": (raw, pa.binary()), "sketches": (found, pa.list_(pa.int64())),
             })
 
-    return materialise(rows.mapInArrow(run, f"row long, doc_id long, {STAGE}"), "sketched")
+    return rows.mapInArrow(run, f"row long, doc_id long, {STAGE}")
 
 
-def _verified(pairs: DataFrame, staged: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches ``least``."""
-    texts = staged.select("row", "words")
+def _compared(pairs: DataFrame, staged: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """The staged pairs (a, b) with ``linked`` and ``distance``. All words shuffle once at most, those of pairs again."""
+    involved = pairs.select(F.col("a").alias("row")).unionAll(pairs.select("b")).distinct()
+    texts = scratch.stage(staged.select("row", "words").join(scratch.stage(involved, "involved"), "row", "left_semi"), "texts")
     joined = pairs.join(texts.select(F.col("row").alias("b"), F.col("words").alias("words_b")), "b").join(
         texts.select(F.col("row").alias("a"), F.col("words").alias("words_a")), "a"
     )
@@ -161,68 +186,79 @@ def _verified(pairs: DataFrame, staged: DataFrame, least: float) -> DataFrame:
         seen: dict[bytes, np.ndarray] = {}  # a leader's shingles serve many pairs
 
         def shingles(raw: bytes) -> np.ndarray:
+            return labelled_shingles(np.frombuffer(raw, dtype="<u4").astype(np.uint64))
+
+        def of_leader(raw: bytes) -> np.ndarray:
             if raw not in seen:
                 if len(seen) > 200:
                     seen.clear()
-                seen[raw] = labelled_shingles(np.frombuffer(raw, dtype=np.uint64))
+                seen[raw] = shingles(raw)
             return seen[raw]
 
         for batch in row_batches(batches, 256):
-            keep = [
-                similarity(labelled_shingles(np.frombuffer(x, dtype=np.uint64)), shingles(y), least) > 0
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            ]
-            out = record_batch({"a": (batch.column(0), None), "b": (batch.column(1), None)})
-            yield out.filter(pa.array(keep, pa.bool_()))
-
-    return joined.select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long")
-
-
-def _linked(staged: DataFrame, least: float) -> DataFrame:
-    """``node, component`` of the representatives that link with another."""
-    spark = staged.sparkSession
-    ratio = F.least("size", "leader_size") >= F.greatest("size", "leader_size") * least - 1e-9
-    members = staged.select("row", "size", F.explode(F.array_distinct("sketches")).alias("bucket"))
-    first = members.groupBy("bucket").agg(F.min(F.struct("row", "size")).alias("lead"), F.max("row").alias("last")).where("lead.row < last")
+            found = [compare(shingles(x), of_leader(y), least) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield record_batch({
+                "a": (batch.column(0), None), "b": (batch.column(1), None), "linked": ([s > 0 for s, _ in found], pa.bool_()),
+                "distance": ([d for _, d in found], pa.float64()),
+            })
+
+    return joined.select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long, linked boolean, distance double")
+
+
+LEADERS = 8  # in the round after the first; as many times more in each later one
+
+
+def _linked(staged: DataFrame, nodes: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """``node, component`` of the ``nodes`` (rows of ``staged``) that link with another.
+
+    First every member of a bucket is compared with the bucket's first. Jaccard distance is a metric and no
+    more than one minus the similarity, so members whose distances to the first differ by more than a link allows
+    cannot link. Among the rest, those of different components are compared with more leaders, until no
+    bucket holds a pair that might link and was not compared.
+    """
+    reach = 1 - least + 1e-9
+    members = staged.select("row", "sketches").join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
+    members = members.select("row", F.explode(F.array_distinct("sketches")).alias("bucket"))
+    first = members.groupBy("bucket").agg(F.min("row").alias("leader"), F.max("row").alias("last")).where("leader < last").drop("last")
     # Buckets of two or more, each row with its bucket's first member.
-    shared = materialise(
-        members.join(first, "bucket").select(
-            "bucket", "row", "size", F.col("lead.row").alias("leader"), F.col("lead.size").alias("leader_size")
-        ),
-        "buckets",
-    )
-    pairs = shared.where(F.col("row") != F.col("leader")).where(ratio).select(F.col("row").alias("a"), F.col("leader").alias("b")).distinct()
-    compared = materialise(pairs, "compared")
-    links = materialise(_verified(compared, staged, least), "links")
-    found = materialise(connected_components(links), "components")
-
-    # All but the leaders go on where a bucket still holds several components.
-    rest = shared.where(F.col("row") != F.col("leader")).select("bucket", "row", "size")
-    leaders = 1
+    shared = scratch.stage(members.join(first, "bucket").where("row <> leader"), "buckets")
+    pairs = scratch.stage(shared.select(F.col("row").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+    compared = scratch.stage(_compared(pairs, staged, least, scratch), "compared")
+    links = compared.where("linked").select("a", "b")
+    found = scratch.stage(connected_components(links, scratch.stage), "components")
+
+    rest = shared.join(compared.select(F.col("a").alias("row"), F.col("b").alias("leader"), "distance"), ["row", "leader"]).drop("leader")
+    leaders = LEADERS
     while True:
         placed = rest.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        open_rows = materialise(placed.join(mixed.select("bucket"), "bucket", "left_semi"), "open")
-        if open_rows.isEmpty():
+        placed = scratch.stage(placed, "placed")
+        # A bucket is settled unless the distances of two of its components come close enough for a link.
+        spans = placed.groupBy("bucket", "component").agg(F.min("distance").alias("low"), F.max("distance").alias("high"))
+        before = Window.partitionBy("bucket").orderBy("low", "component").rowsBetween(Window.unboundedPreceding, -1)
+        close = F.col("low") - F.max("high").over(before) <= reach
+        unsettled = spans.withColumn("close", close).where("close").select("bucket").distinct()
+        going = scratch.stage(placed.join(scratch.stage(unsettled, "unsettled"), "bucket", "left_semi"), "going")
+        if going.isEmpty():
             return found
         place = F.row_number().over(Window.partitionBy("bucket").orderBy("row"))
-        ranked = materialise(open_rows.withColumn("place", place), "ranked")
-        lead = ranked.where(F.col("place") <= leaders).select(
-            "bucket", F.col("row").alias("leader"), F.col("size").alias("leader_size"), F.col("place").alias("leader_place"),
-            F.col("component").alias("leader_component"),
+        lead = going.withColumn("place", place).where(F.col("place") <= leaders).select(
+            "bucket", F.col("row").alias("leader"), F.col("component").alias("leader_component"), F.col("distance").alias("leader_distance")
         )
+        lead = scratch.stage(lead, "lead")
         pairs = (
-            ranked.join(lead, "bucket").where("place > leader_place AND component <> leader_component").where(ratio)
+            going.join(lead, "bucket").where("row > leader AND component <> leader_component")
+            .where(F.abs(F.col("distance") - F.col("leader_distance")) <= reach)
             .select(F.col("row").alias("a"), F.col("leader").alias("b")).distinct()
         )
-        fresh = materialise(pairs.join(compared, ["a", "b"], "left_anti"), "compared")
-        compared = compared.unionAll(fresh)
-        more = materialise(_verified(fresh, staged, least), "links")
-        if not more.isEmpty():
-            links = links.unionAll(more)
-            found = materialise(connected_components(links), "components")
-        rest = ranked.where(F.col("place") > leaders).select("bucket", "row", "size")
-        leaders *= 2
+        pairs = scratch.stage(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+        fresh = scratch.stage(_compared(pairs, staged, least, scratch), "compared")
+        compared = compared.unionByName(fresh)
+        if not fresh.where("linked").isEmpty():
+            links = compared.where("linked").select("a", "b")
+            found = scratch.stage(connected_components(links, scratch.stage), "components")
+        last = lead.groupBy("bucket").agg(F.max("leader").alias("last"))
+        rest = going.join(last, "bucket").where("row > last").select("bucket", "row", "distance")
+        leaders *= LEADERS
 
 
 def near_classes(
@@ -236,13 +272,13 @@ def near_classes(
     read is kept. Repeated rows are one class. An empty table gives no rows. ``row`` is
     ``row_col``, a unique number a row, or is given here; other columns are left out.
     """
-    staged = _sketched(df, id_col, text_col, row_col)
+    scratch = Scratch(df.sparkSession)
+    staged = scratch.stage(_sketched(df, id_col, text_col, row_col), "sketched")
     # Equal word sequences: the first row stands for all.
     nodes = staged.groupBy("digest").agg(F.min("row").alias("node"))
-    copies = materialise(nodes, "nodes")
-    chosen = materialise(staged.join(copies.select(F.col("node").alias("row")), "row", "left_semi"), "representatives")
-    found = _linked(chosen, least)
-    classes = materialise(
+    copies = scratch.stage(nodes, "nodes")
+    found = _linked(staged, copies, least, scratch)
+    classes = scratch.stage(
         copies.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("class")), "classes"
     )
     member = staged.select("row", "doc_id", "digest").join(classes, "digest").select("row", "doc_id", "class")
@@ -253,6 +289,7 @@ def near_classes(
         ),
         "best",
     )
+    scratch.clear()
     return member.join(best, "class").select(
         "row", "doc_id", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept")
     )
