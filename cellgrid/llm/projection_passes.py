@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialise, record_batch
+from .common import Scratch, materialise, record_batch
 from .components import connected_components
 
 COSINE = 0.9
@@ -48,7 +48,7 @@ def _valid(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _distinct_vectors(df: DataFrame, vector_col: str) -> tuple[DataFrame, DataFrame]:
+def _distinct_vectors(df: DataFrame, vector_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Stage tables: rows with their vector's digest; one row a distinct vector with its number of rows.
 
     Vectors of one direction are different here unless equal in every component.
@@ -69,11 +69,11 @@ def _distinct_vectors(df: DataFrame, vector_col: str) -> tuple[DataFrame, DataFr
     packed = rows.select("id", "vector", "digest", F.monotonically_increasing_id().alias("row")).mapInArrow(
         pack, "id long, raw binary, digest string, row long"
     )
-    staged = materialise(packed, "vectors")
+    staged = scratch.stage(packed, "vectors")
     nodes = staged.where("raw IS NOT NULL").groupBy("digest").agg(F.count(F.lit(1)).alias("rows"), F.min("row").alias("row"))
-    nodes = materialise(nodes, "nodes")
+    nodes = scratch.stage(nodes, "nodes")
     chosen = staged.select("row", "raw").join(nodes.select("row", "rows"), "row")
-    return staged.join(nodes.select("digest", F.col("row").alias("node")), "digest", "left").drop("digest", "raw"), materialise(chosen, "distinct")
+    return staged.join(nodes.select("digest", F.col("row").alias("node")), "digest", "left").drop("digest", "raw"), scratch.stage(chosen, "distinct")
 
 
 def _window_links(x: np.ndarray, rows: np.ndarray, cosine: float, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +103,7 @@ def _window_links(x: np.ndarray, rows: np.ndarray, cosine: float, window: int) -
     return rows[linked], rows[label[linked]]
 
 
-def _passes(chosen: DataFrame, cosine: float, passes: int, window: int, parts: int) -> DataFrame:
+def _passes(chosen: DataFrame, cosine: float, passes: int, window: int, parts: int, scratch: Scratch) -> DataFrame:
     """Tree links ``a, b`` found by all passes."""
 
     def keys(batches):
@@ -162,7 +162,7 @@ def _passes(chosen: DataFrame, cosine: float, passes: int, window: int, parts: i
             yield border(1, part, head)
             yield border(0, part + 1, tail)
 
-    made = materialise(ordered.mapInArrow(compare, "a long, b long, pass int, border int, place int, raw binary"), "passes")
+    made = scratch.stage(ordered.mapInArrow(compare, "a long, b long, pass int, border int, place int, raw binary"), "passes")
 
     def meet(key, table):
         """The last vectors of one task and the first of the next: at most two windows."""
@@ -176,7 +176,7 @@ def _passes(chosen: DataFrame, cosine: float, passes: int, window: int, parts: i
     return made.where("border IS NULL").select("a", "b").unionAll(borders)
 
 
-def _counts(chosen: DataFrame, found: DataFrame, cosine: float) -> DataFrame:
+def _counts(chosen: DataFrame, found: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
     """``row, links``: how many rows (with copies) link with a vector, without its own copies.
 
     A component's core are the vectors within half the linking angle of one member: all pairs of
@@ -196,7 +196,7 @@ def _counts(chosen: DataFrame, found: DataFrame, cosine: float) -> DataFrame:
                 **{n: (batch.column(i), None) for i, n in enumerate(("component", "row", "rows", "raw"))}, "core": (cos >= core_cosine, pa.bool_()),
             })
 
-    cored = materialise(
+    cored = scratch.stage(
         placed.select("component", "row", "rows", "raw", "centre").mapInArrow(
             near_centre, "component long, row long, rows long, raw binary, core boolean"
         ),
@@ -206,7 +206,7 @@ def _counts(chosen: DataFrame, found: DataFrame, cosine: float) -> DataFrame:
         F.sum(F.when(F.col("core"), F.col("rows")).otherwise(0)).alias("core_rows"), F.sum(F.lit(1) - F.col("core").cast("int")).alias("outer"),
         F.count(F.lit(1)).alias("nodes"),
     )
-    sizes = materialise(sizes, "sizes")
+    sizes = scratch.stage(sizes, "sizes")
     within_core = cored.where("core").join(sizes, "component").select("row", (F.col("core_rows") - F.col("rows")).alias("links"))
 
     # Pairs with at least one vector outside the core: outer blocks against all blocks of the component.
@@ -253,18 +253,20 @@ def near_vectors(
     shorter had zeros at its end. Other columns are left out; an empty table gives no rows.
     """
     spark = df.sparkSession
+    scratch = Scratch(spark)
     named = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("input"))
-    rows, chosen = _distinct_vectors(named, "input")
-    rows = materialise(rows, "rows")
+    rows, chosen = _distinct_vectors(named, "input", scratch)
+    rows = scratch.stage(rows, "rows")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = _passes(chosen, cosine, passes, window, parts)
-    found = materialise(connected_components(links), "components")
-    counts = materialise(_counts(chosen, found, cosine), "counts")
+    links = _passes(chosen, cosine, passes, window, parts, scratch)
+    found = scratch.stage(connected_components(links, scratch.stage), "components")
+    counts = scratch.stage(_counts(chosen, found, cosine, scratch), "counts")
     nodes = chosen.select(F.col("row").alias("node"), "rows").join(found, "node", "left").join(counts.withColumnRenamed("row", "node"), "node", "left")
     nodes = nodes.select(
         "node", (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")
     )
     joined = materialise(rows.join(nodes, "node", "left"), "joined")
+    scratch.clear()
     least = joined.where("node IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"))
     return joined.join(least, "component", "left").select(
         F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
