@@ -85,20 +85,19 @@ def _window_links(x: np.ndarray, rows: np.ndarray, cosine: float, window: int) -
         near = x[at:high] @ x[low:high].T >= cosine
         places = np.arange(low, high)
         near &= (places[None, :] <= np.arange(at, high)[:, None]) & (places[None, :] >= np.arange(at, high)[:, None] - window)
-        while True:  # spread the least label over the block's links
-            least = np.where(near, label[low:high][None, :], n).min(axis=1)
-            mine = np.minimum(label[at:high], least)
-            back = np.where(near, mine[:, None], n).min(axis=0)
-            whole = np.minimum(label[low:high], back)
-            whole[at - low :] = np.minimum(whole[at - low :], mine)
-            if (whole == label[low:high]).all():
+        while True:  # roots of linked vectors are joined, not the vectors alone, so that older trees are kept whole
+            root = label[low:high]
+            while (label[root] != root).any():
+                root = label[root]
+            label[low:high] = root
+            mine = np.minimum(root[at - low :], np.where(near, root[None, :], n).min(axis=1))
+            back = np.minimum(root, np.where(near, mine[:, None], n).min(axis=0))
+            back[at - low :] = np.minimum(back[at - low :], mine)
+            if (back == root).all():
                 break
-            label[low:high] = whole
-    for _ in range(n):
-        root = label[label]
-        if (root == label).all():
-            break
-        label = root
+            np.minimum.at(label, root, back)
+    while (label[label] != label).any():
+        label = label[label]
     linked = label != np.arange(n)
     return rows[linked], rows[label[linked]]
 

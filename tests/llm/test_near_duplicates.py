@@ -182,3 +182,35 @@ def test_recall_of_links_near_the_bound(spark):
         rows += [(2 * i, a.tolist()), (2 * i + 1, (c * a + math.sqrt(1 - c * c) * b).tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert projection_passes.near_vectors(df, window=64).where("n_links > 0").count() >= 0.9 * len(rows)
+
+
+def linked_in_window(x, window, cosine=0.9):
+    near = x @ x.T >= cosine
+    return [(i, j) for i in range(len(x)) for j in range(max(0, i - window), i) if near[i, j]]
+
+
+def test_later_blocks_bridge_older_trees():
+    """Two trees of one block, joined by links of the next block to one vector of each."""
+    step = math.acos(0.9) * 0.9
+    x = np.zeros((400, 402))
+    x[np.arange(400), np.arange(400) + 2] = 1
+    for place, turns in ((50, 3), (60, 0), (100, 1), (300, 2)):  # linked: 60-100, 100-300, 300-50
+        x[place] = 0
+        x[place, :2] = math.cos(turns * step), math.sin(turns * step)
+    a, b = projection_passes._window_links(x, np.arange(400), 0.9, 256)
+    assert dict(zip(a.tolist(), b.tolist())) == {60: 50, 100: 50, 300: 50}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_trees_of_one_pass_equal_brute_force(seed):
+    """Chains dealt over many blocks: every link inside the window is kept by the trees."""
+    rng = np.random.default_rng(seed)
+    angle = rng.permutation(np.concatenate([c * 20 + np.arange(60) * 0.3 for c in range(4)]))
+    turn = np.floor(angle / 20).astype(int)
+    x = np.zeros((len(angle), 104))
+    for i, (c, t) in enumerate(zip(turn, angle - 20 * turn)):
+        place = t / 0.3 * 0.25  # chains on arcs between one axis and the next, in steps of 22.5 degrees
+        x[i, 26 * c + int(place)], x[i, 26 * c + int(place) + 1] = math.cos(place % 1 * math.pi / 2), math.sin(place % 1 * math.pi / 2)
+    for window in (8, 32, 100):
+        a, b = projection_passes._window_links(x, np.arange(len(x)), 0.9, window)
+        assert classes_of(len(x), list(zip(a.tolist(), b.tolist()))) == classes_of(len(x), linked_in_window(x, window))
