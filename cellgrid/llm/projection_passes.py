@@ -5,6 +5,10 @@ it, and each is compared with the bounded window of vectors before it; close vec
 key prefixes and so stand near each other in some pass. Links of all passes are joined to
 components. Within a component every pair is then counted exactly, so the windows bound the search for
 neighbours, not their number.
+
+The number of passes follows from the number of distinct vectors, for which ``passes_for`` gives the share of pairs that
+all passes miss. Vectors that crowd in one direction need more than that: a sample is compared with all vectors, and passes
+are added until its links lie inside components, or until comparing all pairs costs no more than the passes made; then all are compared.
 """
 
 from __future__ import annotations
@@ -23,10 +27,24 @@ COSINE = 0.9
 PASSES = 24
 KEY_BITS = 60
 WINDOW = 256
+RECALL = 0.99  # share of links to be found, by the model of passes_for and in the sample
+SAMPLE = 1024  # vectors that are compared with all others to measure it
+PAIR_BLOCK = 2048  # vectors that one task compares with as many others when all pairs are compared
 BLOCK = 1024  # vectors of a component that one task counts against as many others
 SEED = 11
 
 
+def passes_for(vectors: int, cosine: float, window: int) -> int:
+    """Passes that find ``RECALL`` of the pairs at ``cosine`` among so many vectors without a preferred direction.
+
+    A bit of the key agrees with probability p for such a pair and 1/2 for others, so log2(vectors / window) common
+    bits leave no more than a window's vectors between the two.
+    """
+    agree = 1 - math.acos(cosine) / math.pi
+    hit = agree ** math.log2(max(1.0, vectors / window))
+    return 1 if hit >= RECALL else math.ceil(math.log(1 - RECALL) / math.log1p(-hit))
+
+
 def _planes(number: int, dim: int) -> np.ndarray:
     """Directions of pass ``number``; the same in every task."""
     return np.random.default_rng((SEED, number, dim)).standard_normal((dim, KEY_BITS))
@@ -102,8 +120,8 @@ def _window_links(x: np.ndarray, rows: np.ndarray, cosine: float, window: int) -
     return rows[linked], rows[label[linked]]
 
 
-def _passes(chosen: DataFrame, cosine: float, passes: int, window: int, parts: int, scratch: Scratch) -> DataFrame:
-    """Tree links ``a, b`` found by all passes."""
+def _passes(chosen: DataFrame, cosine: float, passes: range, window: int, parts: int, scratch: Scratch) -> DataFrame:
+    """Tree links ``a, b`` found by the passes of these numbers."""
 
     def keys(batches):
         for batch in batches:
@@ -112,7 +130,7 @@ def _passes(chosen: DataFrame, cosine: float, passes: int, window: int, parts: i
                 continue
             x = _unit(raw)
             bits = np.left_shift(np.int64(1), np.arange(KEY_BITS, dtype=np.int64)[::-1])
-            for number in range(passes):
+            for number in passes:
                 key = (x @ _planes(number, x.shape[1]) > 0) @ bits
                 yield record_batch({
                     "pass": ([number] * len(raw), pa.int32()), "key": (key, pa.int64()), "row": (batch.column(0), None), "raw": (raw, pa.binary()),
@@ -175,6 +193,73 @@ def _passes(chosen: DataFrame, cosine: float, passes: int, window: int, parts: i
     return made.where("border IS NULL").select("a", "b").unionAll(borders)
 
 
+def _sampled_links(chosen: DataFrame, found: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
+    """``row, component, other, links``: links of the sampled vectors with all others, counted by the component of the other."""
+    placed = chosen.join(found.withColumnRenamed("node", "row"), "row", "left").select("row", "raw", F.coalesce("component", "row").alias("component"))
+    placed = scratch.stage(placed, "placed")
+    sample = placed.orderBy(F.xxhash64(F.lit(SEED), "row"), "row").limit(SAMPLE).collect()
+    rows, raws = np.array([r.row for r in sample], dtype=np.int64), [bytes(r.raw) for r in sample]
+    own = np.array([r.component for r in sample], dtype=np.int64)
+
+    def compare(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = _unit(raws + batch.column(1).to_pylist())
+            near = x[: len(rows)] @ x[len(rows) :].T >= cosine
+            near &= rows[:, None] != batch.column(0).to_numpy()[None, :]
+            one, two = np.nonzero(near)
+            pairs, links = np.unique(np.stack([one, batch.column(2).to_numpy()[two]]), axis=1, return_counts=True)
+            yield record_batch({
+                "row": (rows[pairs[0]], pa.int64()), "component": (own[pairs[0]], pa.int64()), "other": (pairs[1], pa.int64()),
+                "links": (links, pa.int64()),
+            })
+
+    made = placed.mapInArrow(compare, "row long, component long, other long, links long")
+    return scratch.stage(made.groupBy("row", "component", "other").agg(F.sum("links").alias("links")), "sampled")
+
+
+def _all_pairs(chosen: DataFrame, vectors: int, cosine: float) -> DataFrame:
+    """Tree links ``a, b`` of all pairs, compared in blocks of bounded size."""
+    blocks = math.ceil(vectors / PAIR_BLOCK)
+    dealt = chosen.select("row", "raw", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
+        F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "row", "raw"
+    )
+
+    def compare(key, table):
+        rows = table.column("row").to_numpy()
+        a, b = _window_links(_unit(table.column("raw").to_pylist()), rows, cosine, max(1, len(rows))) if len(rows) else (rows, rows)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return pairs.groupBy("one", "two").applyInArrow(compare, "a long, b long")
+
+
+def _components(chosen: DataFrame, cosine: float, passes: int, window: int, parts: int, scratch: Scratch) -> DataFrame:
+    """``node, component`` by as many passes as the vectors need."""
+    vectors = chosen.count()
+    step, done, links = max(passes, passes_for(vectors, cosine, window)), 0, None
+    while True:
+        more = _passes(chosen, cosine, range(done, done + step), window, parts, scratch)
+        links, done = more if links is None else links.unionAll(more), done + step
+        found = scratch.stage(connected_components(links, scratch.stage), "components")
+        sampled = _sampled_links(chosen, found, cosine, scratch)
+        inside = F.sum(F.when(F.col("component") == F.col("other"), F.col("links")).otherwise(0)) / F.sum("links")
+        recall = sampled.groupBy("row").agg(inside.alias("share")).agg(F.avg("share")).first()[0]
+        if recall is None or recall == 1:
+            return found
+        links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(
+            sampled.select(F.col("component").alias("a"), F.col("other").alias("b"))
+        )
+        whole = recall < RECALL and done * 2 * window >= vectors
+        if whole:
+            links = links.unionAll(_all_pairs(chosen, vectors, cosine))
+        if whole or recall >= RECALL:
+            return scratch.stage(connected_components(links, scratch.stage), "components")
+        # Not the sample's own links: they would raise what is measured next.
+        links, step = found.select(F.col("node").alias("a"), F.col("component").alias("b")), done
+
+
 def _counts(chosen: DataFrame, found: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
     """``row, links``: how many rows (with copies) link with a vector, without its own copies.
 
@@ -249,7 +334,8 @@ def near_vectors(
     components link with nothing, copies of them included. Repeated rows and equal vectors link with each other.
     ``component_id`` is the least id reachable by links; ``kept`` where it is the row's own. A
     row without id is its own, has a null component alone, and is kept. Vectors of different lengths are compared as if the
-    shorter had zeros at its end. Other columns are left out; an empty table gives no rows.
+    shorter had zeros at its end. Other columns are left out; an empty table gives no rows. ``passes`` is the least number
+    of passes; more are made where the vectors need them.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
@@ -257,8 +343,7 @@ def near_vectors(
     rows, chosen = _distinct_vectors(named, "input", scratch)
     rows = scratch.stage(rows, "rows")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = _passes(chosen, cosine, passes, window, parts, scratch)
-    found = scratch.stage(connected_components(links, scratch.stage), "components")
+    found = _components(chosen, cosine, passes, window, parts, scratch)
     counts = scratch.stage(_counts(chosen, found, cosine, scratch), "counts")
     nodes = chosen.select(F.col("row").alias("node"), "rows").join(found, "node", "left").join(counts.withColumnRenamed("row", "node"), "node", "left")
     nodes = nodes.select(

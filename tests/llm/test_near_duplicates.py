@@ -214,3 +214,39 @@ def test_trees_of_one_pass_equal_brute_force(seed):
     for window in (8, 32, 100):
         a, b = projection_passes._window_links(x, np.arange(len(x)), 0.9, window)
         assert classes_of(len(x), list(zip(a.tolist(), b.tolist()))) == classes_of(len(x), linked_in_window(x, window))
+
+
+def test_passes_grow_with_the_vectors():
+    for n in (12_000, 1_000_000, 10_000_000, 60_000_000):
+        hit = (1 - math.acos(0.9) / math.pi) ** math.log2(n / 256)
+        assert (1 - hit) ** max(projection_passes.PASSES, projection_passes.passes_for(n, 0.9, 256)) <= 0.0101
+    assert projection_passes.passes_for(60_000_000, 0.9, 256) > projection_passes.PASSES
+
+
+def cone_pairs(pairs, dim=64, seed=7):
+    """Pairs at cosine 0.92 in a cone of vectors with cosines of about 0.8, which do not link."""
+    rng = np.random.default_rng(seed)
+    u = rng.standard_normal((pairs, dim - 1))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    v = rng.standard_normal((pairs, dim - 1))
+    v -= (u * v).sum(axis=1, keepdims=True) * u
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    mate = 0.6 * u + 0.8 * v
+    sides = np.stack([u, mate], axis=1).reshape(2 * pairs, dim - 1)
+    return np.concatenate([np.full((2 * pairs, 1), math.sqrt(0.8)), math.sqrt(0.2) * sides], axis=1)
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_crowded_vectors_are_linked(spark, monkeypatch, whole):
+    """A hot cone, in which one window and few passes miss most pairs: passes are added, or all pairs compared in blocks."""
+    x = cone_pairs(1000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    if whole:
+        monkeypatch.setattr(projection_passes, "PAIR_BLOCK", 300)
+        monkeypatch.setattr(projection_passes, "passes_for", lambda *_: 1)
+    window = 256 if whole else 4
+    got = {r.vec_id: r.component_id for r in projection_passes.near_vectors(df, passes=4, window=window).collect()}
+    want = classes_of(len(x), [(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.9)) if i > j])
+    if whole:
+        assert got == dict(enumerate(want))
+    assert sum(got[i] == want[i] for i in range(len(x))) >= 0.98 * len(x)
