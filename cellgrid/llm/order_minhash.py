@@ -92,7 +92,8 @@ def _least_places(h: np.ndarray, sampled: int) -> np.ndarray:
 def sketches(shingles: np.ndarray, sampled: int = SAMPLED, number: int = SKETCHES) -> np.ndarray:
     """``number`` hashes, each of the ``sampled`` shingles least under its own hash, in text order.
 
-    Shingle hashes are well mixed, so odd multiples of them order the shingles at random.
+    Shingle hashes are well mixed, so odd multiples of them order the shingles at random. A text with one shingle more than
+    ``sampled`` has the first hash of all its subsets of that size too: it always meets the text that lacks one of its shingles.
     """
     n = len(shingles)
     if n == 0:
@@ -105,6 +106,9 @@ def sketches(shingles: np.ndarray, sampled: int = SAMPLED, number: int = SKETCHE
         else:
             chosen = np.broadcast_to(shingles, (number, n))
         h = _MULTIPLIERS[:number].copy()
+        if n == sampled + 1:
+            chosen = np.concatenate([chosen, [np.delete(shingles, k) for k in range(n)]])
+            h = np.append(h, np.repeat(h[0], n))
         for k in range(chosen.shape[1]):
             h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + chosen[:, k])
     return h.view(np.int64)

@@ -132,6 +132,15 @@ def test_one_word_edits_are_found(spark):
     assert {r.class_id for r in order_minhash.near_classes(spark.createDataFrame(rows, SCHEMA)).collect()} == {0}
 
 
+def test_short_texts_one_word_apart_share_a_sketch():
+    """Eight words against nine: four of five shingles, similarity exactly 0.8."""
+    for seed in range(5000):
+        longer = np.random.default_rng(seed).integers(0, 1 << 63, order_minhash.SAMPLED + 1, dtype=np.uint64)
+        for shorter in (longer[1:], longer[:-1]):
+            assert order_minhash.similarity(shorter, longer) >= 0.8
+            assert set(order_minhash.sketches(shorter)) & set(order_minhash.sketches(longer))
+
+
 def brute_vectors(rows, cosine):
     def usable(v):
         return v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)
