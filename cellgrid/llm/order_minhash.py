@@ -6,7 +6,7 @@ equal sketches need the same shingles in the same order. Candidates share one of
 A pair's similarity is that of the best order-preserving match of labelled shingles:
 matched / (all of both - matched). Links need 0.8; classes are the components of the links.
 
-Equal word sequences are one node from the start. In a bucket all members are compared with a leader;
+Equal word sequences are one node from the start, as are texts without words that hold the same signs. In a bucket all members are compared with a leader;
 only members of different components go on, with more leaders each round, until every bucket
 is settled. So large groups cost a comparison or two a member, and no link that a
 bucket holds between components is left out.
@@ -166,7 +166,8 @@ def _sketched(df: DataFrame, id_col: str, text_col: str, row_col: str | None) ->
             for text in batch.column(2).to_pylist():
                 words = word_ids(text)
                 shingles = labelled_shingles(words)
-                digest.append(xxhash.xxh128_hexdigest(words.tobytes()))
+                # Without words, the signs besides white space tell texts apart.
+                digest.append(xxhash.xxh128_hexdigest(words.tobytes() if len(words) else "".join(text.split()).encode("utf-8", "replace")))
                 size.append(len(shingles))
                 raw.append((words >> np.uint64(32)).astype("<u4").tobytes())
                 found.append(sketches(shingles))
@@ -271,7 +272,7 @@ def near_classes(
     """``row, doc_id, class_id, class_size, kept`` of every row; ``class_id`` is the class's least id, and one row of it is kept.
 
     Words are runs of letters, digits and underscores in lower case; a null text counts as empty,
-    and texts without words are one class. A text under five words is one shingle, so
+    and texts without words link where they are equal but for white space. A text under five words is one shingle, so
     it links with equal ones only. Null ids come last in a class; of rows with one id the first
     read is kept. Repeated rows are one class. An empty table gives no rows. ``row`` is
     ``row_col``, a unique number a row, or is given here; other columns are left out.

@@ -141,6 +141,13 @@ def test_short_texts_one_word_apart_share_a_sketch():
             assert set(order_minhash.sketches(shorter)) & set(order_minhash.sketches(longer))
 
 
+def test_texts_of_signs_are_one_class_only_if_equal(spark):
+    texts = ["🙂 🙂", "🙂🙂\n", "🙂", "!!!", "! !\t!", "???", "", None, " \n", "one 🙂", "one"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i] for i in range(len(texts))] == [0, 0, 2, 3, 3, 5, 6, 6, 6, 9, 9]
+
+
 def brute_vectors(rows, cosine):
     def usable(v):
         return v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)
