@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import co_training, conv_toxicity, exact_dedup, html_density, orc_tokens, order_minhash, packing, prefix_bpe, projection_passes, secret_ledger
+from . import co_training, conv_toxicity, exact_dedup, gnat_codes, html_density, merkle, orc_tokens, order_minhash, packing, prefix_bpe, projection_passes, secret_ledger
 from .common import stage_path, table
 
 
@@ -68,9 +68,17 @@ def op10_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_passes.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_gnat_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gnat_codes.encode_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_co_training, op2_text_density, op3_conv_toxicity, op4_exact_dedup, op5_orc_tokens, op6_prefix_bpe, op7_order_minhash, op8_secret_ledger, op9_packing,
-    op10_projection_passes,
+    op10_projection_passes, op11_merkle, op13_gnat_codes,
 )}
 
 # Characters of one class, so that RE2's case folding adds none outside ASCII.
@@ -97,7 +105,75 @@ def _sql_spans(kind: str, number: int, pattern: str, group: int, least: int) ->
     WHERE parts[i] >= {least}"""
 
 
+def _sql_codes(parts: int = gnat_codes.PARTS, entries: int = gnat_codes.ENTRIES, rounds: int = gnat_codes.ROUNDS) -> str:
+    """All distances of every round; the nearest entry is the least of distance * 256 + entry."""
+    steps = [f"""
+kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label,
+    list_transform(embedding, lambda x: floor({gnat_codes.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cut AS MATERIALIZED (
+  SELECT row, part, v[part * (len(v) // {parts}) + 1:(part + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) AS r(part)
+), book0 AS MATERIALIZED (SELECT part, row - 1 AS entry, x AS c FROM cut WHERE row <= {entries})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+near{i} AS MATERIALIZED (
+  SELECT row, part, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 256 + entry) AS best
+  FROM cut JOIN book{i} USING (part) GROUP BY row, part
+)""")
+        if i < rounds:
+            steps.append(f"""
+mean{i} AS (
+  SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY place) AS c FROM (
+    SELECT part, best % 256 AS entry, place, sum(x[place])::BIGINT AS s, count(*) AS n
+    FROM cut JOIN near{i} USING (row, part), LATERAL (SELECT unnest(range(1, len(x) + 1)) AS place) GROUP BY ALL
+  ) GROUP BY part, entry
+), book{i + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM book{i} b LEFT JOIN mean{i} m ON b.part = m.part AND b.entry = m.entry
+)""")
+    return f"""
+WITH {",".join(steps)}, coded AS (
+  SELECT row, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, sum(best // 256)::BIGINT AS error FROM near{rounds} GROUP BY row
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (row), digest"""
+
+
+# Pieces as in the operator; sections and paragraphs by a mark after line ends, since RE2 has no look-around.
+_MARK = "chr(65535)"
+_TREE = f"""
+    SELECT *, sha256(array_to_string(list_transform(secs, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(p)), ''))), '')) AS root,
+      list_distinct(flatten(list_transform(flatten(secs), lambda p: list_filter(regexp_extract_all(p, '{merkle.PIECE}'), lambda x: x <> '')))) AS pieces
+    FROM (
+      SELECT *, CASE WHEN body = '' THEN [['']] ELSE list_transform(
+        list_filter(string_split(regexp_replace(body, '(\n\n+)', '\1' || {_MARK}, 'g'), {_MARK}), lambda s: s <> ''),
+        lambda s: list_filter(regexp_extract_all(s, '[^\n]*\n*'), lambda p: p <> '')) END AS secs
+      FROM texts)"""
+
+
+def _sql_likeness(a: str, b: str) -> str:
+    def weight(x: str) -> str:
+        return f"coalesce(list_sum(list_transform({x}, lambda x: least(length(x), 65535))), 0)"
+
+    both = f"({weight(a)} + {weight(b)})"
+    return f"CASE WHEN {both} = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * {weight(f'list_intersect({a}, {b})')} / {both} END"
+
+
 ORACLES = {
+    "op11_merkle": f"""
+WITH d AS ({_DOCS}), w AS (
+  SELECT *, length(text) AS n, row_number() OVER (ORDER BY doc_id) AS place, count(*) OVER () AS everything FROM d
+), e AS (
+  SELECT a.doc_id, a.n, a.text, b.doc_id AS next_id, left(a.text, a.n - a.n // 4) || left(b.text, a.n // 4) AS edited
+  FROM w a JOIN w b ON b.place = a.place % a.everything + 1
+), texts AS (SELECT doc_id, false AS changed, text AS body FROM e UNION ALL SELECT doc_id, true, edited FROM e), t AS ({_TREE})
+SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, o.root AS fingerprint, c.root AS edited_fingerprint,
+  {_sql_likeness('o.pieces', 'c.pieces')} AS near_edited, {_sql_likeness('o.pieces', 'f.pieces')} AS near_next
+FROM e JOIN t o ON o.doc_id = e.doc_id AND NOT o.changed JOIN t c ON c.doc_id = e.doc_id AND c.changed
+JOIN t f ON f.doc_id = e.next_id AND NOT f.changed""",
+    "op13_gnat_codes": _sql_codes(),
     "op4_exact_dedup": f"""
 WITH n AS (
   SELECT doc_id, length(text) AS size, sha256(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256 FROM ({_DOCS})
