@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import co_training, conv_toxicity, exact_dedup, gnat_codes, html_density, merkle, orc_tokens, order_minhash, packing, prefix_bpe, projection_passes, secret_ledger
+from . import co_training, conv_toxicity, exact_dedup, gnat_codes, html_density, merkle, orc_tokens, order_minhash, packing, prefix_bpe, projection_passes, secret_ledger, sorted_edits
 from .common import stage_path, table
 
 
@@ -72,13 +72,17 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op12_sorted_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sorted_edits.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_gnat_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gnat_codes.encode_vectors(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_co_training, op2_text_density, op3_conv_toxicity, op4_exact_dedup, op5_orc_tokens, op6_prefix_bpe, op7_order_minhash, op8_secret_ledger, op9_packing,
-    op10_projection_passes, op11_merkle, op13_gnat_codes,
+    op10_projection_passes, op11_merkle, op12_sorted_edits, op13_gnat_codes,
 )}
 
 # Characters of one class, so that RE2's case folding adds none outside ASCII.

@@ -15,6 +15,7 @@ from tests.oracle_check import compare, duck
 from .helpers import SCHEMA, awkward_rows
 from .test_near_duplicates import brute_similarity
 from .test_secret_ledger import brute, rows_with_secrets
+from .test_sorted_edits import brute as brute_variants
 
 FOLDER = f"{TESTDATA}/sf0.001"
 
@@ -30,12 +31,18 @@ def test_query_equals_sql(spark, name):
     assert compare(entry.queries()[name](spark, FOLDER), duck(FOLDER), ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", ["op1_co_training", "op2_text_density", "op6_prefix_bpe", "op7_order_minhash", "op10_projection_passes"])
+@pytest.mark.parametrize("name", ["op1_co_training", "op2_text_density", "op6_prefix_bpe", "op7_order_minhash", "op10_projection_passes", "op11_merkle", "op13_gnat_codes"])
 def test_query_returns_a_row_an_input(spark, name):
-    source = {"op2_text_density": "pages", "op10_projection_passes": "embeddings"}.get(name, "documents")
+    source = {"op2_text_density": "pages", "op10_projection_passes": "embeddings", "op13_gnat_codes": "embeddings"}.get(name, "documents")
     assert entry.queries()[name](spark, FOLDER).count() == table(spark, FOLDER, source).count()
 
 
+def test_spelling_query_equals_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in table(spark, FOLDER, "documents").collect()]
+    got = entry.queries()["op12_sorted_edits"](spark, FOLDER).select("word", "form", "root", "n", "n_near", "form_n").collect()
+    assert sorted(map(tuple, got), key=str) == brute_variants(rows)
+
+
 def text_key(text):
     return re.sub(r"[\x20\x09-\x0D]", "", text or "")
 
