@@ -165,23 +165,25 @@ def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     ``near_*`` are ``likeness`` of the pieces of the trees. Repeated rows each give a row; other columns are left out; an
     empty table gives no rows.
 
-    Texts shuffle once, by id. What a text gets from its follower is that one's first quarter and pieces.
+    Texts shuffle once, by id, for both joins. What a text gets from its follower is no more than a quarter of its own length, and pieces.
     """
     docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     followers = _followers(docs)
-    with_pieces = docs.withColumn("pieces", pieces(sections(F.col("text"))))
-    lent = with_pieces.join(followers, F.col("id").eqNullSafe(F.col("sender"))).select(
-        "target", "alone", "least", "text", F.substring("text", F.lit(1), F.col("take")).alias("start"), F.col("pieces").alias("next_pieces")
+    lent = docs.join(followers, F.col("id").eqNullSafe(F.col("sender"))).select(
+        "target", "alone", "least", "text", F.substring("text", F.lit(1), F.col("take")).alias("start")
     )
-    columns = ["target", "start", "next_pieces"]
-    several = lent.where(~F.col("alone") & (F.xxhash64("text") == F.col("least"))).select(columns).dropDuplicates(["target"])
+    columns = ["target", "start", pieces(sections(F.col("text"))).alias("next_pieces")]
+    # Rows of one id that stand for it are equal in text, so any of them will do.
+    stands = F.xxhash64("text").bitwiseXOR(F.col("least")) == 0  # not an equality of the two, which would become a join key of its own
+    several = lent.where(~F.col("alone") & stands).select(columns).dropDuplicates(["target"])
     received = lent.where("alone").select(columns).unionByName(several)
-    met = with_pieces.join(received, F.col("id").eqNullSafe(F.col("target"))).withColumn("edited", edited_text(F.col("text"), F.col("start")))
+    met = docs.join(received, F.col("id").eqNullSafe(F.col("target"))).withColumn("edited", edited_text(F.col("text"), F.col("start")))
     trees = met.select(
-        "id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "pieces", "next_pieces",
-        root(sections(F.col("text"))).alias("fingerprint"), sections(F.col("edited")).alias("edited_tree"),
-    ).withColumn("edited_pieces", pieces(F.col("edited_tree")))
+        "id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "next_pieces",
+        sections(F.col("text")).alias("tree"), sections(F.col("edited")).alias("edited_tree"),
+    ).withColumn("pieces", pieces(F.col("tree"))).withColumn("edited_pieces", pieces(F.col("edited_tree")))
     return trees.select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", root(F.col("edited_tree")).alias("edited_fingerprint"),
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", root(F.col("tree")).alias("fingerprint"),
+        root(F.col("edited_tree")).alias("edited_fingerprint"),
         likeness(F.col("pieces"), F.col("edited_pieces")).alias("near_edited"), likeness(F.col("pieces"), F.col("next_pieces")).alias("near_next"),
     )
