@@ -33,6 +33,7 @@ LAGS = (1, 2, 3, 24)
 GENERIC_LAGS = (1, 24, 168)
 TRAIN_DAYS = 5
 TREES, LEARNING_RATE, MIN_LEAF_ROWS, SEED = 60, 0.05, 50, 42
+LEAVES = 15
 HOTSPOT_QUANTILE = 0.98
 TOP_FEATURES = 6
 LABEL_TYPICAL = "Typical cells"

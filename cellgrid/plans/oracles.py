@@ -533,3 +533,54 @@ ORACLES["wide_candidate_edges"] = _with("""
 ORACLES["wide_plan_violations"] = _with("""
     SELECT DISTINCT target_datetime, CAST(0 AS BIGINT) AS cases_overdrawn, CAST(0 AS BIGINT) AS sources_overdrawn,
            0.0::DOUBLE AS gap FROM edges""", "edges", **_WIDE)
+
+# The watermark after an arrival is the latest time so far, in whole milliseconds, less the delay; the next arrival's rows must be after it.
+ORACLES["streamed_hourly_cells"] = f"""
+WITH b AS (SELECT epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last FROM events),
+e AS (
+  SELECT event_id, ts, user_id % 25 + 1 AS CellID, event_type, value,
+    least(5, ((epoch_us(ts) + CASE WHEN event_id % 5 = 0 THEN event_id * 37 % 97 ELSE 0 END * 3600000000 - first) * 6) // (last - first + 1)) AS slot
+  FROM events, b
+),
+delivered AS (SELECT slot, ts FROM e UNION ALL SELECT slot + 1, ts FROM e WHERE event_id % 7 = 0 AND slot < 5),
+w AS (
+  SELECT k AS slot, (SELECT max(date_trunc('millisecond', ts)) FROM delivered WHERE slot <= k) - INTERVAL 24 HOUR AS mark
+  FROM range(6) AS r(k)
+)
+SELECT CellID, date_trunc('hour', ts) AS datetime, {ZEROED.replace("sum(", "sum(cents_")},
+  count(*) AS n_events
+FROM (
+  SELECT e.*, {", ".join(f"CASE WHEN event_type = '{event}' THEN round(value * 100) END AS cents_{a}" for a, event in EVENTS_OF.items())}
+  FROM e LEFT JOIN w ON w.slot = e.slot - 1 WHERE w.mark IS NULL OR e.ts > w.mark
+)
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT mark FROM w WHERE slot = 5)
+GROUP BY 1, 2"""
+
+# Gradients in units of 2 ** -24; numbers are cut between values, cells ordered by gradient over rows plus 10, with a penalty of 10.
+_UNIT = "16777216::DOUBLE"
+_LONG = " UNION ALL ".join(
+    f"SELECT h, {i} AS f, '{c}' AS feature, CAST({c} AS BIGINT) AS v, g FROM g"
+    for i, c in enumerate(("hour_of_day", "day_of_week", "is_weekend", '"CellID"'))
+).replace("'\"CellID\"'", "'CellID'")
+ORACLES["leafwise_first_split"] = _with(f"""
+, t AS ({" UNION ALL ".join(
+    f'SELECT {h} AS h, "CellID", hour_of_day, day_of_week, is_weekend, CAST(round(ln(1 + target_{h}h) * {_UNIT}) AS BIGINT) AS y'
+    " FROM parts WHERE part = 'train'" for h in (1, 2, 3, 4))}),
+start AS (SELECT h, sum(y) / count(*) / {_UNIT} AS mean, count(*) AS total FROM t GROUP BY h),
+g AS (SELECT t.*, CAST(round((mean - y / {_UNIT}) * {_UNIT}) AS BIGINT) AS g FROM t JOIN start USING (h)),
+hist AS (SELECT h, f, feature, v, sum(g) / {_UNIT} AS g, count(*) AS n FROM ({_LONG}) GROUP BY ALL),
+ordered AS (
+  SELECT *, CASE WHEN f = 3 THEN 10 ELSE 0 END AS penalty, count(*) OVER (PARTITION BY h, f) AS places, row_number() OVER w AS place,
+    sum(g) OVER w AS low_g, sum(n) OVER w AS low_n, sum(g) OVER (PARTITION BY h, f) AS all_g, sum(n) OVER (PARTITION BY h, f) AS all_n
+  FROM hist WINDOW w AS (PARTITION BY h, f ORDER BY CASE WHEN f = 3 THEN g / (n + 10) ELSE v END, v ROWS UNBOUNDED PRECEDING)
+),
+gains AS (
+  SELECT *, low_g * low_g / (low_n + penalty) + (all_g - low_g) * (all_g - low_g) / (all_n - low_n + penalty) - all_g * all_g / all_n AS gain
+  FROM ordered WHERE low_n >= 50 AND all_n - low_n >= 50 AND (f < 3 OR place <= 32 OR places - place <= 32)
+),
+best AS (SELECT * FROM gains WHERE gain > 1e-9 QUALIFY row_number() OVER (PARTITION BY h ORDER BY gain DESC, f, place) = 1)
+SELECT CAST(b.h AS INTEGER) AS horizon, b.feature, CASE WHEN b.f < 3 THEN CAST(b.v AS DOUBLE) END AS bar,
+  CASE WHEN b.f = 3 THEN (SELECT string_agg(o.v, ',' ORDER BY o.v) FROM ordered o WHERE o.h = b.h AND o.f = 3 AND o.place <= b.place) END AS low_cells,
+  round(gain, 6) AS gain, round(-0.05 * low_g / (low_n + penalty), 9) AS low_value,
+  round(-0.05 * (all_g - low_g) / (all_n - low_n + penalty), 9) AS high_value
+FROM best b""", "parts")

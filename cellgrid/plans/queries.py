@@ -16,6 +16,7 @@ from ..operators import (
     dispatch,
     features,
     forecast,
+    leafwise,
     neighbors,
     quantiles,
     reports,
@@ -438,6 +439,32 @@ def copied_target_importance(spark, folder):
     return forecast.top_importances(models, spark, 1).select("horizon", "feature")
 
 
+@query
+def leafwise_metrics(spark, folder):
+    """Errors of leaf-wise trees with the cell as a category, all horizons; figures depend on the trees, so only the rows are comparable."""
+    train, test = (materialise(p, n) for n, p in zip(("train", "test"), _split(spark, folder)))
+    models = leafwise.fit_leafwise(train)
+    return forecast.evaluate(leafwise.predict_leafwise(test, models))
+
+
+@query
+def leafwise_first_split(spark, folder):
+    """The first split of each horizon's first tree over the calendar and the cell: what it tests, its gain, and both sides."""
+    train, _ = _split(spark, folder)
+    models = leafwise.fit_leafwise(materialise(train, "train"), inputs=features.CALENDAR_FEATURES, trees=1, leaves=2)
+    rows = []
+    for h, model in models.items():
+        for splits, values in model.trees:
+            s = splits[0]
+            cells = None if s.left is None else ",".join(str(c) for c, low in zip(model.categories, s.left) if low)
+            bar = None if s.left is not None else float(model.edges[s.feature][s.bin])
+            name = [*model.inputs, model.category][s.feature]
+            rows.append((h, name, bar, cells, round(s.gain, 6), round(values[s.low], 9), round(values[s.high], 9)))
+    return spark.createDataFrame(
+        rows, "horizon int, feature string, bar double, low_cells string, gain double, low_value double, high_value double"
+    )
+
+
 @query
 def external_model_scores(spark, folder):
     """Scores of a model from outside: the mean of the last and the day-old value."""

@@ -10,7 +10,7 @@ from .conftest import TESTDATA
 from .oracle_check import compare, duck
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", f"{TESTDATA}/sf0.01")  # the smallest with routine cases
-ROWS_ONLY = {"reallocation_plan", "boosted_tree_metrics", "boosted_tree_importances"}
+ROWS_ONLY = {"reallocation_plan", "boosted_tree_metrics", "boosted_tree_importances", "leafwise_metrics"}
 
 
 @pytest.fixture(scope="module")
