@@ -27,8 +27,9 @@ from .components import connected_components
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-SAMPLED = 4
-SKETCHES = 30
+SAMPLED = 6
+SKETCHES = 36
+SUBSET_SHINGLES = 8  # texts up to so many shingles also have the key of all but one of them
 MEMORY_WORDS = 500_000
 
 _WORDS = re.compile(r"\w+").findall
@@ -89,29 +90,34 @@ def _least_places(h: np.ndarray, sampled: int) -> np.ndarray:
     return np.sort(np.argpartition(h, sampled - 1, axis=1)[:, :sampled], axis=1)
 
 
+def _keys(rows: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """One hash a row of shingles, from the row's start value on."""
+    for k in range(rows.shape[1]):
+        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
+    return h
+
+
 def sketches(shingles: np.ndarray, sampled: int = SAMPLED, number: int = SKETCHES) -> np.ndarray:
     """``number`` hashes, each of the ``sampled`` shingles least under its own hash, in text order.
 
-    Shingle hashes are well mixed, so odd multiples of them order the shingles at random. A text with one shingle more than
-    ``sampled`` has the first hash of all its subsets of that size too: it always meets the text that lacks one of its shingles.
+    Shingle hashes are well mixed, so odd multiples of them order the shingles at random. Where both texts of a link have at most
+    ``SUBSET_SHINGLES`` shingles, one is the other or lacks one shingle of it: texts of so few have the key of all their shingles, and those of
+    five or more, up to one more than that, the keys of all but one, so such a link is never missed.
     """
     n = len(shingles)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
+    found = []
     with np.errstate(over="ignore"):
         if n > sampled:
             step = max(1, (1 << 21) // n)  # rows at a time, so that long texts stay small in memory
             places = [_least_places(shingles[None, :] * _MULTIPLIERS[i : i + step, None], sampled) for i in range(0, number, step)]
-            chosen = shingles[np.concatenate(places)]
-        else:
-            chosen = np.broadcast_to(shingles, (number, n))
-        h = _MULTIPLIERS[:number].copy()
-        if n == sampled + 1:
-            chosen = np.concatenate([chosen, [np.delete(shingles, k) for k in range(n)]])
-            h = np.append(h, np.repeat(h[0], n))
-        for k in range(chosen.shape[1]):
-            h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + chosen[:, k])
-    return h.view(np.int64)
+            found.append(_keys(shingles[np.concatenate(places)], _MULTIPLIERS[:number].copy()))
+        if n <= SUBSET_SHINGLES:
+            found.append(_keys(shingles[None, :], np.array([n], dtype=np.uint64)))
+        if 5 <= n <= SUBSET_SHINGLES + 1:
+            found.append(_keys(np.stack([np.delete(shingles, k) for k in range(n)]), np.full(n, n - 1, dtype=np.uint64)))
+    return np.concatenate(found).view(np.int64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:

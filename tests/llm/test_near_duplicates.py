@@ -92,13 +92,15 @@ def test_classes_equal_brute_force(spark):
     for k in range(4):
         rows += [(1000 + 100 * k + i, t, "en", "s", 1) for i, t in enumerate(variants(k))]
     rng = random.Random(8)
+    rows += [(4990, "!?!", "en", "s", 1), (4991, " !? !", "en", "s", 1), (4992, "???", "en", "s", 1), (4993, "!!!", "en", "s", 1)]
+    rows += [(4900 + i, t, "en", "s", 1) for i, t in enumerate(v for n in range(8, 15) for v in variants(n, 4, n))]
     rows += [(5000 + i, passage + " " + sentence(rng, 45), "en", "s", 1) for i in range(25)]
     texts = [r[1] or "" for r in rows]
     short = [t if len(t) < 30_000 else "" for t in texts]
     links = [
         (i, j) for i in range(len(rows)) for j in range(i)
-        if texts[i] == texts[j] or (bool(short[i].strip()) and bool(short[j].strip()) and brute_similarity(texts[i], texts[j]) >= 0.8)
-        or not order_minhash._WORDS(texts[i]) and not order_minhash._WORDS(texts[j])
+        if texts[i] == texts[j] or (bool(order_minhash._WORDS(short[i])) and bool(order_minhash._WORDS(short[j])) and brute_similarity(texts[i], texts[j]) >= 0.8)
+        or not order_minhash._WORDS(texts[i] + texts[j]) and "".join(texts[i].split()) == "".join(texts[j].split())
     ]
     root = classes_of(len(rows), links)
     members = defaultdict(list)
@@ -132,15 +134,30 @@ def test_one_word_edits_are_found(spark):
     assert {r.class_id for r in order_minhash.near_classes(spark.createDataFrame(rows, SCHEMA)).collect()} == {0}
 
 
-def test_short_texts_one_word_apart_share_a_sketch():
-    """Eight words against nine: four of five shingles, similarity exactly 0.8."""
-    for seed in range(5000):
-        longer = np.random.default_rng(seed).integers(0, 1 << 63, order_minhash.SAMPLED + 1, dtype=np.uint64)
-        for shorter in (longer[1:], longer[:-1]):
+@pytest.mark.parametrize("n", range(5, order_minhash.SUBSET_SHINGLES + 2))
+def test_short_texts_one_word_apart_share_a_sketch(n):
+    """For one, eight words against nine: four of five shingles, similarity exactly 0.8."""
+    for seed in range(1000):
+        longer = np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64)
+        for k in range(n):
+            shorter = np.delete(longer, k)
             assert order_minhash.similarity(shorter, longer) >= 0.8
             assert set(order_minhash.sketches(shorter)) & set(order_minhash.sketches(longer))
 
 
+@pytest.mark.parametrize("n, gone, fresh", [(10, 2, 0), (9, 1, 1), (18, 2, 2), (45, 5, 5), (180, 20, 20), (100, 20, 0)])
+def test_share_of_links_at_the_bound_that_meet(n, gone, fresh):
+    """Pairs of similarity 0.8, or just above, share a sketch at least 99 times of 100."""
+    met, tries = 0, 1000
+    for seed in range(tries):
+        rng = np.random.default_rng((seed, n))
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.insert(np.delete(a, rng.choice(n, gone, replace=False)), rng.integers(0, n - gone + 1, fresh), rng.integers(0, 1 << 63, fresh, dtype=np.uint64))
+        assert order_minhash.similarity(a, b) >= 0.8
+        met += bool(set(order_minhash.sketches(a)) & set(order_minhash.sketches(b)))
+    assert met >= 0.99 * tries
+
+
 def test_texts_of_signs_are_one_class_only_if_equal(spark):
     texts = ["🙂 🙂", "🙂🙂\n", "🙂", "!!!", "! !\t!", "???", "", None, " \n", "one 🙂", "one"]
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
