@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.fixed import GENERIC_LAGS, GRID_SIZE, HORIZONS, LAGS, SEASON_HOURS
 from ..functions.scalars import day_of_week, hour_of, is_weekend
@@ -99,7 +99,6 @@ def add_lag_and_seasonal_features(
     lags: Sequence[int] = GENERIC_LAGS,
     order: Sequence[str] | None = None,
     partition: Sequence[str] = (),
-    buckets: Sequence[Column] | None = None,
     block_rows: int = 100_000,
 ) -> DataFrame:
     """Calendar parts and ``{target}_lag_{k}`` over any frame with a time column.
@@ -111,7 +110,7 @@ def add_lag_and_seasonal_features(
     order = list(order or [time_col])
     shifts = {f"{target}_lag_{k}": (target, k) for k in lags}
     shifted = shift_rows_blocked(
-        df, shifts, partition=partition, order=order, buckets=buckets, block_rows=block_rows
+        df, shifts, partition=partition, order=order, block_rows=block_rows
     )
     return shifted.withColumns(
         {

@@ -15,10 +15,12 @@ instead of shuffling the rows to it. Above the limit it is an ordinary join.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialise
+from .series import ranged
 
 # Fractions known only at run time are bracketed on a grid of this many steps.
 _STEPS = 1000
@@ -64,7 +66,7 @@ def _grid_bracket(grid: Column, fraction: Column, n: Column, accuracy: int) -> t
     return F.when(below >= 1, F.get(grid, below)), F.when(above < _STEPS, F.get(grid, above))
 
 
-def _pick_ranks(df: DataFrame, stats: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def pick_ranks(df: DataFrame, stats: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Second pass. ``stats`` holds keys, n, fraction, low, high, and columns to carry along; one row per group."""
     carried = [c for c in stats.columns if c not in {*keys, "n", "fraction", "low", "high"}]
     stats = materialise(stats, "group-stats")
@@ -122,7 +124,7 @@ def group_quantile(
         _choose_margin(F.col("pivots"), F.col("n"), fraction, -1, accuracy).alias("low"),
         _choose_margin(F.col("pivots"), F.col("n"), fraction, 1, accuracy).alias("high"),
     )
-    return _pick_ranks(present, stats, keys, value)
+    return pick_ranks(present, stats, keys, value)
 
 
 def mean_to_max_quantile(
@@ -149,4 +151,36 @@ def mean_to_max_quantile(
     stats = base.select(
         *keys, "n", "f_star", ((F.col("f_star") * 100) / 100).alias("fraction"), low.alias("low"), high.alias("high")
     )
-    return _pick_ranks(present, stats, keys, value).withColumnRenamed("quantile", "threshold")
+    return pick_ranks(present, stats, keys, value).withColumnRenamed("quantile", "threshold")
+
+
+def whole_quantiles(df: DataFrame, value: str, fractions: Sequence[float], *, weight: str | None = None) -> DataFrame:
+    """One row ``q0, q1, ..``: quantiles of ``value`` over all rows, each counting ``weight`` times (a whole number, default once).
+
+    Equal values are added up, the rest is dealt by ranges of the value. Weight sums of the ranges tell which
+    of them hold the wanted ranks, and only those few are summed value by value. NULL without any weight; missing values are skipped.
+    """
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    values = materialise(df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(n.alias("w")).filter("w > 0"), "values")
+    placed, _ = ranged(values, ["v"], "ranged-values")
+    sums = placed.groupBy("_block").agg(F.sum("w").alias("w"))  # a row a partition
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(
+        "_block", "w", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("before"), F.sum("w").over(Window.partitionBy()).alias("total")
+    )
+    positions = [F.lit(float(f)) * (F.col("total") - 1) for f in fractions]
+    ranks = [r for p in positions for r in (F.floor(p), F.ceil(p))]
+
+    def holds(rank: Column) -> Column:
+        return (F.col("before") <= rank) & (F.col("before") + F.col("w") > rank)
+
+    wanted = sums.filter(reduce(lambda a, b: a | b, map(holds, ranks))).drop("w")
+    running = Window.partitionBy("_block").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = placed.join(F.broadcast(wanted), "_block")
+    inside = inside.withColumn("before", F.col("before") + F.sum("w").over(running) - F.col("w"))
+    picked = inside.agg(
+        F.max("total").alias("total"), *[F.max(F.when(holds(r), F.col("v"))).alias(f"r{i}") for i, r in enumerate(ranks)]
+    )
+    return picked.select(
+        *[interpolate(F.col(f"r{2 * i}"), F.col(f"r{2 * i + 1}"), p - F.floor(p)).alias(f"q{i}") for i, p in enumerate(positions)]
+    )

@@ -16,7 +16,7 @@ from ..functions.fixed import (
 )
 from ..functions.grid import cell_x, cell_y
 from ..functions.scalars import fill_template, fixed_decimals
-from .series import ordered_index
+from .series import range_index
 
 SOURCES_TYPE = "array<struct<source:bigint,amount:double>>"
 
@@ -121,11 +121,7 @@ def upsert_reports(
     kept = merged.filter("id is not null").select(
         "id", "case_id", F.coalesce("_text", "report_text").alias("report_text"), stamp.alias("generated_at")
     )
-    fresh = ordered_index(
-        merged.filter("id is null").select("case_id", "_text"),
-        ["case_id"],
-        [F.floor(F.col("case_id") / 1_000_000), F.floor(F.col("case_id") / 1_000)],
-    )
+    fresh = range_index(merged.filter("id is null").select("case_id", "_text"), ["case_id"])
     last = F.coalesce(existing.agg(F.max("id")).scalar(), F.lit(0))
     inserted = fresh.select(
         (last + F.col("row_index") + 1).alias("id"), "case_id", F.col("_text").alias("report_text"),

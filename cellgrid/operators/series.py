@@ -3,59 +3,53 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialise
+
 # name -> (column, rows back); a negative number looks ahead.
 Shifts = Mapping[str, tuple[str, int]]
 
 
-def _join_same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on keys where NULL equals NULL, keeping the left key columns."""
-    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(right, same).drop(*[f"_r_{k}" for k in keys])
+_TASK_BITS = 33  # of a monotonically increasing id, the low ones count a task's rows
 
 
-def ordered_index(
-    df: DataFrame,
-    order: Sequence[str],
-    buckets: Sequence[Column],
-    *,
-    partition: Sequence[str] = (),
-    name: str = "row_index",
-) -> DataFrame:
-    """0-based position of each row in ``order`` (within ``partition``), without sorting everything in one task.
+def ranged(df: DataFrame, order: Sequence[str | Column], name: str) -> tuple[DataFrame, DataFrame]:
+    """Stage table of ``df`` with ``_block`` and ``_place``: its range partition in ``order``, and the row's place there; and ``_block, _offset``.
+
+    Rows are sorted once, inside their partition. The offsets are running sums over the partitions' sizes: a row a
+    partition is all that meets in one task, and what is broadcast.
+    """
+    at = F.monotonically_increasing_id()
+    placed = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), name)
+    placed = placed.withColumns(
+        {"_block": F.shiftright("_at", _TASK_BITS), "_place": F.col("_at").bitwiseAND(F.lit((1 << _TASK_BITS) - 1))}
+    ).drop("_at")
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    return placed, sizes.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+
+
+def range_index(df: DataFrame, order: Sequence[str], *, name: str = "row_index") -> DataFrame:
+    """0-based position of each row in ``order``, which should be unique; without sorting everything in one task.
+
+    ``df`` is written out once before (choosing the ranges reads it a second time) and once with its places.
+    """
+    placed, offsets = ranged(materialise(df, "to-index"), list(order), "indexed")
+    return placed.join(F.broadcast(offsets), "_block").select(*df.columns, (F.col("_offset") + F.col("_place")).alias(name))
+
+
+def count_below(df: DataFrame, value: str, *, name: str = "n_below") -> DataFrame:
+    """``df``, a stored table, with the number of rows whose ``value`` is strictly less; rows without a value get NULL and count for none.
 
-    ``buckets`` are expressions, coarse to fine, each non-decreasing in the order: for example
-    month, then hour. Rows are sorted inside the finest bucket only; the bucket offsets are
-    running sums over the bucket counts, level by level.
+    Rows are dealt by ranges of the value, so equal ones are in one partition: ranks inside it, offsets over the partitions.
     """
-    marks = [f"_b{i}" for i in range(len(buckets))]
-    marked = df.select("*", *[b.alias(m) for b, m in zip(buckets, marks)])
-    keys = [*partition, *marks]
-
-    counts = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts
-    level = counts
-    for depth in range(len(marks), 0, -1):
-        parent = [*partition, *marks[: depth - 1]]
-        before = (
-            Window.partitionBy(*parent).orderBy(marks[depth - 1]).rowsBetween(Window.unboundedPreceding, -1)
-        )
-        running = level.withColumn(f"_o{depth}", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        if depth == len(marks):
-            offsets = running
-        else:
-            offsets = _join_same_key(offsets, running.drop("_n"), [*parent, marks[depth - 1]])
-        level = level.groupBy(*parent).agg(F.sum("_n").alias("_n"))
-    total = reduce(lambda a, b: a + b, [F.col(f"_o{d}") for d in range(1, len(marks) + 1)])
-    offsets = offsets.select(*keys, total.alias("_offset"))
-
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    placed = _join_same_key(marked.withColumn("_rn", inside), offsets, keys)
-    return placed.select(*df.columns, (F.col("_offset") + F.col("_rn")).alias(name))
+    order = [F.col(value).asc_nulls_last()]
+    placed, offsets = ranged(df, order, "ranked")
+    inside = F.rank().over(Window.partitionBy("_block").orderBy(*order)) - 1
+    ranked = placed.withColumn("_below", inside).join(F.broadcast(offsets), "_block")
+    return ranked.select(*df.columns, F.when(F.col(value).isNotNull(), F.col("_offset") + F.col("_below")).alias(name))
 
 
 def _shifted(column: str, back: int, window) -> Column:
@@ -85,23 +79,19 @@ def shift_rows_blocked(
     *,
     partition: Sequence[str] = ("CellID",),
     order: Sequence[str] = ("datetime",),
-    buckets: Sequence[Column] | None = None,
     block_rows: int = 100_000,
 ) -> DataFrame:
     """As :func:`shift_rows` for series of any length, also for one series over the whole frame.
 
-    Rows are numbered by :func:`ordered_index`, cut into blocks of ``block_rows`` consecutive
+    Rows are numbered by :func:`range_index` in order of series and time, cut into blocks of ``block_rows`` consecutive
     rows, and the few rows next to a block border are copied to the neighbouring block, so
-    every shift finds its value inside one block. ``buckets`` default to month and hour of
-    the first order column; add a finer one where a single hour may be very large.
+    every shift finds its value inside one block.
     """
     back = max([k for _, k in shifts.values() if k > 0], default=0)
     ahead = max([-k for _, k in shifts.values() if k < 0], default=0)
     if max(back, ahead) > block_rows:
         raise ValueError("block_rows must be at least the largest shift")
-    if buckets is None:
-        buckets = [F.date_trunc("month", order[0]), F.date_trunc("hour", order[0])]
-    indexed = ordered_index(df, order, buckets, partition=partition, name="_idx")
+    indexed = range_index(df, [*partition, *order], name="_idx")
 
     def block(i: Column) -> Column:
         return F.floor(F.greatest(i, F.lit(0)) / block_rows)

@@ -9,21 +9,11 @@ from ..functions.grid import cell_x, cell_y
 from ..functions.scalars import fill_template, round_binary
 from ..session import materialise
 from .reports import report_text, time_text
-from .series import ordered_index
+from .series import range_index
 
 REPORTS_SCHEMA = "id long, case_id long, report_text string, generated_at timestamp_ntz"
 
 
-def _cell_buckets(cell: str, time: str) -> list[Column]:
-    """Order buckets for (cell, time): at most 1,024 cells, then one cell, then one month."""
-    return [F.floor(F.col(cell) / 1024), F.col(cell), F.date_trunc("month", time)]
-
-
-def _time_buckets(cell: str, time: str) -> list[Column]:
-    """Order buckets for (time, cell): month, hour, at most 1,024 cells."""
-    return [F.date_trunc("month", time), F.date_trunc("hour", time), F.floor(F.col(cell) / 1024)]
-
-
 def build_cases(
     diagnosed: DataFrame,
     covered: DataFrame | None = None,
@@ -62,7 +52,7 @@ def build_cases(
             F.col(cell_col).alias("cell_id"), "target_datetime", "deficit", "covered", "fully_resolved"
         )
         joined = unique.join(found, ["cell_id", "target_datetime"], "left")
-    indexed = ordered_index(joined, ["cell_id", "target_datetime"], _cell_buckets("cell_id", "target_datetime"))
+    indexed = range_index(joined, ["cell_id", "target_datetime"])
     return indexed.select((F.col("row_index") + 1).alias("id"), *joined.columns)
 
 
@@ -78,11 +68,7 @@ def build_sources(cases: DataFrame, moves: DataFrame, *, grid_size: int = GRID_S
             "_dy": cell_y("source_cell", grid_size) - cell_y("congested_cell", grid_size),
         }
     )
-    indexed = ordered_index(
-        matched,
-        ["target_datetime", "congested_cell", "_dx", "_dy"],
-        _time_buckets("congested_cell", "target_datetime"),
-    )
+    indexed = range_index(matched, ["target_datetime", "congested_cell", "_dx", "_dy"])
     return indexed.select(
         (F.col("row_index") + 1).alias("id"), "case_id", F.col("source_cell").alias("source_cell_id"), "amount_moved"
     )

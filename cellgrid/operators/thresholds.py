@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.fixed import CONGESTION_PERCENTILE
 from ..functions.scalars import exceeds
 from ..session import materialise
-from .quantiles import group_quantile, mean_to_max_quantile
+from .quantiles import group_quantile, mean_to_max_quantile, whole_quantiles
 
 
 def percentile_thresholds(
@@ -73,18 +73,15 @@ def flag_mean_to_max(
 
 def describe_groups(per_group: DataFrame, value: str = "loubar_f_star") -> DataFrame:
     """count, mean, std, min, quartiles and max over a table that has one row per group."""
-    quarters = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    quarters = whole_quantiles(per_group, value, (0.25, 0.5, 0.75))
+    p25, p50, p75 = (quarters.select(f"q{i}").scalar() for i in range(3))
     return per_group.agg(
         F.count(value).alias("count"),
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"),
-        quarters.alias("q"),
         F.max(value).alias("max"),
-    ).select(
-        "count", "mean", "std", "min",
-        F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max",
-    )
+    ).select("count", "mean", "std", "min", p25.alias("p25"), p50.alias("p50"), p75.alias("p75"), "max")
 
 
 def one_row_per_cell(df: DataFrame, columns: Sequence[str], *, cell_col: str = "CellID") -> DataFrame:

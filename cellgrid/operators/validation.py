@@ -20,6 +20,7 @@ from ..functions.fixed import (
 )
 from ..functions.scalars import hour_of, is_weekend
 from ..session import materialise
+from .series import count_below
 
 NO_ROWS = "NO ROWS"
 NO_COLUMN = "NO COLUMN"
@@ -108,6 +109,15 @@ def cell_percentile_ranks(
     return shares.select(F.inline(rows), "n_cells").filter("mean_value is not null")
 
 
+def all_cell_percentile_ranks(df: DataFrame, *, cell_col: str = "CellID", value: str = "total_activity") -> DataFrame:
+    """Of every cell: its mean, and the share of cells (percent) with a strictly lower mean; cells without values have neither."""
+    means = materialise(cell_means(df, cell_col=cell_col, value=value), "cell-means")
+    total = means.agg(F.count(F.lit(1))).scalar()
+    return count_below(means, "mean_value").select(
+        cell_col, "mean_value", (F.col("n_below") / total * 100).alias("percentile"), total.alias("n_cells")
+    )
+
+
 def centre_rank_check(
     df: DataFrame, cell: int = CENTRE_CELL, *, cell_col: str = "CellID", value: str = "total_activity"
 ) -> DataFrame:

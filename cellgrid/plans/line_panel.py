@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import with_total_activity
-from ..operators import allocation, neighbors
+from ..operators import allocation, neighbors, validation
 from ..operators.collapse import collapse_country_codes
 from ..operators.diagnosis import diagnose, predicted_risk
 from ..operators.thresholds import flag_congestion
@@ -51,6 +51,13 @@ def wide_congestion_flags(spark, folder):
     return flags.select(*KEY, "total_activity", "congestion_threshold", "is_congestion_risk")
 
 
+@query
+def all_cell_percentile_ranks(spark, folder):
+    """Percentile rank of every cell's mean among all cells' means."""
+    ranks = validation.all_cell_percentile_ranks(staged_panel(spark, folder))
+    return ranks.withColumns({c: _rounded(c) for c in ("mean_value", "percentile")})
+
+
 @query
 def wide_neighbor_average(spark, folder):
     averaged = neighbors.with_neighbor_average(staged_panel(spark, folder), grid_size=GRID)

@@ -584,3 +584,12 @@ SELECT CAST(b.h AS INTEGER) AS horizon, b.feature, CASE WHEN b.f < 3 THEN CAST(b
   round(gain, 6) AS gain, round(-0.05 * low_g / (low_n + penalty), 9) AS low_value,
   round(-0.05 * (all_g - low_g) / (all_n - low_n + penalty), 9) AS high_value
 FROM best b""", "parts")
+
+_WINDOW = "(SELECT * FROM panel WHERE CAST(datetime AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-28')"
+ORACLES["merged_threshold_errors"] = _with(f'SELECT "CellID", count(*) AS n, TRUE AS within_bound FROM {_WINDOW} GROUP BY 1', "panel")
+ORACLES["window_thresholds"] = _with(
+    f"""SELECT "CellID", round(q, 6) AS congestion_threshold FROM ({_quantile(_WINDOW, '"CellID"', 'total_activity', '0.9::DOUBLE')})""", "panel")
+ORACLES["all_cell_percentile_ranks"] = _with("""
+    SELECT "CellID", round(m, 6) AS mean_value, round((rank() OVER (ORDER BY m) - 1) * 100.0::DOUBLE / count(*) OVER (), 6) AS percentile,
+      count(*) OVER () AS n_cells
+    FROM (SELECT "CellID", avg(total_activity) AS m FROM panel GROUP BY 1)""", "panel", **_WIDE)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import reduce
 
@@ -25,7 +26,8 @@ from ..operators import (
     thresholds,
     validation,
 )
-from ..session import materialise
+from ..operators.threshold_state import ThresholdState, rank_error, threshold_errors
+from ..session import materialise, stage_path
 from ..sources.tables import normalise_time
 from . import event_panel as ep
 
@@ -219,6 +221,34 @@ def percentile_thresholds_as_of(spark, folder):
     return thresholds.percentile_thresholds(ep.staged_panel(spark, folder), percentile=75, as_of="2024-01-15 00:00:00")
 
 
+def _threshold_state(spark, folder) -> tuple[DataFrame, ThresholdState]:
+    """The state of the panel, added in two parts of which the second holds three days once more."""
+    rows = ep.staged_panel(spark, folder)
+    state = ThresholdState(spark, stage_path(spark, "threshold-state"))
+    state.add(rows.filter(F.to_date("datetime") <= F.lit(dt.date(2024, 1, 20))))
+    state.add(rows.filter(F.to_date("datetime") >= F.lit(dt.date(2024, 1, 18))))
+    return rows, state
+
+
+WINDOW = dt.date(2024, 1, 8), dt.date(2024, 1, 28)
+
+
+@query
+def merged_threshold_errors(spark, folder):
+    """Of thresholds merged from stored days: the counted rank error, held against the bound."""
+    rows, state = _threshold_state(spark, folder)
+    inside = rows.filter(F.to_date("datetime").between(*[F.lit(d) for d in WINDOW]))
+    errors = threshold_errors(inside, materialise(state.thresholds(*WINDOW), "merged"))
+    return errors.select("CellID", "n", (F.col("rank_error") <= rank_error(state.size) + 1 / F.col("n")).alias("within_bound"))
+
+
+@query
+def window_thresholds(spark, folder):
+    """Exact thresholds of a window of days: ranks counted inside the bracket of the merged sketches."""
+    rows, state = _threshold_state(spark, folder)
+    return state.exact_thresholds(rows, *WINDOW).withColumn("congestion_threshold", _rounded("congestion_threshold"))
+
+
 @query
 def congestion_flags(spark, folder):
     return ep.flagged_panel(spark, folder).select(
@@ -322,9 +352,8 @@ def clock_hour_lags(spark, folder):
 def whole_frame_lags(spark, folder):
     """Generic lag and calendar features over the whole frame, in (time, cell) order."""
     order = ["datetime", "CellID", "_source_file"]
-    buckets = [F.date_trunc("month", "datetime"), F.date_trunc("hour", "datetime"), F.floor(F.col("CellID") / 1024)]
     built = features.add_lag_and_seasonal_features(
-        ep.staged_panel(spark, folder), "total_activity", time_col="datetime", order=order, buckets=buckets
+        ep.staged_panel(spark, folder), "total_activity", time_col="datetime", order=order
     )
     return built.select(
         *KEY, "hour", "day_of_week", "is_weekend", *[f"total_activity_lag_{k}" for k in (1, 24, 168)]

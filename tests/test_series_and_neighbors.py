@@ -67,12 +67,28 @@ def test_clock_shifts_need_the_exact_hour(spark):
 def test_order_index_is_dense_with_null_times(spark):
     rows = [(None, i) for i in range(3)] + [(START + dt.timedelta(hours=h), 9) for h in range(50)]
     df = spark.createDataFrame(rows, "t timestamp_ntz, k int")
-    got = series.ordered_index(df, ["t", "k"], [F.date_trunc("month", "t"), F.date_trunc("day", "t")]).collect()
+    got = series.range_index(df.repartition(7), ["t", "k"]).collect()
     assert sorted(r.row_index for r in got) == list(range(53))
     ordered = sorted(got, key=lambda r: r.row_index)
     assert [r.k for r in ordered[:3]] == [0, 1, 2] and all(a.t < b.t for a, b in zip(ordered[3:], ordered[4:]))
 
 
+def test_index_of_many_and_of_no_rows(spark):
+    df = spark.range(5000).select((F.hash("id") % 1000).alias("a"), "id")
+    got = sorted((r.a, r.id, r.row_index) for r in series.range_index(df, ["a", "id"]).collect())
+    assert [g[2] for g in got] == list(range(5000))
+    assert series.range_index(df.limit(0), ["a", "id"]).count() == 0
+
+
+def test_count_below_with_ties_and_missing_values(spark):
+    values = [None, None] + [float(i % 7) for i in range(300)] + [3.5]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "k int, v double").repartition(5)
+    present = [v for v in values if v is not None]
+    for r in series.count_below(df, "v").collect():
+        assert r.n_below == (None if r.v is None else sum(v < r.v for v in present))
+    assert series.count_below(df.limit(0), "v").count() == 0
+
+
 def test_generic_features(spark):
     rows = [(START + dt.timedelta(hours=h), float(h)) for h in range(30)]
     df = spark.createDataFrame(rows, "timestamp timestamp_ntz, demand double")
