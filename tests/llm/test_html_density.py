@@ -2,7 +2,9 @@ import re
 from html import unescape
 
 import duckdb
+import pytest
 
+from cellgrid.llm import html_density
 from cellgrid.llm.html_density import extract_pages, main_text, parse, score
 from tests.conftest import TESTDATA
 
@@ -34,6 +36,39 @@ def test_page_furniture_goes():
     )
 
 
+INLINE = sorted(html_density._INLINE - html_density._VOID)
+
+
+@pytest.mark.parametrize("tag", INLINE)
+def test_nested_element_of_a_dropped_one_ends_nothing(tag):
+    for inner in (tag, "div", "span"):
+        page = f'<body><p>First words of the page.</p><{tag} class="share"><{inner}>Tweet</{inner}></{tag}><p>END of the words.</p></body>'
+        assert main_text(page) == "First words of the page.\nEND of the words."
+        page = f'<body><p>First words of the page.</p><{tag} hidden><{inner}>Tweet<{inner}>x</{inner}></{inner}></{tag}><p>END of the words.</p></body>'
+        assert main_text(page) == "First words of the page.\nEND of the words."
+
+
+@pytest.mark.parametrize("name", [
+    "content has-sidebar", "no-ads", "content-with-sidebar", "legal-news", "ad-free", "page menu-open", "post sponsored", "withoutComments", "sidebar-left layout",
+])
+def test_a_name_alone_does_not_lose_the_article(name):
+    p = "<p>Some words of a paragraph that goes on for a while.</p>"
+    text = "\n".join(["Some words of a paragraph that goes on for a while."] * 6)
+    for attribute in ("class", "id"):
+        assert main_text(f'<body><div {attribute}="{name}">{p * 6}</div><div><a href=1>Home</a></div></body>').startswith(text)
+
+
+def test_names_inside_an_article():
+    p = "<p>Some words of a paragraph that goes on for a while.</p>"
+    page = f'<body><article><h2 id="legal">Title</h2>{p}<p class="ad-free">Kept.</p><p id="notice">Kept too.</p><div class="related">Gone.</div>{p}</article></body>'
+    assert main_text(page).split("\n")[0] == "Title" and "Kept." in main_text(page) and "Kept too." in main_text(page) and "Gone" not in main_text(page)
+
+
+def test_long_comments_do_not_win_over_a_short_article():
+    page = "<body><div class=post><p>A short article of one sentence.</p></div><div id=comments>" + "<p>One more long opinion of a reader, at length.</p>" * 20 + "</div></body>"
+    assert main_text(page) == "A short article of one sentence."
+
+
 def test_sections_beside_the_core_stay():
     p = "<p>Some words of a paragraph that goes on for a while.</p>"
     page = f"<body><div><div>{p * 3}</div><div>{p}<p>Short.</p></div><div><a href=1>x</a> <a href=2>yy</a> <a href=3>zz</a></div></div></body>"
