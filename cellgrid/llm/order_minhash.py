@@ -6,10 +6,9 @@ equal sketches need the same shingles in the same order. Candidates share one of
 A pair's similarity is that of the best order-preserving match of labelled shingles:
 matched / (all of both - matched). Links need 0.8; classes are the components of the links.
 
-Equal word sequences are one node from the start, as are texts without words that hold the same signs. In a bucket all members are compared with a leader;
-only members of different components go on, with more leaders each round, until every bucket
-is settled. So large groups cost a comparison or two a member, and no link that a
-bucket holds between components is left out.
+Equal word sequences are one node from the start, as are texts without words that hold the same signs. In a bucket all members are compared with a leader.
+Where members are left in different components that might still link, those outside the largest one are compared with all, in blocks of
+bounded size. So groups of copies cost a comparison or two a member, and no link that a bucket holds between components is left out.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import Scratch, fresh_column, materialise, record_batch, row_batches, text_or_empty
-from .components import connected_components
+from .components import SALTS, connected_components
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -111,7 +110,7 @@ def sketches(shingles: np.ndarray, sampled: int = SAMPLED, number: int = SKETCHE
     with np.errstate(over="ignore"):
         if n > sampled:
             step = max(1, (1 << 21) // n)  # rows at a time, so that long texts stay small in memory
-            places = [_least_places(shingles[None, :] * _MULTIPLIERS[i : i + step, None], sampled) for i in range(0, number, step)]
+            places = [_least_places(shingles[None, :] * _MULTIPLIERS[i : min(i + step, number), None], sampled) for i in range(0, number, step)]
             found.append(_keys(shingles[np.concatenate(places)], _MULTIPLIERS[:number].copy()))
         if n <= SUBSET_SHINGLES:
             found.append(_keys(shingles[None, :], np.array([n], dtype=np.uint64)))
@@ -216,7 +215,112 @@ def _compared(pairs: DataFrame, staged: DataFrame, least: float, scratch: Scratc
     return joined.select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long, linked boolean, distance double")
 
 
-LEADERS = 8  # in the round after the first; as many times more in each later one
+BLOCK = 256  # members of an open bucket that one task compares with as many others
+COLUMNS = 8192  # shingles counted at a time
+
+
+def _common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common shingles (distinct within a text) of all pairs."""
+    sizes = [len(s) for s in (*left, *right)]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(values := np.concatenate([*left, *right]), kind="stable")
+    values, owner = values[order], owner[order]
+    first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    counts = np.diff(np.r_[first, len(values)])
+    column = np.repeat(np.where(counts > 1, np.cumsum(counts > 1) - 1, -1), counts)  # shingles of one text have none
+    owner, column = owner[column >= 0], column[column >= 0]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        low, high = np.searchsorted(column, [at, at + COLUMNS])
+        marks = np.zeros((len(sizes), COLUMNS), dtype=np.float32)
+        marks[owner[low:high], column[low:high] - at] = 1
+        out += marks[: len(left)] @ marks[len(left) :].T
+    return out
+
+
+def block_links(rows: np.ndarray, component: np.ndarray, raw: list[bytes], left: np.ndarray, right: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links between the texts at places ``left`` and ``right`` that join different components, thinned to a tree.
+
+    The share of common shingles, which no order-preserving match exceeds, is counted for all pairs at once; only
+    pairs that reach ``least`` and are not joined yet are aligned.
+    """
+    shingles = [labelled_shingles(np.frombuffer(r, dtype="<u4").astype(np.uint64)) for r in raw]
+    sizes = np.array([len(s) for s in shingles])
+    common = _common_counts([shingles[i] for i in left], [shingles[i] for i in right])
+    needed = least * (sizes[left][:, None] + sizes[right][None, :]) / (1 + least) - 1e-6 * sizes.max()
+    joined = {int(c): int(c) for c in component}
+
+    def root(c: int) -> int:
+        while joined[c] != c:
+            joined[c] = c = joined[joined[c]]
+        return c
+
+    links = []
+    for i, j in zip(*np.nonzero((common >= needed) & (component[left][:, None] != component[right][None, :]))):
+        x, y = int(left[i]), int(right[j])
+        p, q = root(int(component[x])), root(int(component[y]))
+        if p != q and similarity(shingles[x], shingles[y], least) > 0:
+            joined[max(p, q)] = min(p, q)
+            links.append((int(rows[x]), int(rows[y])))
+    return links
+
+
+def _salted_join(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Inner join on ``bucket``, of which ``buckets`` has one row each; the rows of one bucket are dealt to several tasks."""
+    spread = buckets.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(spread, ["bucket", "salt"]).drop("salt")
+
+
+def _open_links(rest: DataFrame, found: DataFrame, staged: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """Links ``a, b`` between members of one bucket that are in different components so far.
+
+    A bucket is settled unless the distances to its first member of two components come close enough for a
+    link. In an open one the members of its largest component are compared with all others, and those with each other, in
+    blocks of bounded size: a task gets two blocks, whatever the bucket holds.
+    """
+    reach = 1 - least + 1e-9
+    placed = rest.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
+    placed = scratch.stage(placed, "placed")
+    spans = placed.groupBy("bucket", "component").agg(F.min("distance").alias("low"), F.max("distance").alias("high"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("bucket").orderBy("low", "component").rowsBetween(Window.unboundedPreceding, -1)
+    close = F.col("low") - F.max("high").over(before) <= reach
+    unsettled = spans.withColumn("close", close).groupBy("bucket").agg(
+        F.max("close").alias("close"), F.max(F.struct("n", "component")).alias("core"), F.sum("n").alias("n")
+    ).where("close")
+    unsettled = scratch.stage(
+        unsettled.select(
+            "bucket", F.col("core.component").alias("core"), F.ceil(F.col("core.n") / BLOCK).cast("int").alias("core_blocks"),
+            F.ceil((F.col("n") - F.col("core.n")) / BLOCK).cast("int").alias("other_blocks"),
+        ),
+        "unsettled",
+    )
+    going = scratch.stage(_salted_join(placed.select("bucket", "row", "component"), unsettled), "going")
+    involved = scratch.stage(going.select("row").distinct(), "involved")
+    texts = scratch.stage(staged.select("row", "words").join(involved, "row", "left_semi"), "texts")
+
+    in_core = F.col("component") == F.col("core")
+    block = F.pmod(F.xxhash64("row"), F.when(in_core, F.col("core_blocks")).otherwise(F.col("other_blocks"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # (one, two): a block of others against one of the core (numbered from -1 down) or of others.
+    with_core = F.transform(upto("core_blocks"), lambda j: F.struct(F.col("block").alias("one"), (-1 - j).alias("two")))
+    with_others = F.transform(upto("other_blocks"), lambda k: F.struct(F.least("block", k).alias("one"), F.greatest("block", k).alias("two")))
+    of_core = F.transform(upto("other_blocks"), lambda i: F.struct(i.alias("one"), (-1 - F.col("block")).alias("two")))
+    meetings = F.when(in_core, of_core).otherwise(F.concat(with_core, with_others))
+    dealt = going.withColumn("block", block).join(texts, "row").select(
+        "bucket", "row", "component", "words", F.when(in_core, -1 - F.col("block")).otherwise(F.col("block")).alias("own"), F.explode(meetings).alias("m")
+    ).select("bucket", "row", "component", "words", "own", "m.one", "m.two")
+
+    def compare(key, table):
+        one, two = key[1].as_py(), key[2].as_py()
+        own = table.column("own").to_numpy()
+        left, right = np.flatnonzero(own == one), np.flatnonzero(own == two)
+        links = []
+        if len(left) and len(right):
+            raw = table.column("words").to_pylist()
+            links = block_links(table.column("row").to_numpy(), table.column("component").to_numpy(), raw, left, right, least)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return scratch.stage(dealt.groupBy("bucket", "one", "two").applyInArrow(compare, "a long, b long").distinct(), "open-links")
 
 
 def _linked(staged: DataFrame, nodes: DataFrame, least: float, scratch: Scratch) -> DataFrame:
@@ -224,10 +328,8 @@ def _linked(staged: DataFrame, nodes: DataFrame, least: float, scratch: Scratch)
 
     First every member of a bucket is compared with the bucket's first. Jaccard distance is a metric and no
     more than one minus the similarity, so members whose distances to the first differ by more than a link allows
-    cannot link. Among the rest, those of different components are compared with more leaders, until no
-    bucket holds a pair that might link and was not compared.
+    cannot link. The rest is compared where it is in different components.
     """
-    reach = 1 - least + 1e-9
     members = staged.select("row", "sketches").join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
     members = members.select("row", F.explode(F.array_distinct("sketches")).alias("bucket"))
     first = members.groupBy("bucket").agg(F.min("row").alias("leader"), F.max("row").alias("last")).where("leader < last").drop("last")
@@ -237,39 +339,13 @@ def _linked(staged: DataFrame, nodes: DataFrame, least: float, scratch: Scratch)
     compared = scratch.stage(_compared(pairs, staged, least, scratch), "compared")
     links = compared.where("linked").select("a", "b")
     found = scratch.stage(connected_components(links, scratch.stage), "components")
-
     rest = shared.join(compared.select(F.col("a").alias("row"), F.col("b").alias("leader"), "distance"), ["row", "leader"]).drop("leader")
-    leaders = LEADERS
-    while True:
-        placed = rest.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-        placed = scratch.stage(placed, "placed")
-        # A bucket is settled unless the distances of two of its components come close enough for a link.
-        spans = placed.groupBy("bucket", "component").agg(F.min("distance").alias("low"), F.max("distance").alias("high"))
-        before = Window.partitionBy("bucket").orderBy("low", "component").rowsBetween(Window.unboundedPreceding, -1)
-        close = F.col("low") - F.max("high").over(before) <= reach
-        unsettled = spans.withColumn("close", close).where("close").select("bucket").distinct()
-        going = scratch.stage(placed.join(scratch.stage(unsettled, "unsettled"), "bucket", "left_semi"), "going")
-        if going.isEmpty():
-            return found
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("row"))
-        lead = going.withColumn("place", place).where(F.col("place") <= leaders).select(
-            "bucket", F.col("row").alias("leader"), F.col("component").alias("leader_component"), F.col("distance").alias("leader_distance")
-        )
-        lead = scratch.stage(lead, "lead")
-        pairs = (
-            going.join(lead, "bucket").where("row > leader AND component <> leader_component")
-            .where(F.abs(F.col("distance") - F.col("leader_distance")) <= reach)
-            .select(F.col("row").alias("a"), F.col("leader").alias("b")).distinct()
-        )
-        pairs = scratch.stage(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
-        fresh = scratch.stage(_compared(pairs, staged, least, scratch), "compared")
-        compared = compared.unionByName(fresh)
-        if not fresh.where("linked").isEmpty():
-            links = compared.where("linked").select("a", "b")
-            found = scratch.stage(connected_components(links, scratch.stage), "components")
-        last = lead.groupBy("bucket").agg(F.max("leader").alias("last"))
-        rest = going.join(last, "bucket").where("row > last").select("bucket", "row", "distance")
-        leaders *= LEADERS
+    more = _open_links(rest, found, staged, least, scratch)
+    if more.isEmpty():
+        return found
+    # A component so far is a star around its least node.
+    links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)
+    return scratch.stage(connected_components(links, scratch.stage), "components")
 
 
 def near_classes(

@@ -134,6 +134,35 @@ def test_one_word_edits_are_found(spark):
     assert {r.class_id for r in order_minhash.near_classes(spark.createDataFrame(rows, SCHEMA)).collect()} == {0}
 
 
+@pytest.mark.parametrize("block", [order_minhash.BLOCK, 7])
+def test_fringe_of_a_large_group(spark, monkeypatch, block):
+    """Copies with few to many edits: some link with many others, some with few or none, whatever blocks they meet in."""
+    monkeypatch.setattr(order_minhash, "BLOCK", block)
+    rng = random.Random(21)
+    base = sentence(rng, 120).split()
+    rows = []
+    for i in range(160):
+        text = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5, 6])):
+            text[rng.randrange(120)] = f"w{i}x{rng.randrange(99)}"
+        rows.append((i, " ".join(text), "en", "s", 1))
+    shingles = [order_minhash.labelled_shingles(order_minhash.word_ids(r[1])) for r in rows]
+    shared = [set(order_minhash.sketches(s)) for s in shingles]
+    links = [(i, j) for i in range(160) for j in range(i) if shared[i] & shared[j] and order_minhash.similarity(shingles[i], shingles[j])]
+    root = classes_of(160, links)
+    assert 5 < len(set(root)) < 150
+    got = {r.doc_id: r.class_id for r in order_minhash.near_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    least = {c: min(i for i in range(160) if root[i] == c) for c in set(root)}
+    assert [got[i] for i in range(160)] == [least[c] for c in root]
+
+
+def test_common_counts_equal_sets():
+    rng = np.random.default_rng(2)
+    texts = [np.unique(rng.integers(0, 60, rng.integers(0, 30)).astype(np.uint64)) for _ in range(40)]
+    got = order_minhash._common_counts(texts[:15], texts[15:])
+    assert (got == [[len(set(a.tolist()) & set(b.tolist())) for b in texts[15:]] for a in texts[:15]]).all()
+
+
 @pytest.mark.parametrize("n", range(5, order_minhash.SUBSET_SHINGLES + 2))
 def test_short_texts_one_word_apart_share_a_sketch(n):
     """For one, eight words against nine: four of five shingles, similarity exactly 0.8."""
