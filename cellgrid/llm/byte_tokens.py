@@ -3,32 +3,13 @@
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives each task its core
-
-# The characters of Unicode's White_Space property.
-_MORE_WHITE = (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-WHITE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, _MORE_WHITE))
-_ADJACENT = re.compile(f"[{WHITE}][{WHITE}]")
-_SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-
-# Signs that are neither letters, numbers nor white space, without the apostrophe, which can begin a match.
-SIGNS = ".,;:!?*&%$#|)]}\""
-
-MEMORY_SEGMENTS = 600_000
-
+from .segment_pool import MEMORY_SEGMENTS, WHITE, SegmentPool
 
-def segments(text: str) -> list[str]:
-    """``text`` cut before each white-space run that a non-space run follows.
-
-    The split patterns of byte-level BPE never match across such a cut, nor look past it with effect.
-    """
-    if "\0" in text or _ADJACENT.search(text):
-        return _SEGMENT.findall(text)
-    return text.replace(" ", "\0 ").split("\0")  # the common case, without a pattern
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives each task its core
 
 
 class SegmentEncoder:
@@ -36,9 +17,8 @@ class SegmentEncoder:
 
     Such a tokenizer splits a text before the merges, and never inside a white-space run that
     a non-space run follows. So each segment (white space, then other characters) has ids of its
-    own, whatever surrounds it; frequent segments are looked up and new ones encoded together.
+    own, whatever surrounds it; known segments are looked up and new ones encoded together.
     Texts that hold a special token's string go to the tokenizer whole.
-    Segments not met again while ``memory`` others were are forgotten; results do not depend on it.
     """
 
     def __init__(self, path: str, memory: int = MEMORY_SEGMENTS):
@@ -49,98 +29,38 @@ class SegmentEncoder:
         size = self.tokenizer.get_vocab_size()
         # In a byte-level vocabulary each character of a token stands for one byte.
         self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
-        self.memory = memory
-        self._space = self._whole(" ")
-        self.signs: dict[str, bytes] = {}
-        self.after_space: dict[str, bytes] = {}  # by the segment without its one leading space
-        self.others: dict[str, bytes] = {}
-        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _recalled(self, wanted: set[str], which: int, into: dict[str, bytes]) -> list[str]:
-        """What must be encoded: neither in ``into`` nor, from where it is copied, in the older memory."""
-        new = wanted.difference(into)
-        older, unknown = self.older[which], []
-        for s in new:  # not a set operation with the dict, which would walk all of it
-            if s in older:
-                into[s] = older[s]
-            else:
-                unknown.append(s)
-        return unknown
-
-    def _learn(self, segments: list[str], keys: list[str], into: dict[str, bytes]) -> None:
-        """Encode segments that begin with white space in one call and cut the ids at their ends."""
+        self.pool = SegmentPool(lambda chunks: self._joined([" " + c for c in chunks]), self._whole, memory, self.special)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Segments that begin with white space, encoded in long texts whose ids are cut at the segments' ends."""
+        flats, counts = [], []
         for at in range(0, len(segments), 20_000):
             part = segments[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self._ids(["".join(part)])[0], dtype=np.uint32)
             ends = np.cumsum([len(s.encode()) for s in part])
-            cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), ends, side="left") + 1) * 4
-            raw, begin = ids.tobytes(), 0
-            for key, cut in zip(keys[at : at + 20_000], cuts.tolist()):
-                into[key] = raw[begin:cut]
-                begin = cut
-
-    def _learn_spaced(self, new: list[str]) -> None:
-        """Segments after one space. Closing signs are a match of their own, so words are learnt without them."""
-        known, signed, plain = self.after_space, [], set()
-        for s in new:
-            core = s.rstrip(SIGNS)
-            if core and core != s and core[-1].isalnum():
-                signed.append((s, core))
-                plain.add(core)
-            else:
-                plain.add(s)
-        words = self._recalled(plain, 0, known)
-        self._learn([" " + s for s in words], words, known)
-        for s, core in signed:
-            signs = s[len(core) :]
-            if signs not in self.signs:
-                self.signs[signs] = self._whole(signs)
-            known[s] = known[core] + self.signs[signs]
-        if len(self.signs) > 10_000:
-            self.signs = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        if len(self.after_space) + len(self.others) > self.memory:
-            self.older = self.after_space, self.others
-            self.after_space, self.others = {}, {}
-        plain: list[list[str] | None] = []
-        split: list[list[str] | None] = []
-        spaced: set[str] = set()
-        other: set[str] = set()
-        for text in texts:
-            plain.append(None)
-            split.append(None)
-            if any(s in text for s in self.special):
-                continue
-            if _ADJACENT.search(text):
-                split[-1] = _SEGMENT.findall(text)
-                other.update(split[-1])
-            elif text:
-                plain[-1] = text.split(" ")
-                spaced.update(plain[-1][1:])
-                other.add(plain[-1][0])
-        self.after_space[""] = self._space
-        self._learn_spaced(self._recalled(spaced, 0, self.after_space))
-        new = [s for s in self._recalled(other, 1, self.others) if s]
-        leading = [s for s in new if s[0] in WHITE and s[-1] not in WHITE]  # these can stand one after the other
-        self._learn(leading, leading, self.others)
-        rest = list(set(new).difference(leading))
-        for s, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
-            self.others[s] = np.array(e.ids, dtype="<u4").tobytes()
-        self.others[""] = b""
-        out = []
-        for text, chunks, segments in zip(texts, plain, split):
-            if chunks is not None:
-                out.append(self.others[chunks[0]] + b"".join(map(self.after_space.__getitem__, chunks[1:])))
-            elif segments is not None:
-                out.append(b"".join(map(self.others.__getitem__, segments)))
-            else:
-                out.append(self._whole(text) if text else b"")
-        return out
+            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends, side="left") + 1
+            flats.append(ids)
+            counts.append(np.diff(cuts, prepend=0))
+        return (np.concatenate(flats), np.concatenate(counts)) if flats else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _whole(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Any segments: those between which nothing is lost are encoded together, others one by one."""
+        together = [i for i, s in enumerate(segments) if s and s[0] in WHITE and s[-1] not in WHITE and not any(x in s for x in self.special)]
+        rest = sorted(set(range(len(segments))).difference(together))
+        ids: list = [None] * len(segments)
+        flat, counts = self._joined([segments[i] for i in together])
+        for i, part in zip(together, np.split(flat, np.cumsum(counts)[:-1]) if together else ()):
+            ids[i] = part
+        for i, found in zip(rest, self._ids([segments[i] for i in rest])):
+            ids[i] = np.array(found, dtype=np.uint32)
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(x) for x in ids], dtype=np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an array of strings without nulls, and how many each text has."""
+        return self.pool.encode(texts)
 
 
 _ENCODERS: dict[str, SegmentEncoder] = {}

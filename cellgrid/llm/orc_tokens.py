@@ -15,7 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .byte_tokens import encoder
-from .common import record_batch, row_batches, text_or_empty
+from .common import record_batch, text_or_empty
+from .segment_pool import byte_batches, with_end
 
 FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
@@ -36,15 +37,12 @@ def write_orc_tokens(
 
     def encode(batches):
         coder, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        tail = np.array([end_id], dtype="<u4").tobytes()
-        for batch in row_batches(batches):
-            raw = [r + tail for r in coder.encode(batch.column(1).to_pylist())]
-            counts = np.array([len(r) // 4 for r in raw], dtype=np.int64)
+        for batch in byte_batches(batches, 1):
+            flat, counts = with_end(*coder.encode(batch.column(1)), end_id)
             ends = np.cumsum(counts)
-            flat = np.frombuffer(b"".join(raw), dtype="<i4")
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat, pa.int32()))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat.astype(np.int32)))
             yield record_batch({
-                "doc_id": (batch.column(0), pa.int64()), "part": ([part] * len(raw), pa.int32()),
+                "doc_id": (batch.column(0), pa.int64()), "part": (np.full(len(counts), part), pa.int32()),
                 "start_in_part": (start + ends - counts, pa.int64()), "n_tokens": (counts, pa.int64()),
                 "ids": (ids, None),
             })
@@ -97,7 +95,8 @@ def with_checksums(rows: DataFrame) -> DataFrame:
             lists = batch.column(3)
             flat = np.asarray(lists.values, dtype="<i4")
             at = np.asarray(lists.offsets)
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            raw = memoryview(np.ascontiguousarray(flat, dtype="<u4")).cast("B")
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield record_batch({
                 "doc_id": (batch.column(0), None), "start": (batch.column(1), None),
                 "n_tokens": (batch.column(2), None), "ids_crc32": (crc, pa.int64()),

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .byte_tokens import encoder
 from .common import materialise, record_batch, row_batches, text_or_empty
+from .segment_pool import byte_batches, with_end
 
 STAGE_SCHEMA = "doc_id long, part int, start_in_part long, n long, ids binary"
 PIECE_SCHEMA = (
@@ -39,16 +40,15 @@ def pack(
 
     def encode(batches):
         coder, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        tail = np.array([end_id], dtype="<u4").tobytes()
         width = "<u2" if max(len(coder.lengths) - 1, end_id) < 1 << 16 else "<u4"
-        for batch in row_batches(batches):
-            raw = [np.frombuffer(r + tail, dtype="<u4") for r in coder.encode(batch.column(1).to_pylist())]
-            counts = np.array([len(r) for r in raw], dtype=np.int64)
-            ends = np.cumsum(counts)
+        for batch in byte_batches(batches, 1):
+            flat, counts = with_end(*coder.encode(batch.column(1)), end_id)
+            flat, ends = flat.astype(width), np.cumsum(counts)
+            at = pa.py_buffer((np.concatenate([[0], ends]) * flat.itemsize).astype(np.int32))
+            ids = pa.Array.from_buffers(pa.binary(), len(counts), [None, at, pa.py_buffer(flat)])
             yield record_batch({
-                "doc_id": (batch.column(0), None), "part": ([part] * len(raw), pa.int32()),
-                "start_in_part": (start + ends - counts, pa.int64()), "n": (counts, pa.int64()),
-                "ids": ([r.astype(width).tobytes() for r in raw], pa.binary()),
+                "doc_id": (batch.column(0), None), "part": (np.full(len(counts), part), pa.int32()),
+                "start_in_part": (start + ends - counts, pa.int64()), "n": (counts, pa.int64()), "ids": (ids, None),
             })
             start += int(ends[-1]) if len(ends) else 0
 

@@ -11,16 +11,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .byte_tokens import segments
 from .common import record_batch, row_batches, text_or_empty
+from .segment_pool import MEMORY_SEGMENTS, SegmentPool, byte_batches
 
-MEMORY_PIECES = 300_000
 MEMORY_PAIRS = 1_000_000
 
 
@@ -180,39 +182,47 @@ class EditableEncoding:
 
 
 class TextCoder:
-    """Encodes texts with a bounded memory of segments and pieces; results do not depend on the memory.
+    """Encodes batches of texts with a bounded memory of segments and pieces; results do not depend on the memory.
 
-    What was not met again while ``memory`` others were is forgotten.
+    A segment's matches of the split pattern are pieces, each encoded by its prefixes. Decoding takes the bytes of the ids.
     """
 
-    def __init__(self, bpe: PrefixBpe, pattern: str, memory: int = MEMORY_PIECES):
+    def __init__(self, bpe: PrefixBpe, pattern: str, memory: int = MEMORY_SEGMENTS):
         self.bpe, self.find, self.memory = bpe, regex.compile(pattern).findall, memory
         self.pieces: dict[str, list[int]] = {}
-        self.segments: dict[str, list[int]] = {}
-        self.older_pieces: dict[str, list[int]] = {}
-        self.older_segments: dict[str, list[int]] = {}
+        self.pool = SegmentPool(lambda chunks: self._learn([" " + c for c in chunks]), self._learn, memory)
+        size = max(bpe.bytes_of) + 1
+        self.token_bytes = pa.array([bpe.bytes_of.get(i) for i in range(size)], pa.binary())
+        self.digits = pa.array([f"{i}," for i in range(size)], pa.string())
 
     def _piece(self, piece: str) -> list[int]:
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = self.older_pieces.get(piece) or self.bpe.encode_piece(piece.encode())
-            self.pieces[piece] = ids
+            ids = self.pieces[piece] = self.bpe.encode_piece(piece.encode())
         return ids
 
-    def _segment(self, segment: str) -> list[int]:
-        found = self.find(segment)
-        return self._piece(found[0]) if len(found) == 1 else list(chain.from_iterable(map(self._piece, found)))
+    def _learn(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.pieces) > self.memory:
+            self.pieces = {}
+        found = [self.find(s) for s in segments]
+        ids = [self._piece(f[0]) if len(f) == 1 else list(chain.from_iterable(map(self._piece, f))) for f in found]
+        counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(counts.sum())), counts
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an array of strings without nulls, and how many each text has."""
+        return self.pool.encode(texts)
 
     def encode(self, text: str) -> list[int]:
-        if len(self.pieces) > self.memory:
-            self.older_pieces, self.pieces = self.pieces, {}
-        if len(self.segments) > self.memory:
-            self.older_segments, self.segments = self.segments, {}
-        parts, known, older = segments(text), self.segments, self.older_segments
-        for part in set(parts).difference(known):
-            ids = older.get(part)
-            known[part] = self._segment(part) if ids is None else ids
-        return list(chain.from_iterable(map(known.__getitem__, parts)))
+        return self.encode_batch(pa.array([text], pa.string()))[0].tolist()
+
+    def joined(self, flat: np.ndarray, counts: np.ndarray, of: pa.Array) -> Iterator[memoryview]:
+        """Per text the values of ``of`` (token bytes or digits) for its ids, one after the other."""
+        whole = of.take(pa.array(flat))
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(whole).to_numpy(zero_copy_only=False).astype(np.int64))])
+        raw = memoryview(whole.buffers()[2] or b"")
+        at = ends[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return (raw[a:b] for a, b in zip(at, at[1:]))
 
 
 _CODERS: dict[tuple[str, str], TextCoder] = {}
@@ -228,10 +238,10 @@ def encode_texts(df: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_
     """``doc_id, ids`` of every whole text; null is empty, empty gives no ids. A row in, a row out; other columns are left out."""
 
     def run(batches):
-        for batch in row_batches(batches):
-            c = coder(ranks, pattern)
-            ids = [c.encode(t) for t in batch.column(1).to_pylist()]
-            yield record_batch({"doc_id": (batch.column(0), None), "ids": (ids, pa.list_(pa.int32()))})
+        for batch in byte_batches(batches, 1):
+            flat, counts = coder(ranks, pattern).encode_batch(batch.column(1))
+            ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            yield record_batch({"doc_id": (batch.column(0), None), "ids": (pa.ListArray.from_arrays(ends, pa.array(flat.astype(np.int32))), None)})
 
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return texts.mapInArrow(run, "doc_id long, ids array<int>")
@@ -242,8 +252,9 @@ def decode_ids(df: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
     def run(batches):
         for batch in row_batches(batches):
-            c = coder(ranks, pattern)
-            raw = [c.bpe.decode(ids or []) for ids in batch.column(1).to_pylist()]
+            c, ids = coder(ranks, pattern), batch.column(1)
+            counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+            raw = [bytes(b) for b in c.joined(ids.flatten().to_numpy(zero_copy_only=False), counts, c.token_bytes)]
             yield record_batch({"doc_id": (batch.column(0), None), "bytes": (raw, pa.binary())})
 
     return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
@@ -255,21 +266,13 @@ def round_trip_digests(
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encode and decode in one pass, digests only."""
 
     def run(batches):
-        c, memory = coder(ranks, pattern), {}
-        for batch in row_batches(batches):
-            if len(memory) > 1 << 17:
-                memory = {}
-            counts, ids_sha, decoded_sha = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = c.encode(text)
-                for i in set(ids).difference(memory):
-                    memory[i] = str(i)
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(memory.__getitem__, ids)).encode()).hexdigest())
-                decoded_sha.append(hashlib.sha256(c.bpe.decode(ids)).hexdigest())
+        c = coder(ranks, pattern)
+        for batch in byte_batches(batches, 1):
+            flat, counts = c.encode_batch(batch.column(1))
             yield record_batch({
                 "doc_id": (batch.column(0), None), "n_tokens": (counts, pa.int64()),
-                "ids_sha256": (ids_sha, pa.string()), "decoded_sha256": (decoded_sha, pa.string()),
+                "ids_sha256": ([hashlib.sha256(d[:-1]).hexdigest() for d in c.joined(flat, counts, c.digits)], pa.string()),
+                "decoded_sha256": ([hashlib.sha256(b).hexdigest() for b in c.joined(flat, counts, c.token_bytes)], pa.string()),
             })
 
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))

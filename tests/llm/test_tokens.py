@@ -3,10 +3,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from cellgrid.llm import byte_tokens, orc_tokens, packing
+from cellgrid.llm import byte_tokens, orc_tokens, packing, segment_pool
 from cellgrid.session import stage_path
 
 from .helpers import SCHEMA, awkward_rows, with_clashes
@@ -33,8 +34,26 @@ def test_segment_encoder_equals_tokenizer(tokenizer):
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     texts += ["a<|endoftext|>b  c", "", " ", "  ", "\n", "x" * 3000]
     coder = byte_tokens.SegmentEncoder(PATH, memory=500)
-    got = [x for i in range(0, len(texts), 100) for x in coder.encode(texts[i : i + 100])]
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids_of(tokenizer, t) for t in texts]
+    texts += [" ".join("".join(rng.choice(letters[:14] + ".,!)%") for _ in range(rng.randint(0, 6))) for _ in range(30)) for _ in range(300)]
+    got = []
+    for i in range(0, len(texts), 100):
+        flat, counts = coder.encode(pa.array(texts[i : i + 100]))
+        got += np.split(flat, np.cumsum(counts)[:-1])
+    assert [g.tolist() for g in got] == [ids_of(tokenizer, t) for t in texts]
+    assert [len(x) for x in coder.encode(pa.array([], pa.string()))] == [0, 0]
+
+
+def test_byte_batches_hold_every_row_once():
+    batch = pa.record_batch([pa.array(range(8)), pa.array(["a" * 5, None, "", "b" * 50, "c" * 9, "d" * 9, "e", "f"])], names=["i", "t"])
+    parts = list(segment_pool.byte_batches([batch, batch.slice(3, 0)], 1, 20))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1, 2], [3], [4, 5, 6, 7]]
+
+
+def test_ids_of_forgotten_and_recalled_segments(tokenizer):
+    coder = byte_tokens.SegmentEncoder(PATH, memory=3)
+    for text in ("one two three four", "five one, six", "one seven two eight", "nine one ten", "two one."):
+        flat, _ = coder.encode(pa.array([text, text]))
+        assert flat.tolist() == ids_of(tokenizer, text) * 2
 
 
 def test_orc_files_in_id_order(spark, tokenizer):
