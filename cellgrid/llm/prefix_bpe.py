@@ -32,7 +32,6 @@ class PrefixBpe:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
-        self.longest = max(map(len, ranks))
         self.known: dict[tuple[int, int], bool] = {}  # pairs tested before
         self.pairs: dict[tuple[int, int], int] = {}  # two tokens -> the token they merge to
         self.split: dict[int, tuple[int, int]] = {}  # a token -> the two it is merged from last
@@ -47,7 +46,9 @@ class PrefixBpe:
                     self.split[rank] = (left, right)
                     break
         # A token without a split is never the result of merges: it stands for whole pieces only.
-        self.reachable = {b: r for b, r in ranks.items() if r in self.split}
+        reachable = {b: r for b, r in ranks.items() if r in self.split}
+        # Every end of a token -> its rank, or -1 where the end is no token itself.
+        self.ends = {t[i:]: -1 for t in reachable for i in range(len(t))} | reachable
 
     @classmethod
     def from_file(cls, path: str) -> PrefixBpe:
@@ -77,14 +78,19 @@ class PrefixBpe:
                 limit, right = right + 1, right_parts[0]
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
-        """``last`` holds the last token of each prefix of ``piece`` it covers; grow it to the whole piece."""
-        get, longest, known = self.reachable.get, self.longest, self.known
+        """``last`` holds the last token of each prefix of ``piece`` it covers; grow it to the whole piece.
+
+        Only one token fits, so the order of trying is free: ends grow until no token ends so.
+        """
+        get, known = self.ends.get, self.known
         if len(known) > MEMORY_PAIRS:
             known.clear()
         for end in range(len(last) + 1, len(piece) + 1):
-            for begin in range(max(0, end - longest), end):
+            for begin in range(end - 1, -1, -1):
                 token = get(piece[begin:end])
                 if token is None:
+                    raise ValueError("the vocabulary lacks a byte")
+                if token < 0:
                     continue
                 if begin:
                     pair = last[begin - 1], token
@@ -95,8 +101,6 @@ class PrefixBpe:
                         continue
                 last.append(token)
                 break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
         return last
 
     def tokens(self, last: list[int]) -> list[int]:
@@ -195,17 +199,27 @@ class TextCoder:
         self.token_bytes = pa.array([bpe.bytes_of.get(i) for i in range(size)], pa.binary())
         self.digits = pa.array([f"{i}," for i in range(size)], pa.string())
 
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self.pieces[piece] = self.bpe.encode_piece(piece.encode())
-        return ids
+    def _learn_pieces(self, pieces: set[str]) -> None:
+        """In sorted order each piece takes over the prefixes it shares with the one before."""
+        before, last = b"", []
+        for raw, piece in sorted((p.encode(), p) for p in pieces):
+            whole = self.bpe.ranks.get(raw)
+            if whole is not None:
+                self.pieces[piece] = [whole]
+                continue
+            same, most = 0, min(len(before), len(raw))
+            while same < most and before[same] == raw[same]:
+                same += 1
+            before, last = raw, self.bpe.extend(raw, last[:same])
+            self.pieces[piece] = self.bpe.tokens(last)
 
     def _learn(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.pieces) > self.memory:
             self.pieces = {}
         found = [self.find(s) for s in segments]
-        ids = [self._piece(f[0]) if len(f) == 1 else list(chain.from_iterable(map(self._piece, f))) for f in found]
+        self._learn_pieces(set(chain.from_iterable(found)).difference(self.pieces))
+        piece = self.pieces.__getitem__
+        ids = [piece(f[0]) if len(f) == 1 else list(chain.from_iterable(map(piece, f))) for f in found]
         counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         return np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(counts.sum())), counts
 
