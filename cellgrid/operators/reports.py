@@ -107,12 +107,12 @@ def first_per_class(
 
 
 def upsert_reports(
-    existing: DataFrame, generated: DataFrame, *, now: Column | None = None, refresh: bool = False
+    existing: DataFrame, generated: DataFrame, *, now: Column | None = None, refresh: bool = False, last_id: int | None = None
 ) -> DataFrame:
     """Merge ``generated`` (case_id, report_text) into ``existing`` (id, case_id, report_text, generated_at).
 
     An existing report gets the new text and keeps its time (``refresh`` renews it); a new
-    one gets ``now`` and the next free id, in case order.
+    one gets ``now`` and the next free id (after ``last_id``, by default the greatest there is), in case order.
     """
     now = F.current_timestamp().cast("timestamp_ntz") if now is None else now
     new = generated.select("case_id", F.col("report_text").alias("_text"))
@@ -122,7 +122,7 @@ def upsert_reports(
         "id", "case_id", F.coalesce("_text", "report_text").alias("report_text"), stamp.alias("generated_at")
     )
     fresh = range_index(merged.filter("id is null").select("case_id", "_text"), ["case_id"])
-    last = F.coalesce(existing.agg(F.max("id")).scalar(), F.lit(0))
+    last = F.coalesce(existing.agg(F.max("id")).scalar(), F.lit(0)) if last_id is None else F.lit(last_id)
     inserted = fresh.select(
         (last + F.col("row_index") + 1).alias("id"), "case_id", F.col("_text").alias("report_text"),
         now.alias("generated_at"),

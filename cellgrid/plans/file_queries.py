@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars
-from ..functions.fixed import ACTIVITY_COLUMNS, DAILY_FILE_PATTERN
-from ..operators import collapse
+from ..functions.fixed import ACTIVITY_COLUMNS, DAILY_FILE_PATTERN, ROUTINE
+from ..operators import collapse, serving
 from ..session import materialise, stage_path
 from ..sources.cdr_files import read_daily_files
+from ..sources.report_store import ReportStore
 from ..sources.serving_store import ServingStore
 from ..sources.tables import load_calendar, load_table, normalise_time, write_table
 from . import event_panel as ep
@@ -93,3 +94,14 @@ def serving_store_read(spark, folder):
     for _ in range(2):
         store.reload(tables)
     return store.read("cases").withColumns({c: _rounded(c, 3) for c in ("deficit", "covered")})
+
+
+@query
+def report_store_upsert(spark, folder):
+    """The report table in buckets: reports of the routine cases, then those of all cases."""
+    tables = _serving(spark, folder)
+    store = ReportStore(spark, stage_path(spark, "report-store"), buckets=8)
+    for cases, day in ((tables["cases"].filter(F.col("classification") == ROUTINE), "2024-02-01"), (tables["cases"], "2024-03-01")):
+        texts = serving.generate_reports(cases, tables["sources"])
+        store.upsert(texts, now=F.lit(f"{day} 00:00:00").cast("timestamp_ntz"))
+    return store.read()

@@ -593,3 +593,4 @@ ORACLES["all_cell_percentile_ranks"] = _with("""
     SELECT "CellID", round(m, 6) AS mean_value, round((rank() OVER (ORDER BY m) - 1) * 100.0::DOUBLE / count(*) OVER (), 6) AS percentile,
       count(*) OVER () AS n_cells
     FROM (SELECT "CellID", avg(total_activity) AS m FROM panel GROUP BY 1)""", "panel", **_WIDE)
+ORACLES["report_store_upsert"] = ORACLES["report_upsert"]

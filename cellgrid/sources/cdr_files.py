@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import csv
-from collections import defaultdict
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -63,19 +61,34 @@ def detect_roles(columns: Sequence[str], activity_names: Sequence[str] = ACTIVIT
     return Roles(cell, time, activities)
 
 
-def _header_line(spark: SparkSession, path: str) -> str:
-    first = spark.read.text(path).limit(1).collect()
-    return first[0]["value"].lstrip("﻿") if first else ""
+_ONE_FILE_A_TASK = {"spark.sql.files.maxPartitionBytes": str(1 << 40), "spark.sql.files.openCostInBytes": str(1 << 40)}
 
 
 def read_layouts(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
-    """Header line -> files that have it. Only the first line of each file is fetched."""
-    with ThreadPoolExecutor(max_workers=16) as pool:
-        headers = list(pool.map(lambda p: _header_line(spark, p), paths))
-    groups: dict[str, list[str]] = defaultdict(list)
-    for path, header in zip(paths, headers):
-        groups[header].append(path)
-    return dict(groups)
+    """Header line -> files that have it, both in name order. One job for all files.
+
+    Each file is one task, which stops after the first rows it is given, so no more than the first block is read.
+    """
+    if not paths:
+        return {}
+
+    def first(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    before = {k: spark.conf.get(k) for k in _ONE_FILE_A_TASK}
+    try:
+        for k, v in _ONE_FILE_A_TASK.items():
+            spark.conf.set(k, v)
+        lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), "value").mapInArrow(first, "file string, value string")
+        found = lines.groupBy(F.ltrim("value", F.lit("\ufeff")).alias("header")).agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    groups = {r["header"]: r["files"] for r in found}  # names only, as the listing above
+    return dict(sorted(groups.items(), key=lambda g: g[1][0]))
 
 
 def read_daily_files(
@@ -90,7 +103,7 @@ def read_daily_files(
     Cells become long, activities double; the time column stays text until it is normalised.
     """
     paths = find_daily_files(spark, folder, pattern)
-    layouts = read_layouts(spark, paths)
+    layouts = read_layouts(spark, paths) or {"": paths}
     roles: Roles | None = None
     frames = []
     for header, files in layouts.items():

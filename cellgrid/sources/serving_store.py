@@ -5,15 +5,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from .manifest import ManifestLog
 
 
 class ServingStore:
     """Named tables under one folder; each reload writes a new version of all of them.
 
-    The version log gets its row only after every table is written, so a reader sees
-    either the previous set of tables or the complete new one.
+    The manifest of a version appears in one step after every table is written, so a reader sees
+    either the previous set of tables or the complete new one, and of two reloads at once one fails.
     """
 
     TABLES = ("cases", "sources", "reports")
@@ -21,24 +22,14 @@ class ServingStore:
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark = spark
         self.base = base.rstrip("/")
-
-    def _log(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema("version string, seq long").parquet(f"{self.base}/_log")
-        except AnalysisException as err:
-            if "PATH_NOT_FOUND" in str(err):
-                return None
-            raise
+        self.log = ManifestLog(spark, f"{self.base}/_manifests")
 
     def _latest(self) -> tuple[int, str] | None:
-        log = self._log()
-        if log is None:
-            return None
-        row = log.agg(F.max(F.struct("seq", "version")).alias("last")).first()
-        return (row["last"]["seq"], row["last"]["version"]) if row["last"] else None
+        latest = self.log.latest()
+        return (latest[0], latest[1]["version"]) if latest else None
 
     def reload(self, tables: Mapping[str, DataFrame]) -> str:
-        """Replace all tables by ``tables`` (cases, sources, reports)."""
+        """Replace all tables by ``tables`` (cases, sources, reports). FileExistsError where another reload came first: then nothing changes."""
         missing = set(self.TABLES) - set(tables)
         if missing:
             raise ValueError(f"a reload needs all tables; missing {sorted(missing)}")
@@ -46,18 +37,13 @@ class ServingStore:
         version = uuid.uuid4().hex
         for name in self.TABLES:
             tables[name].write.mode("error").parquet(f"{self.base}/{version}/{name}")
-        seq = latest[0] + 1 if latest else 1
-        entry = self.spark.createDataFrame([(version,)], "version string")
-        # A number already taken by another reload is an error here, not a matter of chance for readers.
-        entry.coalesce(1).write.mode("error").parquet(f"{self.base}/_log/seq={seq}")
+        self.log.commit(latest[0] + 1 if latest else 1, {"version": version})
         return version
 
     def remove_old(self) -> list[str]:
         """Delete the tables of all versions but the current one, which readers must have left. Returns the deleted versions."""
-        latest, log = self._latest(), self._log()
-        if latest is None or log is None:
-            return []
-        gone = [r["version"] for r in log.filter(F.col("version") != latest[1]).collect()]  # one row a reload
+        files = self.log.numbers()
+        gone = [self.log.read(n)["version"] for n in files[:-1]]  # one a reload
         for version in gone:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{version}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

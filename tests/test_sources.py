@@ -1,4 +1,6 @@
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
+from threading import Barrier
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,8 @@ from pyspark.sql import functions as F
 from cellgrid.operators import collapse
 from cellgrid.plans.daily_run import DailyRun
 from cellgrid.sources import cdr_files, tables
+from cellgrid.sources.manifest import ManifestLog
+from cellgrid.sources.report_store import ReportStore
 from cellgrid.sources.serving_store import ServingStore
 from cellgrid.streaming.daily_files import stream_daily_files, write_collapsed
 
@@ -188,6 +192,81 @@ def test_serving_store_is_all_or_nothing(spark, tmp_path):
     assert store.read("reports").count() == 2
 
 
+def test_one_of_several_writers_wins(spark, tmp_path):
+    log = ManifestLog(spark, str(tmp_path / "m"))
+    assert log.latest() is None
+    log.commit(1, {"by": "first"})
+
+    def write(i):
+        try:
+            ManifestLog(spark, log.folder).commit(2, {"by": i})
+            return i
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        winners = [w for w in pool.map(write, range(24)) if w is not None]
+    assert len(winners) == 1 and log.latest() == (2, {"by": winners[0]})
+    assert sorted(p.name for p in (tmp_path / "m").iterdir() if not p.name.endswith(".crc")) == ["00000001.json", "00000002.json"]
+
+
+def test_two_reloads_at_once(spark, tmp_path):
+    base = str(tmp_path / "s")
+    ServingStore(spark, base).reload({n: spark.range(1) for n in ServingStore.TABLES})
+    entered = Barrier(2)
+
+    def reload(n):
+        store = ServingStore(spark, base)
+        latest = store._latest()
+        store._latest = lambda: latest
+        entered.wait()
+        try:
+            store.reload({name: spark.range(n) for name in ServingStore.TABLES})
+            return n
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(2) as pool:
+        done = [n for n in pool.map(reload, (5, 6)) if n is not None]
+    assert len(done) == 1 and {ServingStore(spark, base).read(n).count() for n in ServingStore.TABLES} == {done[0]}
+
+
+def test_report_store_leaves_untouched_buckets(spark, tmp_path):
+    store = ReportStore(spark, str(tmp_path / "r"), buckets=8)
+    stamp = [F.lit(f"2024-01-0{d} 00:00:00").cast("timestamp_ntz") for d in (1, 2)]
+    assert store.read().count() == 0 and store.upsert(spark.createDataFrame([], "case_id long, report_text string")) == []
+    store.upsert(spark.createDataFrame([(i, f"a{i}") for i in range(100, 0, -1)], "case_id long, report_text string"), now=stamp[0])
+    first = {r.case_id: r for r in store.read().collect()}
+    assert [first[i].id for i in range(1, 101)] == list(range(1, 101))
+    before = set(store.read().inputFiles())
+    touched = store.upsert(spark.createDataFrame([(7, "new"), (500, "more"), (501, "more")], "case_id long, report_text string"), now=stamp[1])
+    assert 1 <= len(touched) <= 3
+    after = set(store.read().inputFiles())
+    assert len(before - after) <= len(touched) and len(before & after) >= len(before) - len(touched)
+    rows = {r.case_id: r for r in ReportStore(spark, store.base).read().collect()}
+    assert len(rows) == 102 and rows[7].report_text == "new" and (rows[7].id, rows[7].generated_at) == (7, first[7].generated_at)
+    assert [rows[i].id for i in (500, 501)] == [101, 102] and rows[500].generated_at == dt.datetime(2024, 1, 2)
+    assert all(rows[i] == first[i] for i in first if i != 7)
+
+
+def test_layouts_of_many_files_in_one_job(spark, tmp_path):
+    for i in range(1000):
+        d = ";" if i % 3 == 0 else ","
+        write(tmp_path, f"sms-call-internet-mi-{i:04d}.csv", d.join(["datetime", "CellID", "smsin"]) + "\n" + f"{d.join(['1', '2', '3'])}\n" * (i % 4))
+    write(tmp_path, "sms-call-internet-mi-9999.csv", "")
+    paths = cdr_files.find_daily_files(spark, str(tmp_path))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("layouts", "")
+    try:
+        layouts = cdr_files.read_layouts(spark, paths)
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert len(tracker.getJobIdsForGroup("layouts")) <= 3  # the listing, the scan and its regrouping
+    assert [len(f) for f in layouts.values()] == [334, 666] and list(layouts)[0] == "datetime;CellID;smsin"
+    assert next(iter(layouts.values()))[0].endswith("/sms-call-internet-mi-0000.csv")
+    assert cdr_files.read_layouts(spark, []) == {}
+
+
 def test_daily_run_and_reload(spark, tmp_path):
     """A week with an evening peak in one block of cells: chain, serving tables, and the same again."""
     raw = tmp_path / "raw"
