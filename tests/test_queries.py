@@ -1,6 +1,8 @@
 """Every registered query against its SQL twin, exact values and types."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -28,5 +30,16 @@ def test_query_equals_sql(spark, con, name):
     assert compare(entry.queries()[name](spark, FOLDER), con, entry.oracle_sql()[name]) is None
 
 
+@pytest.mark.parametrize("gone, imports", [("xxhash", True), ("regex", True), ("public_tokenizers", True), ("corpus_pipeline", True), ("cellgrid.llm", True),
+                                           ("cellgrid.operators.leafwise", False)])
+def test_entry_without_a_module(gone, imports):
+    code = f"import sys; sys.modules[{gone!r}] = None; import __spark_entry__ as e; q = e.queries(); print(len(q), sum(n.startswith('op') for n in q))"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(entry.__file__))
+    if imports:
+        assert done.stdout.split() == [str(len(entry.QUERIES)), "0"], done.stderr
+    else:
+        assert done.returncode and gone in done.stderr
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 61
