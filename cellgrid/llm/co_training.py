@@ -1,8 +1,12 @@
 """Quality by co-training: a text-content and a page-metadata classifier teach each other.
 
-Each view is a logistic model of its own features. In every round each view labels the unlabelled
-documents it is most sure of, and the other view learns from them. At the end both are calibrated
-on labelled rows kept aside, and their log odds are combined to score every document.
+Each view is a logistic model of its own features: words, closing signs and shares of token kinds on one side, language, source, length and
+lines on the other. In every round both views score all unlabelled documents; the ones a view is most sure of, a fixed number a
+round, are what the other view learns from next. At the end both are calibrated on labelled rows kept aside, and their log odds are combined to
+score every document.
+
+Features are extracted once, to a stage table; rounds and the last scoring read that. What comes to the driver is the bounded sample of
+labelled rows and the pseudo-labelled rows of the rounds.
 """
 
 from __future__ import annotations
@@ -13,22 +17,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import row_batches
+from .common import materialise, row_batches
 from .conv_toxicity import held_out
 
 MAX_LABELLED = 10_000
-MAX_UNLABELLED = 5_000
 ROUNDS = 4
-MOST_PER_ROUND = 400  # pseudo-labels a view gives in a round, in the classes' proportion
+PER_ROUND = 400  # pseudo-labels a view gives in a round, in the classes' proportion
 SURE = 0.95
 CONTENT_BUCKETS = 1 << 16
 META_BUCKETS = 64
 BINS = 12
 MEMORY_TOKENS = 500_000
-# Layout of the page, as numbers: length, lines, tokens a line, and shares of its tokens.
-LAYOUT = ("chars", "lines", "per_line", "upper", "digits", "symbols", "bare", "length", "distinct", "most")
+LAYOUT = ("chars", "lines", "per_line")  # numbers of the metadata view: length, lines, tokens a line
+KINDS = ("upper", "digits", "symbols", "bare", "length", "distinct", "most")  # of the content view: shares of its tokens
+NUMBERS = len(LAYOUT) + len(KINDS)
 
 _TOKENS: dict[str, tuple[int, int, int, int, int, int]] = {}
 
@@ -48,7 +53,7 @@ def _token(token: str) -> tuple[int, int, int, int, int, int]:
 
 
 def features(text: str | None, lang: str | None, source: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Content buckets, their weights (unit length), and the metadata row: layout, then buckets of lang and source."""
+    """Buckets of words and signs, their weights (unit length), and a row of numbers: layout, token kinds, then buckets of lang and source."""
     text = text or ""
     counts = Counter(text.split())
     if len(_TOKENS) > MEMORY_TOKENS:
@@ -57,9 +62,9 @@ def features(text: str | None, lang: str | None, source: str | None) -> tuple[np
         if t not in _TOKENS:
             _TOKENS[t] = _token(t)
     n = sum(counts.values())
-    meta = np.zeros(len(LAYOUT) + 2)
+    meta = np.zeros(NUMBERS + 2)
     named = [zlib.crc32(f"{k}={v}".encode("utf-8", "replace")) % META_BUCKETS for k, v in (("lang", lang), ("source", source))]
-    meta[len(LAYOUT) :] = named
+    meta[NUMBERS:] = named
     lines = text.count("\n") + 1
     meta[:3] = np.log1p(len(text)), np.log1p(lines), np.log1p(n / lines)
     if not n:
@@ -76,11 +81,8 @@ def features(text: str | None, lang: str | None, source: str | None) -> tuple[np
 class Sparse:
     """Rows of (bucket, weight) pairs, one after the other."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
-        self.sizes = np.array([len(b) for b, _ in rows], dtype=np.int64)
-        self.buckets = np.concatenate([b for b, _ in rows]) if rows else np.zeros(0, np.int64)
-        self.values = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
-        self.ends = np.cumsum(self.sizes)
+    def __init__(self, buckets: np.ndarray, values: np.ndarray, sizes: np.ndarray):
+        self.buckets, self.values, self.sizes, self.ends = buckets, values, sizes, np.cumsum(sizes)
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Buckets, values and the position in ``rows`` of each pair."""
@@ -151,107 +153,152 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3) / scale), float(w[1])
 
 
+def binned(numbers: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Bins of the rows' numbers, all counted on."""
+    bins = np.stack([np.searchsorted(edges[k], numbers[:, k], side="right") for k in range(NUMBERS)], axis=1) if len(numbers) else np.zeros((0, NUMBERS), np.int64)
+    return bins + np.arange(NUMBERS) * BINS
+
+
+META_SIZE = NUMBERS * BINS + 2 * META_BUCKETS
+CONTENT_SIZE = CONTENT_BUCKETS + NUMBERS * BINS
+
+
+class Batch:
+    """Rows of features, and both views of them."""
+
+    def __init__(self, buckets: np.ndarray, weights: np.ndarray, sizes: np.ndarray, numbers: np.ndarray):
+        self.buckets, self.weights, self.sizes, self.numbers = buckets, weights, sizes, numbers
+
+    @classmethod
+    def of(cls, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Batch:
+        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        return cls(
+            join([b for b, _, _ in rows], np.int64), join([v for _, v, _ in rows], np.float64), np.array([len(b) for b, _, _ in rows], dtype=np.int64),
+            np.array([m for _, _, m in rows]).reshape(len(rows), NUMBERS + 2),
+        )
+
+    @classmethod
+    def from_arrow(cls, batch: pa.RecordBatch) -> Batch:
+        buckets, weights, numbers = (batch.column(n) for n in ("buckets", "weights", "numbers"))
+        return cls(
+            buckets.flatten().to_numpy(zero_copy_only=False).astype(np.int64), weights.flatten().to_numpy(zero_copy_only=False).astype(np.float64),
+            pc.list_value_length(buckets).to_numpy(zero_copy_only=False).astype(np.int64),
+            numbers.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, NUMBERS + 2),
+        )
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def views(self, edges: np.ndarray) -> tuple[Sparse, Sparse]:
+        """Content: words and signs, then bins of the token kinds. Metadata: bins of the layout, buckets of language and source."""
+        n, bins, k = len(self), binned(self.numbers, edges), len(KINDS)
+        ends = np.cumsum(self.sizes)
+        at = np.repeat(ends, k)
+        kinds = np.full(n * k, np.sqrt(0.5 / k))
+        content = Sparse(
+            np.insert(self.buckets, at, CONTENT_BUCKETS + bins[:, len(LAYOUT) :].reshape(-1)), np.insert(self.weights * np.sqrt(0.5), at, kinds), self.sizes + k
+        )
+        base = NUMBERS * BINS
+        named = np.concatenate([bins[:, : len(LAYOUT)], base + self.numbers[:, NUMBERS:].astype(np.int64) + [0, META_BUCKETS]], axis=1)
+        return content, Sparse(named.reshape(-1), np.full(named.size, 1 / np.sqrt(named.shape[1])), np.full(n, named.shape[1], dtype=np.int64))
+
+
 @dataclass
 class CoModel:
     """Both views with their calibration, and that of their sum; about a megabyte, whatever the corpus."""
 
     content: Logistic
     meta: Logistic
-    edges: np.ndarray  # bins of the layout numbers
+    edges: np.ndarray  # bins of the numbers
     shares: tuple[float, float, float]  # of the views' log odds in the combined ones, and a constant
 
     def combined(self, content: np.ndarray, meta: np.ndarray) -> np.ndarray:
         return self.shares[0] * content + self.shares[1] * meta + self.shares[2]
 
-    def logits(self, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        every = np.arange(len(rows))
-        content = self.content.logit(Sparse([(b, v) for b, v, _ in rows]), every)
-        meta = self.meta.logit(Sparse(meta_rows([m for _, _, m in rows], self.edges)), every)
+    def view_logits(self, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
+        every, (content, meta) = np.arange(len(batch)), batch.views(self.edges)
+        return self.content.logit(content, every), self.meta.logit(meta, every)
+
+    def logits(self, batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        content, meta = self.view_logits(batch)
         return content, meta, self.combined(content, meta)
 
 
-def bin_edges(meta: np.ndarray) -> np.ndarray:
-    return np.quantile(meta[:, : len(LAYOUT)], np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
-
-
-def meta_rows(meta: list[np.ndarray], edges: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """One bucket for the bin of each layout number, one for the language, one for the source."""
-    out, base = [], len(LAYOUT) * BINS
-    for row in meta:
-        bins = [k * BINS + int(np.searchsorted(edges[k], row[k], side="right")) for k in range(len(LAYOUT))]
-        named = [base + int(row[len(LAYOUT)]), base + META_BUCKETS + int(row[len(LAYOUT) + 1])]
-        out.append((np.array(bins + named), np.full(len(bins) + 2, 1 / np.sqrt(len(bins) + 2))))
-    return out
-
-
-META_SIZE = len(LAYOUT) * BINS + 2 * META_BUCKETS
-
-
-def co_train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, *, rounds: int = ROUNDS, seed: int = 3) -> CoModel:
-    """``labels``: 1, 0, or -1 for unlabelled. Without both classes every score is 0.5 or more: all stay."""
-    edges = bin_edges(np.array([m for _, _, m in rows])) if rows else np.zeros((len(LAYOUT), BINS - 1))
-    flat = Logistic(np.zeros(CONTENT_BUCKETS), 2.0), Logistic(np.zeros(META_SIZE), 2.0)
-    known = np.flatnonzero(labels >= 0)
-    if not len(known) or labels[known].min() == labels[known].max():
-        return CoModel(*flat, edges, (0.5, 0.5, 0.0))
-    views = Sparse([(b, v) for b, v, _ in rows]), Sparse(meta_rows([m for _, _, m in rows], edges))
-    sizes = CONTENT_BUCKETS, META_SIZE
-    rng = np.random.default_rng(seed)
-    shuffled = rng.permutation(known)
-    aside, used = shuffled[: len(known) // 4], shuffled[len(known) // 4 :]
-    if min(len(set(labels[aside].tolist())), len(set(labels[used].tolist()))) < 2:
-        aside = used = known  # too few rows to keep some aside
-    share = float(labels[used].mean())
-    pool = np.flatnonzero(labels < 0)
-    taught = [(used, labels[used]), (used, labels[used])]  # what each view learns from
-    models = [fit(views[k], *taught[k], sizes[k]) for k in (0, 1)]
-    for _ in range(rounds):
-        if not len(pool):
-            break
-        taken = []
-        for k in (0, 1):
-            a, b = calibrate(models[k].raw(views[k], aside), labels[aside])
-            p = _sigmoid(a * models[k].raw(views[k], pool) + b)
-            good = np.argsort(-p, kind="stable")[: round(MOST_PER_ROUND * share)]
-            bad = np.argsort(p, kind="stable")[: round(MOST_PER_ROUND * (1 - share))]
-            good, bad = good[p[good] >= SURE], bad[p[bad] <= 1 - SURE]
-            chosen = np.concatenate([pool[good], pool[bad]])
-            pseudo = np.concatenate([np.ones(len(good), int), np.zeros(len(bad), int)])
-            other = 1 - k
-            taught[other] = np.concatenate([taught[other][0], chosen]), np.concatenate([taught[other][1], pseudo])
-            taken.append(chosen)
-        if not sum(map(len, taken)):
-            break
-        pool = np.setdiff1d(pool, np.concatenate(taken))
-        models = [fit(views[k], *taught[k], sizes[k]) for k in (0, 1)]
-    for k in (0, 1):
-        models[k].slope, models[k].shift = calibrate(models[k].raw(views[k], aside), labels[aside])
-    logits = [models[k].logit(views[k], aside) for k in (0, 1)]
-    shares = newton(np.stack([*logits, np.ones(len(aside))], axis=1), labels[aside], np.array([0.5, 0.5, 0.0]))
-    return CoModel(models[0], models[1], edges, tuple(float(w) for w in shares))
-
-
-def fit_quality(
-    docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-    lang_col: str = "lang", source_col: str = "source", max_labelled: int = MAX_LABELLED,
-    max_unlabelled: int = MAX_UNLABELLED, seed: int = 3,
-) -> CoModel:
-    """Train on at most ``max_labelled`` labelled rows outside the held-out fifth and ``max_unlabelled`` others.
-
-    Both are chosen by a hash of the id; rows with a null id or label count as unlabelled. Only the
-    chosen rows' features come to the driver, by those two bounds.
+class CoTrainer:
+    """The driver's part: what each view has learnt from, and models fitted to it.
+
+    A quarter of the labelled rows is kept aside for calibration. Rows: ids in ascending order, their features, 0 or 1.
+    """
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, edges: np.ndarray, seed: int = 3):
+        self.edges, self.seed = edges, seed
+        self.usable = len(labels) > 0 and labels.min() < labels.max()
+        if not self.usable:
+            return
+        shuffled = np.random.default_rng(seed).permutation(len(labels))
+        aside, used = shuffled[: len(labels) // 4], shuffled[len(labels) // 4 :]
+        if min(len(set(labels[aside].tolist())), len(set(labels[used].tolist()))) < 2:
+            aside = used = np.arange(len(labels))  # too few rows to keep some aside
+        pick = lambda places: [rows[i] for i in places]
+        self.aside, self.aside_y = Batch.of(pick(aside)).views(edges), labels[aside]
+        self.share = float(labels[used].mean())
+        self.taught = [(pick(used), labels[used]), (pick(used), labels[used])]
+
+    def wanted(self) -> tuple[int, int]:
+        """How many documents of each class (1, then 0) a view labels in a round, at most."""
+        return round(PER_ROUND * self.share), round(PER_ROUND * (1 - self.share))
+
+    def models(self) -> CoModel:
+        """Fitted and calibrated views."""
+        if not self.usable:
+            return CoModel(Logistic(np.zeros(CONTENT_SIZE), 2.0), Logistic(np.zeros(META_SIZE), 2.0), self.edges, (0.5, 0.5, 0.0))
+        views = []
+        for k, size in enumerate((CONTENT_SIZE, META_SIZE)):
+            rows, y = self.taught[k]
+            model = fit(Batch.of(rows).views(self.edges)[k], np.arange(len(rows)), y, size, seed=self.seed)
+            every = np.arange(len(self.aside_y))
+            model.slope, model.shift = calibrate(model.raw(self.aside[k], every), self.aside_y)
+            views.append(model)
+        logits = [views[k].logit(self.aside[k], np.arange(len(self.aside_y))) for k in (0, 1)]
+        shares = newton(np.stack([*logits, np.ones(len(self.aside_y))], axis=1), self.aside_y, np.array([0.5, 0.5, 0.0]))
+        return CoModel(views[0], views[1], self.edges, tuple(float(w) for w in shares))
+
+    def teach(self, by: int, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: list[int]) -> None:
+        """What view ``by`` (0 content, 1 metadata) is sure of, for the other."""
+        old_rows, old_y = self.taught[1 - by]
+        self.taught[1 - by] = old_rows + rows, np.concatenate([old_y, np.array(labels, dtype=old_y.dtype)])
+
+
+def surest(p: np.ndarray, ids: np.ndarray, wanted: tuple[int, int]) -> list[tuple[int, np.ndarray]]:
+    """(class, places) of the rows a view is sure of, surest first, ties by id, at most ``wanted`` a class."""
+    found = []
+    for label, most, key in ((1, wanted[0], -p), (0, wanted[1], p)):
+        order = np.lexsort((ids, key))[:most]
+        found.append((label, order[(p[order] >= SURE) if label else (p[order] <= 1 - SURE)]))
+    return found
+
+
+FEATURES = "row long, y int, buckets array<int>, weights array<float>, numbers array<double>"
+
+
+def stage_features(
+    docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    source_col: str = "source", max_labelled: int = MAX_LABELLED, carry: list[str] | None = None,
+) -> DataFrame:
+    """Stage table of every row's features with a number ``row``, ``y`` (the label to learn from, else null) and the ``carry`` columns.
+
+    At most ``max_labelled`` labelled ids outside the held-out fifth, by a hash of the id, have a ``y``. All other rows count as
+    unlabelled: those with a null id, a null label, a held-out one or one beyond the bound.
     """
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     learn = known.where(F.col("_y").isNotNull() & ~held_out("_id")).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
-    ids = docs.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull())
-    others = (
-        ids.join(known.select("_id"), "_id", "left_anti").orderBy(F.xxhash64("_id"), "_id").limit(max_unlabelled)
-        .select("_id", F.lit(-1).alias("_y"))
-    )
-    wanted = learn.unionByName(others)
+    carry = carry or []
     rows = docs.select(
-        F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source")
-    ).join(F.broadcast(wanted), "_id").select(F.col("_id").cast("long").alias("id"), "_y", "_text", "_lang", "_source")
+        F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"),
+        F.col(source_col).cast("string").alias("_source"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)],
+    ).withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(learn), "_id", "left")  # max_labelled rows
+    kept = [f"_c{i}" for i in range(len(carry))]
+    ordered = rows.select("row", F.col("_y").alias("y"), "_text", "_lang", "_source", *kept)
 
     def extract(batches):
         for batch in row_batches(batches):
@@ -260,48 +307,140 @@ def fit_quality(
                 [
                     batch.column(0), batch.column(1), pa.array([b for b, _, _ in made], pa.list_(pa.int32())),
                     pa.array([v for _, v, _ in made], pa.list_(pa.float32())), pa.array([m for _, _, m in made], pa.list_(pa.float64())),
+                    *batch.columns[5:],
                 ],
-                names=["id", "y", "buckets", "weights", "meta"],
+                names=["row", "y", "buckets", "weights", "numbers", *kept],
             )
 
-    table = rows.mapInArrow(
-        extract, "id long, y int, buckets array<int>, weights array<float>, meta array<double>"
-    ).toArrow().sort_by("id")
-    made = [
-        (np.asarray(b.values, dtype=np.int64), np.asarray(v.values, dtype=np.float64), np.asarray(m.values))
-        for b, v, m in zip(*(table.column(c) for c in ("buckets", "weights", "meta")))
-    ]
-    return co_train(made, np.asarray(table.column("y")).astype(int), seed=seed)
+    schema = T.StructType(T._parse_datatype_string(FEATURES).fields + [T.StructField(k, docs.schema[c].dataType) for k, c in zip(kept, carry)])
+    return materialise(ordered.mapInArrow(extract, schema), "features")
+
+
+def _rows_of(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    columns = (table.column(c) for c in ("buckets", "weights", "numbers"))
+    return [(np.asarray(b.values, dtype=np.int64), np.asarray(v.values, dtype=np.float64), np.asarray(m.values)) for b, v, m in zip(*columns)]
+
+
+def bin_edges(staged: DataFrame) -> np.ndarray:
+    """Per number the values at equal ranks of all rows (sketched)."""
+    steps = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
+    row = staged.agg(*[F.percentile_approx(F.col("numbers")[k], steps, F.lit(1000)).alias(f"n{k}") for k in range(NUMBERS)]).first()
+    return np.array([row[k] if row[k] is not None else [0.0] * (BINS - 1) for k in range(NUMBERS)])
+
+
+def _confident(staged: DataFrame, model: CoModel, wanted: tuple[int, int], taken: set[int]) -> pa.Table:
+    """``view, label, row`` and features of the rows each view is surest of, among all unlabelled ones not ``taken`` yet.
+
+    A task passes on no more than a round takes, so what Spark ranks is small, and so is what is ranked away.
+    """
+    gone = np.array(sorted(taken), dtype=np.int64)
+
+    def run(batches):
+        best: dict[tuple[int, int], pa.Table] = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            free = ~np.isin(batch.column("row").to_numpy(), gone)
+            if not free.any():
+                continue
+            table = table.filter(pa.array(free)).combine_chunks()
+            for view, z in enumerate(model.view_logits(Batch.from_arrow(table.to_batches()[0]))):
+                p, ids = _sigmoid(z), table.column("row").to_numpy()
+                for label, places in surest(p, ids, wanted):
+                    part = table.take(pa.array(places)).append_column("p", pa.array(p[places]))
+                    old = best.get((view, label))
+                    part = part if old is None else pa.concat_tables([old, part])
+                    order = [("p", "descending" if label else "ascending"), ("row", "ascending")]
+                    best[view, label] = part.sort_by(order).slice(0, wanted[0 if label else 1])
+        for (view, label), table in best.items():
+            for part in table.to_batches():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([view] * part.num_rows, pa.int32()), pa.array([label] * part.num_rows, pa.int32()), *part.columns],
+                    names=["view", "label", *part.schema.names],
+                )
+
+    free = staged.where("y IS NULL").select("row", "buckets", "weights", "numbers")
+    found = free.mapInArrow(run, "view int, label int, row long, buckets array<int>, weights array<float>, numbers array<double>, p double")
+    rank = F.row_number().over(Window.partitionBy("view", "label").orderBy(F.when(F.col("label") == 1, -F.col("p")).otherwise(F.col("p")), "row"))
+    most = F.when(F.col("label") == 1, wanted[0]).otherwise(wanted[1])
+    ranked = found.withColumn("rank", rank).where((F.col("rank") <= most) & (F.col("rank") <= max(wanted)))
+    return ranked.toArrow().sort_by([("view", "ascending"), ("label", "descending"), ("rank", "ascending")])
+
+
+def co_train(staged: DataFrame, *, rounds: int = ROUNDS, seed: int = 3) -> CoModel:
+    """Without both classes among the labels every score is 0.5 or more: all stay."""
+    labelled = (staged.where("y IS NOT NULL").select("row", "y", "buckets", "weights", "numbers")).toArrow().sort_by("row")
+    trainer = CoTrainer(_rows_of(labelled), np.asarray(labelled.column("y")).astype(int), bin_edges(staged), seed)
+    model, taken = trainer.models(), set()
+    for _ in range(rounds if trainer.usable else 0):
+        found = _confident(staged, model, trainer.wanted(), taken)
+        if not found.num_rows:
+            break
+        rows, views, marks = _rows_of(found), found.column("view").to_pylist(), found.column("label").to_pylist()
+        for view in (0, 1):
+            mine = [i for i, v in enumerate(views) if v == view]
+            trainer.teach(view, [rows[i] for i in mine], [marks[i] for i in mine])
+        taken |= set(found.column("row").to_pylist())
+        model = trainer.models()
+    return model
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, *, rounds: int = ROUNDS, seed: int = 3, **columns) -> CoModel:
+    """The model of ``docs``; see ``stage_features`` for the columns and for what counts as labelled."""
+    return co_train(stage_features(docs, labels, **columns), rounds=rounds, seed=seed)
 
 
 SCORE_FIELDS = (("quality", "double"), ("content_score", "double"), ("metadata_score", "double"), ("predicted", "int"))
 
 
+def _scored(staged: DataFrame, model: CoModel, carry: list[str], types: list[T.DataType], only_kept: bool) -> DataFrame:
+    """The ``carry`` columns of a feature table with their scores, or without them the kept rows."""
+    shared = staged.sparkSession.sparkContext.broadcast(model)
+    fields = [T.StructField(c, t) for c, t in zip(carry, types)]
+    schema = T.StructType(fields + ([] if only_kept else [T.StructField(n, T._parse_datatype_string(t)) for n, t in SCORE_FIELDS]))
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            content, meta, both = m.logits(Batch.from_arrow(batch))
+            kept = both >= 0
+            columns = [batch.column(f"_c{i}") for i in range(len(fields))]
+            if not only_kept:
+                columns += [pa.array(_sigmoid(z)) for z in (both, content, meta)] + [pa.array(kept.astype(np.int32))]
+            out = pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
+            yield out.filter(pa.array(kept)) if only_kept else out
+
+    return staged.select("buckets", "weights", "numbers", *[f"_c{i}" for i in range(len(carry))]).mapInArrow(run, schema)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, *, carry: list[str], only_kept: bool = False, rounds: int = ROUNDS, **columns) -> DataFrame:
+    """Train on ``docs`` and score them, from one extraction of features.
+
+    Every row with its ``carry`` columns, ``quality`` (0 to 1), both views' scores and ``predicted`` (1 from 0.5 on); ``only_kept`` returns the
+    predicted rows, without the scores. A carried column of such a name is left out then. Null text, language or source are
+    values like any other (a null text counts as empty). A row in, a row out, repeated ones too; an empty table gives no rows.
+    """
+    own = {n for n, _ in SCORE_FIELDS}
+    carry = [c for c in carry if only_kept or c.lower() not in own]
+    staged = stage_features(docs, labels, carry=carry, **columns)
+    return _scored(staged, co_train(staged, rounds=rounds), carry, [docs.schema[c].dataType for c in carry], only_kept)
+
+
 def score_quality(
     docs: DataFrame, model: CoModel, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
     carry: list[str] | None = None, only_kept: bool = False,
 ) -> DataFrame:
-    """Every row with ``quality`` (0 to 1), both views' scores and ``predicted`` (1 from 0.5 on).
-
-    Input columns of these names are replaced. Null text, language or source are values like any
-    other (a null text counts as empty). A row in, a row out, repeated ones too; an empty table
-    gives no rows. ``carry`` names the columns to return; ``only_kept`` returns the predicted
-    rows, without the scores.
-    """
+    """Scores of any rows by a model, as ``quality_scores`` gives them; all columns are carried by default."""
     own = {n for n, _ in SCORE_FIELDS}
     carry = [c for c in (docs.columns if carry is None else carry) if only_kept or c.lower() not in own]
+    inputs = [F.col(text_col), F.col(lang_col).cast("string"), F.col(source_col).cast("string"), *[F.col(c) for c in carry]]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in carry]
     schema = T.StructType(fields + ([] if only_kept else [T.StructField(n, T._parse_datatype_string(t)) for n, t in SCORE_FIELDS]))
-    # Inputs go first under positions, so that names may clash.
-    inputs = [F.col(text_col), F.col(lang_col).cast("string"), F.col(source_col).cast("string"), *[F.col(c) for c in carry]]
-    ordered = docs.select(*[c.alias(f"_{i}") for i, c in enumerate(inputs)])
 
     def run(batches):
         m = shared.value
         for batch in row_batches(batches):
-            rows = [features(*r) for r in zip(*(batch.column(i).to_pylist() for i in range(3)))]
-            content, meta, both = m.logits(rows)
+            content, meta, both = m.logits(Batch.of([features(*r) for r in zip(*(batch.column(i).to_pylist() for i in range(3)))]))
             kept = both >= 0
             columns = [batch.column(i + 3) for i in range(len(fields))]
             if not only_kept:
@@ -309,4 +448,5 @@ def score_quality(
             out = pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
             yield out.filter(pa.array(kept)) if only_kept else out
 
-    return ordered.mapInArrow(run, schema)
+    # Inputs go first under positions, so that names may clash.
+    return docs.select(*[c.alias(f"_{i}") for i, c in enumerate(inputs)]).mapInArrow(run, schema)

@@ -11,8 +11,7 @@ from .common import stage_path, table
 
 def op1_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = co_training.fit_quality(docs, table(spark, sf_dir, "labels"))
-    scored = co_training.score_quality(docs, model, carry=["doc_id"])
+    scored = co_training.quality_scores(docs, table(spark, sf_dir, "labels"), carry=["doc_id"])
     return scored.withColumn("held_out", conv_toxicity.held_out("doc_id"))
 
 
