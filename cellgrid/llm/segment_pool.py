@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ _SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 # Signs that are neither letters, numbers nor white space, without the apostrophe, which can begin a match.
 SIGNS = ".,;:!?*&%$#|)]}\""
 
-MEMORY_SEGMENTS = 600_000
+MEMORY_SEGMENTS = 900_000
 BATCH_BYTES = 8 << 20
 
 Learn = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]  # segments -> all ids, ids of each
@@ -41,6 +42,11 @@ def byte_batches(batches, column: int, size: int = BATCH_BYTES) -> Iterator[pa.R
             at = upto
 
 
+def _strings(texts: pa.Array) -> list[str]:
+    """As Python strings; several times faster than ``to_pylist``."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 class _Store:
     """Numbered segments and their ids, one after the other."""
 
@@ -85,9 +91,11 @@ class SegmentPool:
     def _numbers(self, segments: list[str], kind: str) -> np.ndarray:
         """Numbers of distinct segments; new ones are learnt."""
         known, before = getattr(self.store, kind), getattr(self.older, kind)
-        out = np.array([known.get(s, -1) for s in segments], dtype=np.int64)
-        missing = np.flatnonzero(out < 0).tolist()
-        copied, new = [i for i in missing if segments[i] in before], [i for i in missing if segments[i] not in before]
+        out = np.fromiter(map(known.get, segments, repeat(-1)), dtype=np.int64, count=len(segments))
+        copied: list[int] = []
+        new: list[int] = []
+        for i in np.flatnonzero(out < 0).tolist():
+            (copied if segments[i] in before else new).append(i)
         parts = []
         if copied:
             parts.append((copied, self.older.gather(np.array([before[segments[i]] for i in copied]))))
@@ -133,11 +141,11 @@ class SegmentPool:
         core = pc.utf8_rtrim(distinct, characters=SIGNS)
         signed = pc.and_(pc.not_equal(core, distinct), pc.match_substring_regex(core, r"[\p{L}\p{N}]$"))
         cores = pc.if_else(signed, core, distinct).dictionary_encode()
-        word = self._numbers(cores.dictionary.to_pylist(), "spaced")[cores.indices.to_numpy()]
+        word = self._numbers(_strings(cores.dictionary), "spaced")[cores.indices.to_numpy()]
         signed = signed.to_numpy(zero_copy_only=False)
         sign = np.zeros(len(word), dtype=np.int64)
         places = pa.array(np.flatnonzero(signed))
-        tails = [s[len(c) :] for s, c in zip(distinct.take(places).to_pylist(), core.take(places).to_pylist())]
+        tails = [s[len(c) :] for s, c in zip(_strings(distinct.take(places)), _strings(core.take(places)))]
         sign[signed] = self._of_all(tails)
         code = chunks.indices.to_numpy()
         two = signed[code]
@@ -147,7 +155,7 @@ class SegmentPool:
         numbers = np.empty(begin[-1], dtype=np.int64)
         numbers[begin[:-1]] = word[code]
         numbers[begin[:-1][two] + 1] = sign[code[two]]
-        numbers[begin[heads]] = self._of_all(chunks.take(pa.array(heads)).to_pylist())
+        numbers[begin[heads]] = self._of_all(_strings(chunks.take(pa.array(heads)).dictionary_decode()))
         return numbers, begin[offsets]
 
     def _of_all(self, segments: list[str]) -> np.ndarray:
