@@ -7,8 +7,9 @@ components. Within a component every pair is then counted exactly, so the window
 neighbours, not their number.
 
 The number of passes follows from the number of distinct vectors, for which ``passes_for`` gives the share of pairs that
-all passes miss. Vectors that crowd in one direction need more than that: a sample is compared with all vectors, and passes
-are added until its links lie inside components, or until comparing all pairs costs no more than the passes made; then all are compared.
+all passes miss. Vectors that crowd in one direction need more than that: the links of half the passes are held against the
+components of the others, and a sample is compared with all vectors. Passes are added until both lie inside components, or until comparing all
+pairs costs no more than the passes made; then all are compared.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ PASSES = 24
 KEY_BITS = 60
 WINDOW = 256
 RECALL = 0.99  # share of links to be found, by the model of passes_for and in the sample
+LEAST_RECALL = 0.97  # by one half of the passes held against the other, which is a rough measure
 SAMPLE = 1024  # vectors that are compared with all others to measure it
 PAIR_BLOCK = 2048  # vectors that one task compares with as many others when all pairs are compared
 BLOCK = 1024  # vectors of a component that one task counts against as many others
@@ -235,29 +237,55 @@ def _all_pairs(chosen: DataFrame, vectors: int, cosine: float) -> DataFrame:
     return pairs.groupBy("one", "two").applyInArrow(compare, "a long, b long")
 
 
+def _inside(links: DataFrame, found: DataFrame) -> tuple[int, int]:
+    """How many of the ``links`` there are, and how many lie inside the components ``found``."""
+    first, second = (found.select(F.col("node").alias(n), F.col("component").alias(f"component_{n}")) for n in ("a", "b"))
+    both = links.distinct().join(first, "a", "left").join(second, "b", "left")
+    row = both.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("component_a") == F.col("component_b")).cast("int")).alias("inside")).first()
+    return row.n, row.inside or 0
+
+
 def _components(chosen: DataFrame, cosine: float, passes: int, window: int, parts: int, scratch: Scratch) -> DataFrame:
-    """``node, component`` by as many passes as the vectors need."""
+    """``node, component`` by as many passes as the vectors need.
+
+    The second half of the passes is held against the first: the share of its links that lie inside the first half's components is what
+    one half finds of all links, however rare they are. A sample compared with all vectors sees what no pass finds.
+    """
     vectors = chosen.count()
-    step, done, links = max(passes, passes_for(vectors, cosine, window)), 0, None
+    step, done, older = max(passes, passes_for(vectors, cosine, window)), 0, None
     while True:
-        more = _passes(chosen, cosine, range(done, done + step), window, parts, scratch)
-        links, done = more if links is None else links.unionAll(more), done + step
+        half = done + (step + 1) // 2
+        first = _passes(chosen, cosine, range(done, half), window, parts, scratch)
+        links = first if older is None else older.unionAll(first)
         found = scratch.stage(connected_components(links, scratch.stage), "components")
+        if half < done + step:
+            second = scratch.stage(_passes(chosen, cosine, range(half, done + step), window, parts, scratch), "links")
+            made, inside = _inside(second, found)
+            missed = 1 - inside / made if made else 0.0
+            if made > inside:
+                links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(second)
+                found = scratch.stage(connected_components(links, scratch.stage), "components")
+        else:
+            missed = 0.0
+        # Two equal halves miss a link independently; later on the first half is the greater one, and this errs to the safe side.
+        by_passes = 1 - (missed**2 if older is None else missed)
+        done += step
         sampled = _sampled_links(chosen, found, cosine, scratch)
-        inside = F.sum(F.when(F.col("component") == F.col("other"), F.col("links")).otherwise(0)) / F.sum("links")
-        recall = sampled.groupBy("row").agg(inside.alias("share")).agg(F.avg("share")).first()[0]
-        if recall is None or recall == 1:
+        within = F.sum(F.when(F.col("component") == F.col("other"), F.col("links")).otherwise(0)) / F.sum("links")
+        recall = sampled.groupBy("row").agg(within.alias("share")).agg(F.avg("share")).first()[0]
+        enough = by_passes >= LEAST_RECALL and (recall is None or recall >= RECALL)
+        if enough and (recall is None or recall == 1):
             return found
         links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(
             sampled.select(F.col("component").alias("a"), F.col("other").alias("b"))
         )
-        whole = recall < RECALL and done * 2 * window >= vectors
+        whole = not enough and done * 2 * window >= vectors
         if whole:
             links = links.unionAll(_all_pairs(chosen, vectors, cosine))
-        if whole or recall >= RECALL:
+        if whole or enough:
             return scratch.stage(connected_components(links, scratch.stage), "components")
         # Not the sample's own links: they would raise what is measured next.
-        links, step = found.select(F.col("node").alias("a"), F.col("component").alias("b")), done
+        older, step = found.select(F.col("node").alias("a"), F.col("component").alias("b")), done
 
 
 def _counts(chosen: DataFrame, found: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:

@@ -312,3 +312,15 @@ def test_crowded_vectors_are_linked(spark, monkeypatch, whole):
     if whole:
         assert got == dict(enumerate(want))
     assert sum(got[i] == want[i] for i in range(len(x))) >= 0.98 * len(x)
+
+
+def test_rare_links_in_a_cone_are_missed_by_a_sample_but_measured(spark):
+    """6,000 vectors about 0.8 from each other, and 100 pairs at 0.92 among them: few passes with a window of 16 find too few."""
+    alone = np.random.default_rng(4).standard_normal((6000, 127))
+    alone /= np.linalg.norm(alone, axis=1, keepdims=True)
+    every = np.concatenate([cone_pairs(100, 128), np.concatenate([np.full((6000, 1), math.sqrt(0.8)), math.sqrt(0.2) * alone], axis=1)])
+    links = [(i, j) for i, j in zip(*np.nonzero(every @ every.T >= 0.9)) if i > j]
+    assert 100 <= len(links) < 150
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in projection_passes.near_vectors(df, window=16).collect()}
+    assert np.mean([got[i] == got[j] for i, j in links]) >= 0.9
