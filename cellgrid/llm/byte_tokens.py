@@ -7,6 +7,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
+from .common import claim_memory
 from .segment_pool import MEMORY_SEGMENTS, WHITE, SegmentPool
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives each task its core
@@ -68,6 +69,7 @@ _ENCODERS: dict[str, SegmentEncoder] = {}
 
 def encoder(path: str) -> SegmentEncoder:
     """The worker's encoder for ``path``; workers are reused, so its memory lasts over tasks."""
+    claim_memory("byte_tokens", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = SegmentEncoder(path)
     return _ENCODERS[path]

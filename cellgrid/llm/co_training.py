@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import materialise, row_batches
+from .common import claim_memory, materialise, row_batches
 from .conv_toxicity import held_out
 
 MAX_LABELLED = 10_000
@@ -301,6 +301,7 @@ def stage_features(
     ordered = rows.select("row", F.col("_y").alias("y"), "_text", "_lang", "_source", *kept)
 
     def extract(batches):
+        claim_memory("co_training", _TOKENS.clear)
         for batch in row_batches(batches):
             made = [features(*r) for r in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays(
@@ -337,7 +338,7 @@ def _confident(staged: DataFrame, model: CoModel, wanted: tuple[int, int], taken
 
     def run(batches):
         best: dict[tuple[int, int], pa.Table] = {}
-        for batch in batches:
+        for batch in row_batches(batches):
             table = pa.Table.from_batches([batch])
             free = ~np.isin(batch.column("row").to_numpy(), gone)
             if not free.any():
@@ -400,7 +401,7 @@ def _scored(staged: DataFrame, model: CoModel, carry: list[str], types: list[T.D
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in row_batches(batches):
             content, meta, both = m.logits(Batch.from_arrow(batch))
             kept = both >= 0
             columns = [batch.column(f"_c{i}") for i in range(len(fields))]
@@ -439,6 +440,7 @@ def score_quality(
 
     def run(batches):
         m = shared.value
+        claim_memory("co_training", _TOKENS.clear)
         for batch in row_batches(batches):
             content, meta, both = m.logits(Batch.of([features(*r) for r in zip(*(batch.column(i).to_pylist() for i in range(3)))]))
             kept = both >= 0

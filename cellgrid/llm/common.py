@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cellgrid.session import configure, stage_path
 
-__all__ = ["Scratch", "configure", "fresh_column", "materialise", "row_batches", "stage_path", "table", "text_or_empty"]
+__all__ = ["Scratch", "claim_memory", "configure", "fresh_column", "materialise", "row_batches", "stage_path", "table", "text_or_empty"]
 
 BATCH_ROWS = 512
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def claim_memory(owner: str, forget: Callable[[], None]) -> None:
+    """To be called where a task uses what its worker remembers: workers outlive tasks, so what other operators remembered in them goes."""
+    for other, drop in list(_REMEMBERED.items()):
+        if other != owner:
+            drop()
+            del _REMEMBERED[other]
+    _REMEMBERED[owner] = forget
 
 
 def materialise(df: DataFrame, name: str = "stage", *, path: str | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Scratch, fresh_column, materialise, record_batch, row_batches, text_or_empty
+from .common import Scratch, claim_memory, fresh_column, materialise, record_batch, row_batches, text_or_empty
 from .components import SALTS, connected_components
 
 SHINGLE_WORDS = 5
@@ -166,6 +166,7 @@ def _sketched(df: DataFrame, id_col: str, text_col: str, row_col: str | None) ->
     )
 
     def run(batches):
+        claim_memory("order_minhash", _KNOWN.clear)
         for batch in row_batches(batches):
             digest, size, raw, found = [], [], [], []
             for text in batch.column(2).to_pylist():

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import record_batch, row_batches, text_or_empty
+from .common import claim_memory, record_batch, row_batches, text_or_empty
 from .segment_pool import MEMORY_SEGMENTS, SegmentPool, byte_batches
 
 MEMORY_PAIRS = 1_000_000
@@ -243,6 +243,7 @@ _CODERS: dict[tuple[str, str], TextCoder] = {}
 
 
 def coder(path: str, pattern: str) -> TextCoder:
+    claim_memory("prefix_bpe", _CODERS.clear)
     if (path, pattern) not in _CODERS:
         _CODERS[path, pattern] = TextCoder(PrefixBpe.from_file(path), pattern)
     return _CODERS[path, pattern]

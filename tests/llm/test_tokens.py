@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from cellgrid.llm import byte_tokens, orc_tokens, packing, segment_pool
+from cellgrid.llm import byte_tokens, common, orc_tokens, packing, segment_pool
 from cellgrid.session import stage_path
 
 from .helpers import SCHEMA, awkward_rows, with_clashes
@@ -96,3 +96,14 @@ def test_packing_is_gapless(spark, tokenizer, window):
         begin += n
     assert sorted(docs) == sorted((str(r[0]), ids_of(tokenizer, r[1]) + [1]) for r in rows)
     assert packing.pack(spark.createDataFrame([], SCHEMA), PATH, end_id=1).count() == 0
+
+
+def test_another_operator_takes_over_a_worker():
+    forgotten = []
+    common.claim_memory("one", lambda: forgotten.append("one"))
+    common.claim_memory("one", lambda: forgotten.append("one"))
+    assert forgotten == []
+    byte_tokens.encoder(PATH)
+    assert forgotten == ["one"] and byte_tokens._ENCODERS
+    common.claim_memory("two", lambda: None)
+    assert not byte_tokens._ENCODERS
