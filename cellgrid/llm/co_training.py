@@ -30,7 +30,7 @@ SURE = 0.95
 CONTENT_BUCKETS = 1 << 16
 META_BUCKETS = 64
 BINS = 12
-MEMORY_TOKENS = 500_000
+MEMORY_TOKENS = 120_000
 LAYOUT = ("chars", "lines", "per_line")  # numbers of the metadata view: length, lines, tokens a line
 KINDS = ("upper", "digits", "symbols", "bare", "length", "distinct", "most")  # of the content view: shares of its tokens
 NUMBERS = len(LAYOUT) + len(KINDS)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cellgrid.session import configure, stage_path
+from cellgrid import session
+from cellgrid.session import stage_path
 
 __all__ = ["Scratch", "claim_memory", "configure", "fresh_column", "materialise", "row_batches", "stage_path", "table", "text_or_empty"]
 
@@ -47,6 +48,13 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """The library's settings, and batches of fewer rows for Python, since rows hold whole texts."""
+    session.configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
