@@ -24,8 +24,8 @@ _SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 # Signs that are neither letters, numbers nor white space, without the apostrophe, which can begin a match.
 SIGNS = ".,;:!?*&%$#|)]}\""
 
-MEMORY_SEGMENTS = 700_000
-BATCH_BYTES = 8 << 20
+MEMORY_SEGMENTS = 400_000
+BATCH_BYTES = 4 << 20
 
 Learn = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]  # segments -> all ids, ids of each
 
