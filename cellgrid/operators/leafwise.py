@@ -2,7 +2,8 @@
 
 Rows are binned once and stay where they are. Each step of a tree is one aggregate: every task adds up gradients and counts
 per (horizon, node, feature, bin), Spark adds the tasks' sums, and what reaches the driver is bounded by leaves times bins and
-categories, whatever the number of rows. Trees of all horizons grow side by side in the same aggregates.
+categories, whatever the number of rows. Trees of all horizons grow side by side in the same aggregates, each horizon at its own
+pace; a task is sent the trees it needs and no others.
 
 A tree takes the split of greatest gain among its leaves until it has ``leaves`` of them. To take several splits from one
 aggregate, children of all leaves that would be split as far as is known are looked at together; the order of the splits, and so the
@@ -28,6 +29,7 @@ from .features import FeatureNames
 UNIT = float(1 << 24)
 BINS = 255  # bins of a numeric input, at most
 REFRESH = 10  # trees between two writes of the predictions so far
+ROWS_A_TASK = 50_000  # a table of no more rows is one task's
 MAX_CATEGORIES = 100_000
 # Smoothing, penalty and breadth of splits by category.
 CATEGORY_SMOOTHING, CATEGORY_PENALTY, CATEGORY_BREADTH = 10.0, 10.0, 32
@@ -196,8 +198,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _histograms(rows: DataFrame, width: int, models: list[HorizonTrees], usable, recent, growing, looked_at) -> dict:
-    """(model, node) -> feature -> (bins, gradients, rows); one aggregate over all rows."""
+def _histograms(rows: DataFrame, width: int, number: int, usable, recent, growing, looked_at) -> dict:
+    """(model, node) -> feature -> (bins, gradients, rows) for ``number`` models; one aggregate over all rows."""
 
     def add(batches):
         sums: dict[tuple[int, int, int], list[np.ndarray]] = {}
@@ -205,7 +207,7 @@ def _histograms(rows: DataFrame, width: int, models: list[HorizonTrees], usable,
             if batch.num_rows == 0:
                 continue
             bins, cat = _matrix(batch.column("bins"), width), batch.column("cat").to_numpy()
-            y, p = _matrix(batch.column("y"), len(models)), _matrix(batch.column("p"), len(models))
+            y, p = _matrix(batch.column("y"), number), _matrix(batch.column("p"), number)
             for m, nodes in looked_at.items():
                 g = gradients(y[:, m], add_trees(p[:, m], recent[m], bins, cat))
                 at = route(growing[m], bins, cat)
@@ -292,48 +294,59 @@ def fit_leafwise(
         return {m.horizon: m for m in models}
     for i, m in enumerate(models):
         m.start = means[f"s{i}"] / means.n / UNIT
-    written, active = 0, set(range(len(models)))  # written: trees whose predictions the stage table holds
-    rows = materialise(rows.withColumn("p", F.array(*[F.lit(m.start) for m in models])), "predicted")
-    for number in range(trees):
-        growing = {m: Growing() for m in active}
-        while True:
-            looked_at = {m: nodes for m in active if (nodes := growing[m].expand(leaves, min_leaf_rows))}
-            if not looked_at:
-                break
-            recent = {m: models[m].trees[written:] for m in looked_at}
-            tried = {m: growing[m].tried for m in looked_at}
-            found = _histograms(rows, width, models, usable, recent, tried, looked_at)
-            for m, nodes in looked_at.items():
-                parents = {c: s for s in growing[m].tried for c in (s.low, s.high)}
-                for node in nodes:
-                    histograms = found[m, node]
-                    _, g, n = histograms[category]
-                    by_category = node in parents and parents[node].left is not None
-                    growing[m].sums[node] = float(g.sum()) / UNIT, int(n.sum()), CATEGORY_PENALTY if by_category else 0.0
-                    growing[m].best[node] = best_split(node, histograms, category, len(cells) + 1, min_leaf_rows)
-        for m in sorted(active):
-            splits = growing[m].chosen(leaves)
-            if not splits:
-                active.discard(m)
-                continue
-            ends = {c for s in splits for c in (s.low, s.high)} - {s.node for s in splits}
-            sums = growing[m].sums
-            models[m].trees.append((splits, {e: -step_size * sums[e][0] / (sums[e][1] + sums[e][2]) for e in sorted(ends)}))
-        if not active:
-            break
-        if (number + 1) % REFRESH == 0 and number + 1 < trees:
-            rows, written = _refreshed(rows, width, models, written), number + 1
-    return {m.horizon: m for m in models}
-
-
-def _refreshed(rows: DataFrame, width: int, models: list[HorizonTrees], written: int) -> DataFrame:
-    """The stage table with predictions of all trees so far."""
-    recent = [m.trees[written:] for m in models]
+    written = [0] * len(models)  # trees whose predictions the stage table holds
+    rows = _dealt(materialise(rows.withColumn("p", F.array(*[F.lit(m.start) for m in models])), "predicted"), means.n)
+    growing = {m: Growing() for m in range(len(models))} if trees > 0 else {}
+    while True:
+        looked_at = {}
+        for m in sorted(growing):
+            if not (nodes := growing[m].expand(leaves, min_leaf_rows)):
+                if not _finished(growing[m], models[m], leaves, step_size) or len(models[m].trees) == trees:
+                    del growing[m]
+                    continue
+                growing[m] = Growing()
+                nodes = growing[m].expand(leaves, min_leaf_rows)
+            looked_at[m] = nodes
+        if not looked_at:
+            return {m.horizon: m for m in models}
+        if max(len(models[m].trees) - written[m] for m in looked_at) >= REFRESH:
+            rows = _dealt(_refreshed(rows, width, [m.trees[w:] for m, w in zip(models, written)]), means.n)
+            written = [len(m.trees) for m in models]
+        recent = {m: models[m].trees[written[m] :] for m in looked_at}
+        tried = {m: growing[m].tried for m in looked_at}
+        found = _histograms(rows, width, len(models), usable, recent, tried, looked_at)
+        for m, nodes in looked_at.items():
+            parents = {c: s for s in growing[m].tried for c in (s.low, s.high)}
+            for node in nodes:
+                histograms = found[m, node]
+                _, g, n = histograms[category]
+                by_category = node in parents and parents[node].left is not None
+                growing[m].sums[node] = float(g.sum()) / UNIT, int(n.sum()), CATEGORY_PENALTY if by_category else 0.0
+                growing[m].best[node] = best_split(node, histograms, category, len(cells) + 1, min_leaf_rows)
+
+
+def _finished(tree: Growing, model: HorizonTrees, leaves: int, step_size: float) -> bool:
+    """Adds the grown tree to its model; false, and nothing added, where it has no split."""
+    splits = tree.chosen(leaves)
+    if not splits:
+        return False
+    ends = {c for s in splits for c in (s.low, s.high)} - {s.node for s in splits}
+    model.trees.append((splits, {e: -step_size * tree.sums[e][0] / (tree.sums[e][1] + tree.sums[e][2]) for e in sorted(ends)}))
+    return True
+
+
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """A table of few rows is one task's, so that its aggregates need no shuffle; larger ones stay as they are dealt."""
+    return rows.coalesce(1) if n <= ROWS_A_TASK else rows
+
+
+def _refreshed(rows: DataFrame, width: int, recent: list[list]) -> DataFrame:
+    """The stage table with predictions of all trees so far; ``recent``: per model the trees it lacks."""
 
     def add(batches):
         for batch in batches:
-            bins, cat, p = _matrix(batch.column("bins"), width), batch.column("cat").to_numpy(), _matrix(batch.column("p"), len(models))
-            p = np.stack([add_trees(p[:, m], recent[m], bins, cat) for m in range(len(models))], axis=1)
+            bins, cat, p = _matrix(batch.column("bins"), width), batch.column("cat").to_numpy(), _matrix(batch.column("p"), len(recent))
+            p = np.stack([add_trees(p[:, m], new, bins, cat) for m, new in enumerate(recent)], axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("bins"), batch.column("cat"), batch.column("y"), _lists(p, pa.float64())], names=["bins", "cat", "y", "p"])
 
     return materialise(rows.mapInArrow(add, rows.schema), "predicted")

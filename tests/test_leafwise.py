@@ -117,3 +117,25 @@ def test_constant_target_needs_no_tree(spark):
     models = leafwise.fit_leafwise(spark.createDataFrame(rows, SCHEMA), (1,), inputs=["a", "b", "flat"], trees=5)
     assert models[1].trees == []
     assert {round(r.prediction_1h, 6) for r in leafwise.predict_leafwise(spark.createDataFrame(rows, SCHEMA), models).collect()} == {7.0}
+
+
+def test_few_rows_are_one_task_and_horizons_grow_at_their_own_pace(spark, monkeypatch):
+    df = spark.createDataFrame(rows_of(5), SCHEMA).repartition(7)
+    passes, one_pass = [], leafwise._histograms
+
+    def watched(rows, *rest):
+        passes.append(rows.rdd.getNumPartitions())
+        return one_pass(rows, *rest)
+
+    monkeypatch.setattr(leafwise, "_histograms", watched)
+
+    def fitted(horizons):
+        passes.clear()
+        models = leafwise.fit_leafwise(df, horizons, inputs=["a", "b", "flat"], trees=12, leaves=6, step_size=0.3, min_leaf_rows=20)
+        return [(h, m.trees[-1][1]) for h, m in models.items()], len(passes)
+
+    (first, n_first), (second, n_second) = fitted((1,)), fitted((2,))
+    both, n_both = fitted((1, 2))
+    assert set(passes) == {1} and n_both == max(n_first, n_second) and both == first + second
+    monkeypatch.setattr(leafwise, "ROWS_A_TASK", 0)
+    assert fitted((1, 2)) == (both, n_both) and max(passes) > 1
