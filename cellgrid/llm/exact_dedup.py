@@ -41,30 +41,31 @@ def _position(digest: Column, k: int) -> Column:
     return F.pmod(F.xxhash64(digest, F.lit(k)), F.lit(BLOCK_POSITIONS))
 
 
-def repeated_positions(digests: DataFrame, digest_col: str, blocks: int) -> DataFrame:
-    """Pass one: per block a bitmap of the positions that at least two rows marked."""
+def repeated_positions(digests: DataFrame, digest_col: str, blocks: int, least: int = 2) -> DataFrame:
+    """Pass one: per block a bitmap of the positions that at least ``least`` rows marked."""
     d = F.col(digest_col)
     marks = digests.select(
         _block(d, blocks).alias("block"),
         F.explode(F.array_distinct(F.array(*[_position(d, k) for k in range(POSITIONS)]))).alias("position"),
     )
-    often = marks.groupBy("block", "position").count().where("count > 1")
+    often = marks.groupBy("block", "position").count().where(F.col("count") >= least)
     return often.groupBy("block").agg(F.expr("bitmap_construct_agg(position)").alias("bits"))
 
 
-def _is_set(bits: Column, position: Column) -> Column:
+def is_set(bits: Column, position: Column) -> Column:
+    """Whether a bitmap of ``bitmap_construct_agg`` holds the position."""
     byte = F.conv(F.hex(F.substring(bits, (position / 8).cast("int") + 1, 1)), 16, 10).cast("int")
     return F.getbit(byte, (position % 8).cast("int")) == 1
 
 
 def possibly_repeated(digests: DataFrame, digest_col: str, repeated: DataFrame, blocks: int, flag: str) -> DataFrame:
-    """Pass two: adds ``flag``, false only where the hash occurs once."""
+    """Pass two: adds ``flag``, false only where fewer rows than pass one asked for have the hash."""
     d, key, bits = F.col(digest_col), fresh_column(digests.columns, "block"), fresh_column(digests.columns, "bits")
     small = repeated.select(F.col("block").alias(key), F.col("bits").alias(bits))  # at most MAX_FILTER_BYTES
     joined = digests.withColumn(key, _block(d, blocks)).join(F.broadcast(small), key, "left")
     hit = F.lit(True)
     for k in range(POSITIONS):
-        hit = hit & _is_set(F.col(bits), _position(d, k))
+        hit = hit & is_set(F.col(bits), _position(d, k))
     return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(key, bits)
 
 

@@ -3,6 +3,9 @@
 A text is stored under its content address (SHA-256), whatever the number of paths and versions
 that hold it. A scan compares the addresses with the ledger of (blob, rule, version) and reads
 only texts with an unseen pair; findings are kept by blob and joined back to all paths.
+
+Texts are scanned and masked where they lie: bitmaps of a bit a row tell which to scan, a filter of
+the addresses with findings which may need a mask, and only the latter shuffle.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import fresh_column, materialise, stage_path, text_or_empty
+from .exact_dedup import BLOCK_POSITIONS, MAX_FILTER_BYTES, filter_blocks, is_set, possibly_repeated, repeated_positions
 
 
 @dataclass(frozen=True)
@@ -120,7 +124,7 @@ class SecretLedger:
         rows = contents.select("blob", "content", F.monotonically_increasing_id().alias("row"))
         blobs = rows.groupBy("blob").agg(F.min("row").alias("row"))  # the row to read a blob's text from
         todo = materialise(blobs.join(self.unseen(blobs), "blob").select("row", "todo"), "todo")
-        texts = rows.join(todo.hint("shuffle_hash"), "row")
+        texts = self._with_todo(rows, todo)
 
         def of(rule: Rule) -> Column:
             named = F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version")
@@ -138,18 +142,35 @@ class SecretLedger:
         seen_rows = scanned.select("blob", F.explode("todo").alias("kind"))
         seen_rows.withColumn("version", versions[F.col("kind")]).write.mode("append").parquet(f"{self.path}/seen")
 
+    def _with_todo(self, rows: DataFrame, todo: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+        """The ``rows`` that ``todo`` names, with their kinds, by a broadcast bitmap a rule and block of row numbers; beyond ``max_bytes`` by a shuffle."""
+        block, place = F.shiftright("row", 15).alias("block"), F.col("row").bitwiseAND(BLOCK_POSITIONS - 1)
+        marks = todo.groupBy(block).agg(*[
+            F.bitmap_construct_agg(F.when(F.array_contains("todo", r.kind), place)).alias(f"bits_{i}") for i, r in enumerate(self.rules)
+        ])
+        marks = materialise(marks, "marks")
+        if marks.count() * len(self.rules) * BLOCK_POSITIONS // 8 > max_bytes:
+            return rows.join(todo.hint("shuffle_hash"), "row")
+        kinds = F.array_compact(F.array(*[F.when(is_set(F.col(f"bits_{i}"), place), F.lit(r.kind)) for i, r in enumerate(self.rules)]))
+        joined = rows.withColumn("block", block).join(F.broadcast(marks), "block")
+        return joined.select("blob", "content", "row", kinds.alias("todo")).where(F.size("todo") > 0)
+
     def mask(self, df: DataFrame, *, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-        """``df`` with its secrets replaced by ``mask``: only texts of blobs with findings are changed.
+        """``df`` with its secrets replaced by ``mask``: only texts of blobs with findings are changed, and shuffled.
 
         Null texts stay null. A row in, a row out, with the columns of ``df``.
         """
-        blob, found = fresh_column(df.columns, "blob"), fresh_column(df.columns, "found")
+        blob, found, flag = (fresh_column(df.columns, n) for n in ("blob", "found", "flag"))
         staged = materialise(df.withColumn(blob, F.sha2(text_or_empty(text_col), 256)), "addressed")
         self._scan_new(staged.select(F.col(blob).alias("blob"), text_or_empty(text_col).alias("content")))
-        spans_of = self._by_blob().select(F.col("blob").alias(blob), F.col("found").alias(found))
+        spans_of = materialise(self._by_blob().select(F.col("blob").alias(blob), F.col("found").alias(found)), "spans")
+        blocks = filter_blocks(spans_of.count())
+        marked = materialise(repeated_positions(spans_of, blob, blocks, 1), "filter")
+        flagged = possibly_repeated(staged, blob, marked, blocks, flag)
         text = F.col(text_col)
         clean = F.when(text.isNotNull() & F.col(found).isNotNull(), redacted(text, F.col(found), mask)).otherwise(text)
-        return staged.join(spans_of, blob, "left").withColumn(text_col, clean).select(*df.columns)
+        masked = flagged.where(flag).join(spans_of, blob, "left").withColumn(text_col, clean)
+        return flagged.where(~F.col(flag)).select(*df.columns).union(masked.select(*df.columns))
 
     def findings(self) -> DataFrame:
         """Findings of the current rule versions, each once."""

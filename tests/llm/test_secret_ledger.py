@@ -1,3 +1,4 @@
+import random
 import re
 from dataclasses import replace
 
@@ -73,3 +74,38 @@ def test_main_path_has_no_python(spark):
     df = spark.createDataFrame([(1, "token=abcdefgh")], "doc_id long, text string")
     plan = secret_ledger.new_ledger(spark).scan(df, path_cols=["doc_id"])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def shuffled_bytes(spark):
+    names = spark._jvm.java.util.ArrayList
+    quantiles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(names(), False, False, quantiles, names())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_without_secrets_stay_where_they_are(spark):
+    """Of 2 MB of texts that hardly compress only those with findings may shuffle."""
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choices("ghijklmnopqrstuvwxyz!#", k=7000)) + (" token=abcdefgh" if i % 100 == 0 else "")) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where nothing is small
+    try:
+        df = secret_ledger.materialise(df, "texts")
+        before = shuffled_bytes(spark)
+        masked = new_ledger(spark).mask(df).collect()
+        assert shuffled_bytes(spark) - before < 500_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted(map(tuple, masked)) == [(i, t.replace("token=abcdefgh", "[SECRET]")) for i, t in rows]
+
+
+def test_bitmaps_name_the_rows_that_a_shuffle_finds(spark):
+    numbers = [n for p in (0, 1 << 33, 5 << 33) for n in (p, p + 1, p + 7, p + 32767, p + 32768, p + 70000)]
+    rows = spark.createDataFrame([(f"b{n}", f"t{n}", n) for n in numbers], "blob string, content string, row long")
+    kinds = [r.kind for r in RULES]
+    todo = spark.createDataFrame([(n, [k for j, k in enumerate(kinds) if (i % 7 + 1) >> j & 1]) for i, n in enumerate(numbers[:16:2])], "row long, todo array<string>")
+    found = [
+        sorted((r.row, r.blob, r.content, sorted(r.todo)) for r in new_ledger(spark)._with_todo(rows, todo, most).collect()) for most in (secret_ledger.MAX_FILTER_BYTES, 0)
+    ]
+    assert found[0] == found[1] and [f[0] for f in found[0]] == sorted(numbers[:16:2])
