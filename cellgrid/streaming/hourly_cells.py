@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -59,17 +60,37 @@ class RunFigures:
     state_rows: int = field(default=0)
 
 
-def run_available(hours: DataFrame, out: str, checkpoint: str) -> RunFigures:
+@contextmanager
+def _settings(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
+    """Settings of one stream; the session has its own again afterwards."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def run_available(hours: DataFrame, out: str, checkpoint: str, *, state_partitions: int | None = None) -> RunFigures:
     """Process what has arrived since the last run with this ``checkpoint`` and append closed hours to ``out`` as Parquet.
 
     The file sink's log makes a batch that is repeated after a failure count once. State is kept in RocksDB, outside the heap.
+    Every batch commits two stores a state partition, however few rows they hold, and a checkpoint keeps the number of partitions it began
+    with. By default that is one a core, and never more than the session's shuffle partitions, which follow the size of tables and not of the state.
     """
     spark = hours.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
-    query: StreamingQuery = (
-        hours.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
-    )
-    query.awaitTermination()
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKS_DB,
+        "spark.sql.shuffle.partitions": str(state_partitions or min(shuffles, max(1, spark.sparkContext.defaultParallelism))),
+    }
+    with _settings(spark, settings):
+        query: StreamingQuery = (
+            hours.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+        )
+        query.awaitTermination()
     figures = RunFigures()
     for progress in query.recentProgress:
         figures.batches += 1

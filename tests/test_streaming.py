@@ -65,6 +65,31 @@ def test_state_follows_the_delay(spark, tmp_path):
     assert sum(r[3] for r in closed(spark, tmp_path)) >= 3 * 200 - 40
 
 
+def test_state_partitions_follow_the_cores_and_not_the_shuffles(spark, tmp_path):
+    folder, keys = str(tmp_path / "in"), ("spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.providerClass")
+    os.makedirs(folder)
+    before = {key: spark.conf.get(key, None) for key in keys}
+
+    def stores(operator):
+        return len([n for n in os.listdir(tmp_path / "state" / "state" / str(operator)) if n.isdigit()])
+
+    try:
+        for n, shuffles in enumerate((64, 2)):  # the second run goes on with the partitions of the first
+            spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+            arrive(spark, folder, n, [(100 * n + i, at(50 * n + i / 4), i % 3, "view", 1.0) for i in range(100)] * 2)
+            assert run(spark, folder, tmp_path).read == 200
+            assert stores(0) == stores(1) == min(64, spark.sparkContext.defaultParallelism) < 64
+            assert spark.conf.get("spark.sql.shuffle.partitions") == str(shuffles)  # the session's own setting stays
+        hours = closed(spark, tmp_path)
+        assert len(hours) == 3 * (25 + 18) and sum(r[3] for r in hours) == 100 + 4 * 18  # all of the first, and of the second up to 18 hours
+        events = stream_events(spark, folder, spark.createDataFrame([], SCHEMA).schema)
+        few = run_available(hourly_cells(events, {"smsin": "view"}, delay="6 hours"), str(tmp_path / "o"), str(tmp_path / "s"), state_partitions=1)
+        assert few.read == 400 and [n for n in os.listdir(tmp_path / "s" / "state" / "0") if n.isdigit()] == ["0"]
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_batch_form_is_the_plain_aggregate(spark):
     rows = [(1, at(0.5), 7, "view", 2.0), (1, at(0.5), 7, "view", 2.0), (2, at(1.5), 7, "view", None), (3, None, 7, "view", 1.0)]
     hours = hourly_cells(spark.createDataFrame(rows, SCHEMA), {"smsin": "view"})
