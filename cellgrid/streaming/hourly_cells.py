@@ -84,6 +84,7 @@ def run_available(hours: DataFrame, out: str, checkpoint: str, *, state_partitio
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     settings = {
         "spark.sql.streaming.stateStore.providerClass": ROCKS_DB,
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else 4 MB of disk a store, kept for ended runs too
         "spark.sql.shuffle.partitions": str(state_partitions or min(shuffles, max(1, spark.sparkContext.defaultParallelism))),
     }
     with _settings(spark, settings):

@@ -90,6 +90,22 @@ def test_state_partitions_follow_the_cores_and_not_the_shuffles(spark, tmp_path)
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def test_a_store_takes_disk_for_its_rows_only(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    os.makedirs(folder)
+    local = spark._jvm.org.apache.spark.util.Utils.getLocalDir(spark._jsc.sc().conf())
+
+    def manifests():
+        found = [os.path.join(d, f) for d, _, names in os.walk(local) for f in names if f.startswith("MANIFEST")]
+        return {f: os.stat(f).st_blocks * 512 for f in found if os.path.exists(f)}
+
+    before = manifests()
+    arrive(spark, folder, 1, [(i, at(i / 4), 7, "view", 1.0) for i in range(100)])
+    assert run(spark, folder, tmp_path).read == 100
+    added = {f: size for f, size in manifests().items() if f not in before}
+    assert added and max(added.values()) < 1_000_000  # RocksDB would set 4 MB aside in each
+
+
 def test_batch_form_is_the_plain_aggregate(spark):
     rows = [(1, at(0.5), 7, "view", 2.0), (1, at(0.5), 7, "view", 2.0), (2, at(1.5), 7, "view", None), (3, None, 7, "view", 1.0)]
     hours = hourly_cells(spark.createDataFrame(rows, SCHEMA), {"smsin": "view"})
